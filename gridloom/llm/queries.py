@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, hilbert, pii, spotsigs
+from . import bpe, chat, decontaminate, hilbert, pii, quality_fm, simhash_vp, spotsigs
 from .common import read
 
 
+def vocabulary() -> tuple[str, str]:
+    """Path and pattern of the installed public vocabulary; the operators take both as parameters."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op1_byte_bpe(spark, sf_dir):
+    return bpe.round_trip(read(spark, sf_dir, "documents"), *vocabulary())
+
+
 def op2_spotsigs(spark, sf_dir):
     return spotsigs.digest(spotsigs.compare_edited(read(spark, sf_dir, "documents")))
 
@@ -18,6 +29,14 @@ def op6_hilbert_shards(spark, sf_dir):
     return hilbert.digest(hilbert.shard(read(spark, sf_dir, "documents")))
 
 
+def op7_simhash_vp(spark, sf_dir):
+    return simhash_vp.digest(simhash_vp.near_duplicates(read(spark, sf_dir, "documents")))
+
+
+def op8_quality_fm(spark, sf_dir):
+    return quality_fm.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op9_chat_format(spark, sf_dir):
     return chat.query(spark, sf_dir)
 
@@ -26,6 +45,6 @@ def op10_pii(spark, sf_dir):
     return pii.digest(pii.find(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op2_spotsigs, op3_decontamination, op6_hilbert_shards, op9_chat_format, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_spotsigs, op3_decontamination, op6_hilbert_shards, op7_simhash_vp, op8_quality_fm, op9_chat_format, op10_pii)}
 
 ORACLE: dict[str, str] = {}

@@ -79,3 +79,30 @@ def sizes(docs):
     for d, t in docs:
         raw = t.encode() if t is not None else b""
         yield d, len(raw) + 16, zlib.crc32(raw)
+
+
+def simhash(docs, k=4, radius=4):
+    import xxhash
+
+    fps = {}
+    rows = []
+    for d, t in docs:
+        words = re.findall(r"[^\x20\x09-\x0D]+", lower(t or ""))
+        grams = [" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))] if words else []
+        hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+        fp = sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes)) if hashes else 0
+        rows.append((d, fp))
+        fps.setdefault(fp, []).append(d)
+    nodes = sorted(fps, key=lambda f: min(fps[f]))
+    name = {}
+    for f in nodes:
+        if f in name:
+            continue
+        todo, name[f] = [f], min(fps[f])
+        while todo:
+            x = todo.pop()
+            for y in nodes:
+                if y not in name and (x ^ y).bit_count() <= radius:
+                    name[y] = name[f]
+                    todo.append(y)
+    return [(d, f"{f:016x}", name[f]) for d, f in rows]
