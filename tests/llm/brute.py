@@ -106,3 +106,15 @@ def simhash(docs, k=4, radius=4):
                     name[y] = name[f]
                     todo.append(y)
     return [(d, f"{f:016x}", name[f]) for d, f in rows]
+
+
+def unigram(docs):
+    import math
+    from collections import Counter
+
+    held = lambda d: zlib.crc32(str(d).encode()) % 5 == 1 if d is not None else False
+    tokens = [(d, [*re.findall(r"[^\x20\x09-\x0D]+", lower(t or "")), None]) for d, t in docs]
+    count = Counter(w for d, ws in tokens if not held(d) for w in ws)
+    n, v = sum(count.values()), len(count)
+    for d, ws in tokens:
+        yield d, held(d), len(ws), sum(count[w] > 0 for w in ws), n, sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)
