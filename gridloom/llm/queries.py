@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bloom_lm, bpe, chat, decontaminate, hilbert, pii, quality_fm, simhash_vp, spotsigs
+from . import bloom_lm, bpe, chat, decontaminate, hilbert, pii, quality_fm, simhash_vp, spotsigs, suffix_dedup
 from .common import read
 
 
@@ -25,6 +25,10 @@ def op3_decontamination(spark, sf_dir):
     return decontaminate.digest(decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
 
+def op4_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op5_bloom_lm(spark, sf_dir):
     return bloom_lm.score(read(spark, sf_dir, "documents"))
 
@@ -49,6 +53,6 @@ def op10_pii(spark, sf_dir):
     return pii.digest(pii.find(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_spotsigs, op3_decontamination, op5_bloom_lm, op6_hilbert_shards, op7_simhash_vp, op8_quality_fm, op9_chat_format, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_spotsigs, op3_decontamination, op4_suffix_dedup, op5_bloom_lm, op6_hilbert_shards, op7_simhash_vp, op8_quality_fm, op9_chat_format, op10_pii)}
 
 ORACLE: dict[str, str] = {}

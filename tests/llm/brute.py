@@ -118,3 +118,19 @@ def unigram(docs):
     n, v = sum(count.values()), len(count)
     for d, ws in tokens:
         yield d, held(d), len(ws), sum(count[w] > 0 for w in ws), n, sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)
+
+
+def repeats(docs, length):
+    raws = [(d, (t or "").encode()) for d, t in docs]
+    count = {}
+    for _, r in raws:
+        for i in range(len(r) - length + 1):
+            w = r[i : i + length]
+            count[w] = count.get(w, 0) + 1
+    for d, r in raws:
+        gone = bytearray(len(r))
+        for i in range(len(r) - length + 1):
+            if count[r[i : i + length]] > 1:
+                gone[i : i + length] = b"\1" * length
+        kept = bytes(c for c, g in zip(r, gone) if not g)
+        yield d, len(r), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()
