@@ -21,7 +21,8 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    pass
+    """The modules register their queries when they are first imported."""
+    from . import q_metrics  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:
