@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from .common import cut
 from .graph import components
 
-SAMPLE, LEAF, RINGS, DEPTH = 8192, 16384, 4, 12
+SAMPLE, LEAF, RINGS, DEPTH = 8192, 1 << 17, 4, 12
+#: In a task: rings go on until so few are left or so deep.
+FEW, DEEP = 2048, 5
 
 
 def fingerprint_of(text: str | None, k: int = 4) -> int:
@@ -60,6 +62,22 @@ def fingerprints(docs: DataFrame, k: int = 4, doc: str = "doc_id", text: str = "
     return docs.select(doc, F.col(text).cast("string")).mapInArrow(run, f"doc {kind}, fp long").withColumnRenamed("doc", doc)
 
 
+def rings(d: np.ndarray, bounds: np.ndarray, radius: int):
+    """(who goes into it, which of these as visitors) for each ring; ring r begins at bounds[r - 1] and ends before bounds[r].
+
+    Everyone visits the rings that begin within `radius` beyond the own distance. Of a linked pair the nearer one visits
+    the ring of the farther one, so two visitors need not be compared: they meet where the farther of them is at home.
+    """
+    low, high = np.searchsorted(bounds, d, "right"), np.searchsorted(bounds, d + radius, "right")
+    for r in range(len(bounds) + 1):
+        inside = np.flatnonzero((low <= r) & (r <= high))
+        yield inside, low[inside] < r
+
+
+def ring_bounds(d: np.ndarray) -> np.ndarray:
+    return np.unique(np.quantile(d, np.arange(1, RINGS) / RINGS).astype(np.int64) + 1)
+
+
 class Tree:
     """Nodes as (vantage point, ring bounds, children); a leaf has a number and how many chunks it is dealt into."""
 
@@ -72,59 +90,80 @@ class Tree:
         if len(members) * self.scale > LEAF and depth < DEPTH and len(members) > 64:
             point = members[rng.integers(len(members))]
             d = np.bitwise_count(members ^ point).astype(np.int64)
-            bounds = np.unique(np.quantile(d, np.arange(1, RINGS) / RINGS).astype(np.int64) + 1)
-            parts = [members[m] for m in self._rings(d, bounds)]
+            bounds = ring_bounds(d)
+            parts = [members[m] for m, _ in rings(d, bounds, self.radius)]
             if max(map(len, parts)) < 0.9 * len(members):
                 return point, bounds, [self._grow(p, depth + 1, rng) for p in parts]
         self.chunks.append(max(1, int(np.ceil(len(members) * self.scale / LEAF))))
         return len(self.chunks) - 1
 
-    def _rings(self, d: np.ndarray, bounds: np.ndarray):
-        """For each ring who goes into it: ring r begins at bounds[r - 1] and ends before bounds[r]."""
-        low = np.searchsorted(bounds, d, "right")
-        high = np.searchsorted(bounds, d + self.radius, "right")
-        return [(low <= r) & (r <= high) for r in range(len(bounds) + 1)]
-
-    def leaves(self, fps: np.ndarray, node=None):
-        """(leaf, members) for every leaf that any of the fingerprints goes to."""
+    def leaves(self, fps: np.ndarray, visits: np.ndarray | None = None, node=None, level: int = 0):
+        """(leaf, members, levels that each only visits as bits) for every leaf that any of the fingerprints goes to."""
         node = self.root if node is None else node
+        visits = np.zeros(len(fps), np.int64) if visits is None else visits
         if isinstance(node, int):
             if len(fps):
-                yield node, fps
+                yield node, fps, visits
             return
         point, bounds, children = node
-        for mask, child in zip(self._rings(np.bitwise_count(fps ^ point).astype(np.int64), bounds), children):
-            if mask.any():
-                yield from self.leaves(fps[mask], child)
-
-
-def forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(node, root) links that span all pairs within the radius, among `left` or between `left` and `right`."""
-    nodes = left if right is None else np.concatenate([left, right])
-    other = nodes if right is None else right
-    shift = 0 if right is None else len(left)
-    root = np.arange(len(nodes))
-    low = other.astype(np.uint32)
-    for at in range(0, len(left), 256):
-        block = left[at : at + 256]
-        first = at + 1 if right is None else 0  # pairs in order only
-        near = np.bitwise_count(block.astype(np.uint32)[:, None] ^ low[None, first:]) <= radius
-        i, j = np.nonzero(near)
-        i, j = i + at, j + first
-        keep = np.bitwise_count(nodes[i] ^ other[j]) <= radius
-        i, j = i[keep], j[keep] + shift
+        for (inside, visitor), child in zip(rings(np.bitwise_count(fps ^ point).astype(np.int64), bounds, self.radius), children):
+            if len(inside):
+                yield from self.leaves(fps[inside], visits[inside] | (visitor.astype(np.int64) << level), child, level + 1)
+
+
+class Forest:
+    """Union by smallest index over the fingerprints of a task."""
+
+    def __init__(self, nodes: np.ndarray, radius: int):
+        self.nodes, self.radius, self.root = nodes, radius, np.arange(len(nodes))
+
+    def unite(self, i: np.ndarray, j: np.ndarray) -> None:
         while len(i):
-            a, b = root[i], root[j]
+            a, b = self.root[i], self.root[j]
             apart = a != b
             i, j, a, b = i[apart], j[apart], a[apart], b[apart]
             if not len(i):
-                break
-            hi, lo = np.maximum(a, b), np.minimum(a, b)
-            np.minimum.at(root, hi, lo)
-            while not np.array_equal(up := root[root], root):
-                root = up
-    moved = np.flatnonzero(root != np.arange(len(nodes)))
-    return nodes[moved], nodes[root[moved]]
+                return
+            np.minimum.at(self.root, np.maximum(a, b), np.minimum(a, b))
+            while not np.array_equal(up := self.root[self.root], self.root):
+                self.root = up
+
+    def compare(self, left: np.ndarray, right: np.ndarray | None) -> None:
+        """All pairs between two index arrays, or within one, in blocks."""
+        other = left if right is None else right
+        low, mine = self.nodes[other].astype(np.uint32), self.nodes[left].astype(np.uint32)
+        for at in range(0, len(left), 256):
+            first = at + 1 if right is None else 0
+            i, j = np.nonzero(np.bitwise_count(mine[at : at + 256, None] ^ low[None, first:]) <= self.radius)
+            i, j = left[i + at], other[j + first]
+            near = np.bitwise_count(self.nodes[i] ^ self.nodes[j]) <= self.radius
+            self.unite(i[near], j[near])
+
+    def within(self, of: np.ndarray, visits: np.ndarray, level: int, rng) -> None:
+        """All pairs of the indices that have no level where both only visit: by further rings, then in blocks."""
+        if len(of) > FEW and level < DEPTH + DEEP:
+            point = self.nodes[of[rng.integers(len(of))]]
+            d = np.bitwise_count(self.nodes[of] ^ point).astype(np.int64)
+            parts = list(rings(d, ring_bounds(d), self.radius))
+            if max(len(m) for m, _ in parts) < 0.9 * len(of):
+                for inside, visitor in parts:
+                    self.within(of[inside], visits[inside] | (visitor.astype(np.int64) << level), level + 1, rng)
+                return
+        kinds = np.unique(visits)
+        if len(kinds) > 64 or len(of) < 256:
+            self.compare(of, None)
+            return
+        groups = [of[visits == k] for k in kinds]
+        for a, k in enumerate(kinds):
+            if k == 0:
+                self.compare(groups[a], None)
+            rest = [groups[b] for b in range(a + 1, len(kinds)) if not kinds[b] & k]
+            if rest:
+                self.compare(groups[a], np.concatenate(rest))
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        moved = np.flatnonzero(self.root != np.arange(len(self.nodes)))
+        return self.nodes[moved], self.nodes[self.root[moved]]
 
 
 def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
@@ -136,27 +175,27 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
     def deal(batches):
         for b in batches:
             fps = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for leaf, members in tree.leaves(fps):
+            for leaf, members, visits in tree.leaves(fps):
                 c = tree.chunks[leaf]
                 chunk = ((members * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % c
                 for other in range(c):
                     cell = np.minimum(chunk, other) * c + np.maximum(chunk, other)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(members), leaf, np.int64)), pa.array(cell), pa.array(chunk), pa.array(members.view(np.int64))], ["leaf", "cell", "chunk", "fp"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(members), leaf, np.int64)), pa.array(cell), pa.array(chunk), pa.array(visits), pa.array(members.view(np.int64))], ["leaf", "cell", "chunk", "visits", "fp"])
 
     def compare(table: pa.Table) -> pa.Table:
-        fps = table.column("fp").to_numpy().view(np.uint64)
-        chunk = table.column("chunk").to_numpy()
-        mine = chunk == chunk.min() if len(chunk) else chunk
+        fps, visits, chunk = (table.column(c).to_numpy() for c in ("fp", "visits", "chunk"))
+        order = np.argsort(fps.view(np.uint64))
+        visits, chunk, of = visits[order], chunk[order], np.arange(len(order))
+        forest = Forest(fps.view(np.uint64)[order], radius)
         cell, c = table.column("cell")[0].as_py(), tree.chunks[table.column("leaf")[0].as_py()]
         if cell // c == cell % c:
-            a, b = forest(np.sort(fps), None, radius)
-        elif mine.all():
-            a, b = fps[:0], fps[:0]
-        else:
-            a, b = forest(np.sort(fps[mine]), np.sort(fps[~mine]), radius)
+            forest.within(of, visits, DEPTH, np.random.default_rng(3))
+        elif (other := chunk != chunk.min()).any():
+            forest.compare(of[~other], of[other])
+        a, b = forest.links()
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    dealt = distinct.select("fp").mapInArrow(deal, "leaf long, cell long, chunk long, fp long")
+    dealt = distinct.select("fp").mapInArrow(deal, "leaf long, cell long, chunk long, visits long, fp long")
     return dealt.groupBy("leaf", "cell").applyInArrow(compare, "a long, b long")
 
 

@@ -56,7 +56,8 @@ def test_simhash(spark, odd):
 
 
 def test_vantage_point_tree_loses_no_link(spark, monkeypatch):
-    monkeypatch.setattr(simhash_vp, "LEAF", 300)
+    monkeypatch.setattr(simhash_vp, "LEAF", 1000)
+    monkeypatch.setattr(simhash_vp, "FEW", 100)
     rng = np.random.default_rng(1)
     far = rng.integers(0, 1 << 63, 3000, np.uint64)
     near = far[:500].copy()
