@@ -6,6 +6,8 @@ count has level q is entered with the suffixes 1..q, so a count is read by probi
 
     P(w | h) = (c(h w) + u(h) P(w)) / a(h),   a(h) = c(h) + T(h),   u(h) = a(h) - the mass of the stored bigrams of h
 
+The entries of a history are a(h) and the ratio a(h) / u(h).
+
 Bigrams seen once have level 0 and need no entry: their mass belongs to u(h), so the probabilities of a history still sum
 to one before quantisation. A history without stored bigrams needs no entry either: its a and u are equal.
 
@@ -35,8 +37,10 @@ from pyspark.sql import functions as F
 from .common import cut
 
 HEAD, MAX_FILTER, BITS_PER_ENTRY, PROBES, FLUSH = 1 << 20, 256 << 20, 12, 5, 4 << 20
-#: Quantisation steps: counts by factors of 2; a and u of a history, which meet in a ratio, by quarters of that.
-STEP, FINE = 2.0, 2.0**0.25
+#: Quantisation steps: counts, a(h), and the ratio a(h) / u(h), which is near one for most histories.
+STEP, MIDDLE, FINE = 2.0, 2.0**0.5, 2.0**0.25
+#: Texts that a task scores at once.
+TEXTS = 1024
 END, BEGIN = np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B)
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64)
@@ -150,7 +154,7 @@ def value(q: np.ndarray, step: float) -> np.ndarray:
     return step ** (q - 1.0) * (step**0.5 if step < 2 else 1.2)
 
 
-KINDS = {"unigram": 0x1B873593, "bigram": 0xCC9E2D51, "a": 0x85EBCA6B, "u": 0xC2B2AE35}
+KINDS = {"unigram": 0x1B873593, "bigram": 0xCC9E2D51, "a": 0x85EBCA6B, "ratio": 0xC2B2AE35}
 
 
 def salt(kind: str, q: int) -> np.uint64:
@@ -195,18 +199,23 @@ class Filter:
         self.bits = np.frombuffer(b"".join(segments[s] for s in sorted(segments)), np.uint8)
 
     def levels(self, keys: np.ndarray, kind: str) -> np.ndarray:
+        """Probes 1, 2, ... until each key fails."""
         s = slices_of(keys, self.n)
-        size, start = self.size[s], self.start[s]
-        q, left, j = np.zeros(len(keys), np.uint8), np.flatnonzero(size > 0), 1
-        keys, size, start = keys[left], size[left], start[left]
+        q, left, j = np.zeros(len(keys), np.uint8), np.flatnonzero(self.size[s] > 0), 1
+        keys, size, start = keys[left], self.size[s[left]], self.start[s[left]]
+        low = np.uint64(0xFFFFFFFF)
         while len(left) and j < 250:
             h = mix(keys + salt(kind, j))
-            a, b = h >> np.uint64(32), (h & np.uint64(0xFFFFFFFF)) | np.uint64(1)
-            for k in range(PROBES):
-                p = start + ((((a + np.uint64(k) * b) & np.uint64(0xFFFFFFFF)) * size) >> np.uint64(32))
-                hit = ((self.bits[p >> np.uint64(3)] >> (np.uint8(7) - (p & np.uint64(7)).astype(np.uint8))) & np.uint8(1)).astype(bool)
-                if not hit.all():
-                    left, keys, size, start, a, b = left[hit], keys[hit], size[hit], start[hit], a[hit], b[hit]
+            b = (h & low) | np.uint64(1)
+            a = h >> np.uint64(32)
+            on = None  # those that no probe has missed yet
+            for _ in range(PROBES):
+                at = a if on is None else a[on]
+                p = (start if on is None else start[on]) + (((at & low) * (size if on is None else size[on])) >> np.uint64(32))
+                hit = (self.bits[p >> np.uint64(3)] << (p & np.uint64(7)).astype(np.uint8)) & np.uint8(128) != 0
+                on = np.flatnonzero(hit) if on is None else on[hit]
+                a += b
+            left, keys, size, start = left[on], keys[on], size[on], start[on]
             q[left] = j
             j += 1
         return q
@@ -267,7 +276,7 @@ def build(blocks: DataFrame) -> DataFrame:
             a = np.add.reduceat(times, first) + np.bincount(of, minlength=len(first))
             has = mass > 0
             name = (top[first] << np.uint64(32))[has]
-            entries += [(pairs[stored], "bigram", level(times[stored], STEP) - 1), (name, "a", level(a[has], FINE)), (name, "u", level(np.maximum(1, a - mass)[has], FINE))]
+            entries += [(pairs[stored], "bigram", level(times[stored], STEP) - 1), (name, "a", level(a[has], MIDDLE)), (name, "ratio", level(a[has] / np.maximum(1, a - mass)[has], FINE) - 1)]
         return pd.DataFrame({"slice": [key[0]], "keys": [words.tobytes()], "counts": [count.astype(np.int64).tobytes()], "n": [int(count.sum())], "v": [len(words)], "segment": [Segment.of(entries).bits.tobytes()], "histogram": [np.bincount(level(count, FINE), minlength=250).tolist()]})
 
     return blocks.groupBy("slice").applyInPandas(merge, "slice int, keys binary, counts binary, n long, v long, segment binary, histogram array<long>")
@@ -330,8 +339,13 @@ def score(docs: DataFrame, n_slices: int | None = None, head: int = HEAD, max_fi
         return spark.sparkContext.broadcast({r["slice"]: bytes(r["segment"]) for r in got})
 
     def known_levels(f: Filter, t: np.ndarray, h: np.ndarray):
-        name = h & np.uint64(0xFFFFFFFF00000000)
-        return f.levels(t, "unigram"), f.levels(bigrams(t, h), "bigram"), f.levels(name, "a"), f.levels(name, "u")
+        words, word = np.unique(t, return_inverse=True)  # frequent ones have many levels to probe: once each
+        names, name = np.unique(h & np.uint64(0xFFFFFFFF00000000), return_inverse=True)
+        one, a = f.levels(words, "unigram")[word], f.levels(names, "a")[name]
+        # a stored bigram has a stored history, in the same segment, and a word seen twice, maybe in another pass
+        two, may = np.zeros(len(t), np.uint8), np.flatnonzero((a > 0) & ((one > 1) | (f.size[slices_of(t, f.n)] == 0)))
+        two[may] = f.levels(bigrams(t[may], h[may]), "bigram")
+        return one, two, a, f.levels(names, "ratio")[name]
 
     def adder(shared):
         """A pass before the last: levels found in its segments are added to those that came along."""
@@ -355,8 +369,8 @@ def score(docs: DataFrame, n_slices: int | None = None, head: int = HEAD, max_fi
             f = Filter(shared.value, n_slices)
             keys, counts = table.value
             for b in batches:
-                for at in range(0, b.num_rows, 512):
-                    yield from rated(b.slice(at, 512), f, keys, counts)
+                for at in range(0, b.num_rows, TEXTS):
+                    yield from rated(b.slice(at, TEXTS), f, keys, counts)
 
         return run
 
@@ -370,16 +384,18 @@ def score(docs: DataFrame, n_slices: int | None = None, head: int = HEAD, max_fi
         if "levels" in names:
             old = [np.frombuffer(x.as_py(), np.uint8).reshape(4, -1) for x in b.column(names.index("levels"))]
             q = tuple(np.maximum(x, y) for x, y in zip(q, np.concatenate(old, 1)))
-        one, two, qa, qu = (x.astype(np.float64) for x in q)
+        one, two, qa, qr = (x.astype(np.float64) for x in q)
         single = (np.where(one > 0, value(one, STEP), 0.0) + 0.5) / floor
+        two = np.where(one > 1, two, 0.0)
         pair = np.where(two > 0, value(two + 1, STEP), 0.0)
         known = qa > 0
-        # quantised a and u may not exceed the evidence at hand
-        a = np.where(known, np.maximum(value(qa, FINE), pair), 1.0)
-        u = np.where(known, np.minimum(value(np.maximum(qu, 1), FINE), a), 1.0)
+        # a quantised a is no less than the evidence at hand
+        a = np.where(known, np.maximum(value(qa, MIDDLE), pair), 1.0)
+        u = np.where(known, a / np.maximum(1.0, value(qr + 1, FINE)), 1.0)
         p = np.where(known, (np.minimum(pair, a) + u * single) / (a + np.maximum(0, u + np.minimum(pair, a) - a)), single)
         model_score = np.add.reduceat(np.log10(np.minimum(p, 1.0)), starts)
-        place = np.minimum(np.searchsorted(keys, t), max(0, len(keys) - 1))
+        words, word = np.unique(t, return_inverse=True)
+        place = np.minimum(np.searchsorted(keys, words), max(0, len(keys) - 1))[word]
         inside = keys[place] == t if len(keys) else np.zeros(len(t), bool)
         base = np.where(inside, np.log10((counts[place] if len(keys) else 0) + 0.5) - math.log10(floor), 0.0)
         yield pa.RecordBatch.from_arrays(
