@@ -14,11 +14,11 @@ YEAR_DAYS = 365.2425
 
 
 def ndvi(nir: Column, red: Column) -> Column:
-    return (nir - red) / (nir + red + F.lit(EPSILON))
+    return F.try_divide(nir - red, nir + red + F.lit(EPSILON))
 
 
 def evi(nir: Column, red: Column, blue: Column, gain: float = 2.5, c1: float = 6.0, c2: float = 7.5, soil: float = 1.0) -> Column:
-    return F.lit(gain) * (nir - red) / (nir + F.lit(c1) * red - F.lit(c2) * blue + F.lit(soil))
+    return F.try_divide(F.lit(gain) * (nir - red), nir + F.lit(c1) * red - F.lit(c2) * blue + F.lit(soil))
 
 
 def finite(c: Column) -> Column:
@@ -271,7 +271,7 @@ def without_seed(run: Column) -> Column:
 
 
 def standardised(value: Column, mean: Column, std: Column, fill: float | None = None) -> Column:
-    z = (finite(value) - mean) / std
+    z = F.try_divide(finite(value) - mean, std)
     return z if fill is None else F.coalesce(z, F.lit(fill))
 
 

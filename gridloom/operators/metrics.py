@@ -88,11 +88,12 @@ def diagnostics(df: DataFrame, fold: str, target: str = "target", pred: str = "p
     )
     pool = d.agg(F.count("*").alias("tn"), F.sum("y").alias("ty"), F.stddev_pop("y").alias("ts"))
     x = per.crossJoin(F.broadcast(pool))  # one row
-    rest = (F.col("ty") - F.col("sy")) / (F.col("tn") - F.col("n"))
+    ratio = F.try_divide
+    rest = ratio(F.col("ty") - F.col("sy"), F.col("tn") - F.col("n"))
     return x.select(
-        fold, "n", "bias", (F.col("bias") * F.col("bias") / F.col("mse")).alias("bias_share"), (1 - F.col("mse") / F.col("vy")).alias("r2"),
-        (1 - (F.col("mse") - F.col("bias") * F.col("bias")) / F.col("vy")).alias("r2_unbiased"), (-(rest - F.col("my")) * (rest - F.col("my")) / F.col("vy")).alias("r2_mean_of_rest"),
-        (F.sqrt("vy") / F.col("ts")).alias("std_share"), (F.col("sp") / F.sqrt("vy")).alias("pred_std_ratio"),
+        fold, "n", "bias", ratio(F.col("bias") * F.col("bias"), F.col("mse")).alias("bias_share"), (1 - ratio(F.col("mse"), F.col("vy"))).alias("r2"),
+        (1 - ratio(F.col("mse") - F.col("bias") * F.col("bias"), F.col("vy"))).alias("r2_unbiased"), ratio(-(rest - F.col("my")) * (rest - F.col("my")), F.col("vy")).alias("r2_mean_of_rest"),
+        ratio(F.sqrt("vy"), F.col("ts")).alias("std_share"), ratio(F.col("sp"), F.sqrt("vy")).alias("pred_std_ratio"),
     )
 
 
@@ -100,7 +101,7 @@ def within_field(df: DataFrame, by: list[str] = (), season: str = "season_id", l
     """Metrics after centring target and prediction on their season: ratio of sums, medians of seasons, share of variance."""
     s = field_sums(df, [*by, season], target, pred).filter(F.col("n") >= least)
     total = s.groupBy(*by).agg(F.sum("sy").alias("sy"), F.sum("syy").alias("syy"), F.sum("n").alias("n"), F.sum("wsst").alias("wsst"), F.sum("wsse").alias("wsse"), F.median(F.when(F.col("wsst") > 0, 1 - F.col("wsse") / F.col("wsst"))).alias("r2_median"), F.median(F.when((F.col("wsst") > 0) & (F.col("wspp") > 0), F.col("wspy") / F.sqrt(F.col("wsst") * F.col("wspp")))).alias("r_median"), F.median(F.when(F.col("wsst") > 0, F.sqrt(F.col("wspp") / F.col("wsst")))).alias("std_ratio_median"), F.count("*").alias("seasons"))
-    return total.select(*by, "seasons", "n", F.when(F.col("wsst") > 0, 1 - F.col("wsse") / F.col("wsst")).alias("r2_within"), "r2_median", "r_median", "std_ratio_median", (F.col("wsst") / (F.col("syy") - F.col("sy") * F.col("sy") / F.col("n"))).alias("within_share"))
+    return total.select(*by, "seasons", "n", F.when(F.col("wsst") > 0, 1 - F.col("wsse") / F.col("wsst")).alias("r2_within"), "r2_median", "r_median", "std_ratio_median", F.try_divide(F.col("wsst"), F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")).alias("within_share"))
 
 
 def field_sums(df: DataFrame, by: list[str], target: str = "target", pred: str = "pred") -> DataFrame:
