@@ -218,7 +218,7 @@ def parse_season_name(name: Column) -> Column:
     """struct(country, provider, farm, field, crop, year); any other shape fails."""
     part = lambda k: F.regexp_extract(name, SEASON_NAME, k)
     country = F.when(name.rlike(SEASON_NAME), part(1)).otherwise(F.raise_error(F.concat(F.lit("unrecognised season name "), F.coalesce(name, F.lit("null")))))
-    return F.struct(country.alias("country"), part(2).alias("provider"), part(3).alias("farm"), part(4).alias("field"), part(5).alias("crop"), part(6).cast("int").alias("year"))
+    return F.struct(country.alias("country"), part(2).alias("provider"), part(3).alias("farm"), part(4).alias("field"), part(5).alias("crop"), part(6).try_cast("int").alias("year"))
 
 
 def pair_code(country: Column, crop: Column, countries: dict[str, str], crops: dict[str, str]) -> Column:

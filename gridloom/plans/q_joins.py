@@ -169,7 +169,7 @@ def j14_raster_correspondence(spark, d):
     return V.rounded(J.correspondence(raster, c.filter("(grid_row + grid_col) % 3 = 0"), "target", 0.01, by=["season_id"]))
 
 
-@query("""SELECT l.doc_id % 7 AS grp, count(*) AS n, count_if(quality = toxic) AS agreeing FROM labels l GROUP BY 1""")
+@query("""SELECT l.doc_id % 7 AS grp, count(*) AS n, count(CASE WHEN quality = toxic THEN 1 END) AS agreeing FROM labels l GROUP BY 1""")
 def j16_agreement_flag(spark, d):
     labels = V.table(spark, d, "labels")
     x = J.agreeing(labels.select("doc_id", F.col("quality").alias("v")), labels.select("doc_id", F.col("toxic").alias("v")), ["doc_id"], "v")
@@ -177,7 +177,7 @@ def j16_agreement_flag(spark, d):
 
 
 @query("""WITH g AS (SELECT doc_id, 'quality' AS kind, quality::DOUBLE AS gold FROM labels), e AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE (n_chars % 100) / 100.0 END AS said FROM documents WHERE doc_id % 13 <> 0)
- SELECT kind, count(e.doc_id) AS matched, count_if(e.doc_id IS NULL) AS unmatched, count_if(e.doc_id IS NOT NULL AND said IS NULL) AS unknown, round(avg(abs(said - gold)), 6) AS mae, round(avg((said - gold)*(said - gold)), 6) AS brier FROM g LEFT JOIN e USING (doc_id) GROUP BY 1""")
+ SELECT kind, count(e.doc_id) AS matched, count(CASE WHEN e.doc_id IS NULL THEN 1 END) AS unmatched, count(CASE WHEN e.doc_id IS NOT NULL AND said IS NULL THEN 1 END) AS unknown, round(avg(abs(said - gold)), 6) AS mae, round(avg((said - gold)*(said - gold)), 6) AS brier FROM g LEFT JOIN e USING (doc_id) GROUP BY 1""")
 def j20_annotation_audit(spark, d):
     gold = V.table(spark, d, "labels").select("doc_id", F.lit("quality").alias("kind"), F.col("quality").cast("double").alias("value"))
     said = V.table(spark, d, "documents").filter("doc_id % 13 <> 0").select("doc_id", F.when(F.col("doc_id") % 11 != 0, F.col("n_chars") % 100 / 100.0).alias("value"))
@@ -246,7 +246,7 @@ def f02_static_validity(spark, d):
     return X.static_validity(l, ["curvature"], {"curvature": 20.0})
 
 
-@query(f"""WITH {V.ACQ}, x AS (SELECT day(day) AS t, 5 + cell_id % 5 AS s, 20 + cell_id % 8 AS h FROM acq) SELECT m AS mode, count_if(CASE m WHEN 'all_slots' THEN true WHEN 'harvest' THEN t <= h WHEN 'before_harvest' THEN t <= h - 4 ELSE t <= s + 4 END) AS visible
+@query(f"""WITH {V.ACQ}, x AS (SELECT day(day) AS t, 5 + cell_id % 5 AS s, 20 + cell_id % 8 AS h FROM acq) SELECT m AS mode, count(CASE WHEN CASE m WHEN 'all_slots' THEN true WHEN 'harvest' THEN t <= h WHEN 'before_harvest' THEN t <= h - 4 ELSE t <= s + 4 END THEN 1 END) AS visible
  FROM x, (SELECT unnest(['all_slots', 'harvest', 'before_harvest', 'after_seeding']) AS m) GROUP BY 1""")
 def f03_prediction_cutoff(spark, d):
     a = V.acq(spark, d).select(F.dayofmonth("day").alias("t"), (5 + F.col("cell_id") % 5).alias("s"), (20 + F.col("cell_id") % 8).alias("h"))
@@ -254,7 +254,7 @@ def f03_prediction_cutoff(spark, d):
     return a.agg(*seen).unpivot([], ["all_slots", "harvest", "before_harvest", "after_seeding"], "mode", "visible")
 
 
-@query(f"WITH {V.ACQ} SELECT cell_id, count(*) AS acquisitions, count_if(clear = 1 AND b > 0) AS clear_cells, count_if(b > 400) AS saturated FROM acq GROUP BY 1")
+@query(f"WITH {V.ACQ} SELECT cell_id, count(*) AS acquisitions, count(CASE WHEN clear = 1 AND b > 0 THEN 1 END) AS clear_cells, count(CASE WHEN b > 400 THEN 1 END) AS saturated FROM acq GROUP BY 1")
 def f05_f06_a29_composite_counts(spark, d):
     clear = (F.col("clear") == 1) & F.forall(F.array("b"), lambda x: x > 0)
     return V.acq(spark, d).groupBy("cell_id").agg(F.count("*").alias("acquisitions"), F.count_if(clear).alias("clear_cells"), F.count_if(F.col("b") > 400).alias("saturated"))

@@ -139,7 +139,7 @@ def a19_zone_scores(spark, d):
 @query(f"""{V.PANEL}, x AS (SELECT crop, fold, season_id % 3 AS m, pred - target AS e FROM cells JOIN seasons USING (season_id)),
  u AS (SELECT unnest(['r', 's', 't', 'r+s', 'r+t', 's+t', 'r+s+t']) AS sub), b AS (SELECT sub, len(string_split(sub, '+')) AS kept, sqrt(avg(e*e)) AS rmse
  FROM u JOIN x ON list_contains(string_split(sub, '+'), chr(114 + CAST(m AS INT))) GROUP BY 1, 2)
- SELECT kept, count(*) AS subsets, round(avg(rmse), 6) AS mean, round(min(rmse), 6) AS best, round(max(rmse), 6) AS worst, arg_min(sub, rmse) AS best_subset FROM b GROUP BY kept""")
+ SELECT CAST(kept AS INT) AS kept, count(*) AS subsets, round(avg(rmse), 6) AS mean, round(min(rmse), 6) AS best, round(max(rmse), 6) AS worst, arg_min(sub, rmse) AS best_subset FROM b GROUP BY kept""")
 def a20_modality_robustness(spark, d):
     part = spark.sql("SELECT * FROM VALUES (array('r')), (array('s')), (array('t')), (array('r','s')), (array('r','t')), (array('s','t')), (array('r','s','t')) AS u(subset)")
     x = V.panel(spark, d).withColumn("m", F.char(F.lit(114) + F.col("season_id") % 3))

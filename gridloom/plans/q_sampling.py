@@ -178,7 +178,7 @@ def t07_year_quotas(spark, d):
     return T.year_quotas(x, "n", [2021, 2022, 2023, 2024, 2025], "o").select("k", "year", "quota")
 
 
-@query(f"""WITH c AS (SELECT c_custkey AS id, c_mktsegment AS stratum, (c_custkey % 100) / 200.0 AS share, 1.0 + c_custkey % 17 AS w FROM customer WHERE c_custkey % 10 <> 3), t AS (SELECT *, CASE WHEN count_if(share >= 0.25) OVER k >= 5 THEN 0.25 WHEN count_if(share >= 0.1) OVER k >= 5 THEN 0.1 ELSE 0.02 END AS threshold FROM c WINDOW k AS (PARTITION BY stratum)),
+@query(f"""WITH c AS (SELECT c_custkey AS id, c_mktsegment AS stratum, (c_custkey % 100) / 200.0 AS share, 1.0 + c_custkey % 17 AS w FROM customer WHERE c_custkey % 10 <> 3), t AS (SELECT *, CASE WHEN count(CASE WHEN share >= 0.25 THEN 1 END) OVER k >= 5 THEN 0.25 WHEN count(CASE WHEN share >= 0.1 THEN 1 END) OVER k >= 5 THEN 0.1 ELSE 0.02 END AS threshold FROM c WINDOW k AS (PARTITION BY stratum)),
  e AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY -ln(({H('id')} + 0.5) / 4294967296) / w, id) i FROM t WHERE share >= threshold) SELECT stratum, id, threshold::DOUBLE AS threshold FROM e WHERE i <= 5""")
 def t08_select_clusters(spark, d):
     k = F.col("c_custkey")
@@ -219,7 +219,7 @@ def t13_best_entry(spark, d):
     return V.table(spark, d, "orders").groupBy("o_custkey").agg(F.max("o_totalprice").alias("best"), F.max_by("o_orderkey", F.struct("o_totalprice", -F.col("o_orderkey"))).alias("o_orderkey"))
 
 
-@query(f"""{V.PANEL} SELECT crop, count_if(({CELL}) * 2654435761 % 1000 < 250) AS dropped, count(*) AS n, round(avg(CASE WHEN ({CELL}) * 2654435761 % 1000 >= 250 THEN target END), 6) AS kept_mean FROM cells JOIN seasons USING (season_id) GROUP BY 1""")
+@query(f"""{V.PANEL} SELECT crop, count(CASE WHEN ({CELL}) * 2654435761 % 1000 < 250 THEN 1 END) AS dropped, count(*) AS n, round(avg(CASE WHEN ({CELL}) * 2654435761 % 1000 >= 250 THEN target END), 6) AS kept_mean FROM cells JOIN seasons USING (season_id) GROUP BY 1""")
 def t16_dropped_stream(spark, d):
     x = T.drop_stream(V.panel(spark, d).withColumn("k", F.expr(CELL)), "k", 0.25, ["target"])
     return V.rounded(x.groupBy("crop").agg(F.count_if("dropped").alias("dropped"), F.count("*").alias("n"), F.avg("target").alias("kept_mean")))
@@ -294,7 +294,7 @@ def u04_shares_ground(spark, d):
     return G.shares_ground(s, s.filter("season_id % 5 = 0"), "physical_field_id").select("season_id")
 
 
-@query(f"""{FIELD} SELECT f.year AS fold, CASE WHEN s.year = f.year THEN 'test' ELSE 'other' END AS role, count(*) AS seasons, count_if(s.year <> f.year AND EXISTS (SELECT 1 FROM sf t WHERE t.year = f.year AND t.physical_field_id = s.physical_field_id)) AS overlap
+@query(f"""{FIELD} SELECT f.year AS fold, CASE WHEN s.year = f.year THEN 'test' ELSE 'other' END AS role, count(*) AS seasons, count(CASE WHEN s.year <> f.year AND EXISTS (SELECT 1 FROM sf t WHERE t.year = f.year AND t.physical_field_id = s.physical_field_id) THEN 1 END) AS overlap
  FROM (SELECT DISTINCT year FROM sf) f, sf s GROUP BY 1, 2""")
 def g06_leave_year_out_folds(spark, d):
     x = G.folds_by(_with_field(spark, d), "year", "physical_field_id")
