@@ -55,4 +55,19 @@ def op10_pii(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_spotsigs, op3_decontamination, op4_suffix_dedup, op5_bloom_lm, op6_hilbert_shards, op7_simhash_vp, op8_quality_fm, op9_chat_format, op10_pii)}
 
-ORACLE: dict[str, str] = {}
+_ESCAPED = "replace({}, '\\', '\\\\')"
+for _control in chat.CONTROLS:
+    _ESCAPED = f"replace({_ESCAPED}, '{_control}', '{_control[0]}\\{_control[1:]}')"
+_LENGTH = "length({e})".replace("{e}", _ESCAPED)
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: SQL for the operators whose results it can express; the others are tested against brute force, libraries or held-out rows.
+ORACLE: dict[str, str] = {
+    "op3_decontamination": f"""WITH b AS (SELECT item_id, {_WORDS} AS w FROM benchmark), g AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS gram FROM (SELECT *, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+ d AS (SELECT doc_id, {_WORDS} AS w FROM documents), k AS (SELECT DISTINCT n FROM g), h AS (SELECT doc_id, i, p.n, item_id FROM (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS gram FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM d), k WHERE i + n - 1 <= len(w)) p JOIN g ON g.n = p.n AND g.gram = p.gram),
+ c AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS x FROM h) GROUP BY 1), t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM h GROUP BY 1)
+ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op9_chat_format": f"""WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', '{chat.PROBE}' UNION ALL SELECT -1, 1, 'assistant', '{chat.PROBE}')
+ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn, role, text)) AS turns_sha256, CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
+ sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256, CAST(sum({len(chat.START) + len(chat.END) + 2} + {_LENGTH.format('role')} + {_LENGTH.format('text')}) AS BIGINT) AS formatted_chars FROM r GROUP BY 1""",
+}
