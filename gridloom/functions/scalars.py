@@ -300,3 +300,33 @@ def display_stretch(df: DataFrame, value: str, by: list[str], out: str, low: flo
     lo, hi = F.get("__q", F.lit(0)), F.get("__q", F.lit(1))
     x = (F.col(value) - lo) / F.greatest(hi - lo, F.lit(1e-6))
     return df.join(q, by).withColumn(out, F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)) * 255).cast("int")).drop("__q")
+
+
+def weather_units(df: DataFrame, celsius: list[str], millimetres: list[str]) -> DataFrame:
+    """Celsius to kelvin and millimetres to metres; days with any missing value are left out."""
+    x = df.dropna(subset=[*celsius, *millimetres])
+    return x.withColumns({**{c: F.col(c) + 273.15 for c in celsius}, **{c: F.col(c) / 1000.0 for c in millimetres}})
+
+
+def standardised_by_registry(df: DataFrame, registry: dict[str, tuple[list[float], list[float]]], source: str, vector: str) -> DataFrame:
+    """Array channels scaled by their source's registered means and deviations; unknown sources pass, a wrong channel count fails."""
+    out = F.col(vector)
+    for name, (mean, std) in registry.items():
+        m, s = F.array(*map(F.lit, mean)), F.array(*[F.lit(x if x > 0 else 1.0) for x in std])
+        z = F.transform(F.arrays_zip(F.col(vector).alias("v"), m.alias("m"), s.alias("s")), lambda x: (x["v"] - x["m"]) / x["s"])
+        wrong = F.raise_error(F.lit(f"{name}: expected {len(mean)} channels")).cast("array<double>")
+        out = F.when(F.col(source) == name, F.when(F.size(vector) == len(mean), z).otherwise(wrong)).otherwise(out)
+    return df.withColumn(vector, out)
+
+
+def packed_key(season: Column, row: Column, col: Column) -> Column:
+    """One 64-bit key of a cell: season above bit 40, row above bit 20, column."""
+    return F.shiftleft(season.cast("long"), 40).bitwiseOR(F.shiftleft(row.cast("long"), 20)).bitwiseOR(col.cast("long"))
+
+
+def rgb_valid(bands: list[Column], day: Column, occupied: Column) -> Column:
+    """All bands finite on a dated slot of an occupied position."""
+    ok = day.isNotNull() & occupied
+    for b in bands:
+        ok = ok & finite(b).isNotNull()
+    return F.coalesce(ok, F.lit(False))

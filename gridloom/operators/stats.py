@@ -161,3 +161,27 @@ def relation_alignment(a: Column, b: Column, rule: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
     r = F.transform(rule, lambda x: x.cast("double"))
     return F.when((dot(diff, diff) > 0) & (dot(r, r) > 0), dot(diff, r) / F.sqrt(dot(diff, diff) * dot(r, r)))
+
+
+def statistics_for(policy: str, train: DataFrame, supplied: DataFrame | None = None, test: DataFrame | None = None) -> DataFrame | None:
+    """Which (channel, mean, std) table a policy uses: train, supplied (repaired), test, or none for no scaling."""
+    if policy == "none":
+        return None
+    tables = {"train": train, "supplied": None if supplied is None else repaired(supplied), "test": test}
+    if policy not in tables or tables[policy] is None:
+        raise ValueError(f"no statistics for policy {policy}")
+    return tables[policy]
+
+
+def cache_audit(df: DataFrame, key: list[str], channels: list[str], day: str, limits: dict[str, float] = {}) -> DataFrame:  # noqa: B006
+    """Counters of a canonical table in one pass: rows, units, undated rows, missing and over-limit values per channel."""
+    counts = [x for c in channels for x in (F.count_if(finite(F.col(c)).isNull()).alias(f"missing_{c}"), F.count_if(F.coalesce(F.abs(finite(F.col(c))) > limits.get(c, 1.7e308), F.lit(False))).alias(f"over_{c}"))]
+    units = df.select(*key).distinct().agg(F.count("*").alias("units"))
+    return df.agg(F.count("*").alias("rows"), F.count_if(F.col(day).isNull()).alias("undated"), *counts).crossJoin(units)  # one row each
+
+
+def dense_field_stats(obs: DataFrame, by: list[str], channels: list[str], saturated: float = 65504.0) -> DataFrame:
+    """Statistics of a dense series after values over the half-float range are dropped; their count comes along."""
+    over = {c: F.when(finite(F.col(c)) <= saturated, F.col(c)) for c in channels}
+    n = obs.groupBy(*by).agg(F.sum(sum((F.coalesce(finite(F.col(c)) > saturated, F.lit(False)).cast("int") for c in channels), F.lit(0))).alias("saturated"))
+    return sufficient_stats(obs.withColumns(over), by, channels).join(n, by)

@@ -220,3 +220,25 @@ def content_hash(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
 
 def parsed_json(df: DataFrame, column: str, schema: str | T.StructType, out: str = "parsed") -> DataFrame:
     return df.withColumn(out, F.from_json(column, schema))
+
+
+def read_weather(spark: SparkSession, paths: list[str], schema: str, wanted: list[str]) -> DataFrame:
+    """Daily weather CSV files of seasons; columns that some lack become null."""
+    parts = [trimmed(spark.read.csv(p, header=True)) for p in paths]
+    x = union_all(parts)
+    kinds = {f.name: f.dataType for f in T._parse_datatype_string(schema).fields}
+    return x.select(*[(F.col(c).try_cast(kinds[c]) if c in x.columns else F.lit(None).cast(kinds[c])).alias(c) for c in wanted])
+
+
+def read_tiles(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Tile metadata, a JSON object a line, with the season's id."""
+    t = spark.read.schema(schema).json(path)
+    return t.withColumn("season_id", F.concat_ws("_", "country", "field"))
+
+
+def tiles_for(tiles: DataFrame, assigned: DataFrame, partition: str, crops: list[str] | None = None, excluded: DataFrame | None = None) -> DataFrame:
+    """Tiles of a partition's seasons, of some crops only, without excluded seasons."""
+    x = tiles.join(assigned.filter(F.col("partition") == partition).select("season_id"), "season_id", "left_semi")
+    if crops is not None:
+        x = x.filter(F.col("crop").isin(crops))
+    return x if excluded is None else x.join(excluded.select("season_id"), "season_id", "left_anti")
