@@ -21,7 +21,7 @@ H = T.mixed_sql
 # --- scalars -------------------------------------------------------------------------------------
 
 
-@query("""SELECT l_orderkey, l_partkey, round((q - r) / nullif(q + r + 1e-8, 0), 6) AS ndvi, round(2.5 * (q - r) / nullif(q + 6 * r - 7.5 * b + 1, 0), 6) AS evi, CASE WHEN q > 0 AND r > 0 THEN round((q - r) / (q + r), 6) END AS ratio
+@query("""SELECT l_orderkey, l_partkey, round((q - r) / nullif(q + r + 1e-8, 0), 6) + 0.0 AS ndvi, round(2.5 * (q - r) / nullif(q + 6 * r - 7.5 * b + 1, 0), 6) + 0.0 AS evi, CASE WHEN q > 0 AND r > 0 THEN round((q - r) / (q + r), 6) + 0.0 END AS ratio
  FROM (SELECT l_orderkey, l_partkey, l_quantity AS q, l_discount * 100 AS r, l_tax * 10 AS b FROM lineitem)""")
 def p01_p04_spectral_indices(spark, d):
     l = V.table(spark, d, "lineitem").select("l_orderkey", "l_partkey", F.col("l_quantity").alias("nir"), (F.col("l_discount") * 100).alias("red"), (F.col("l_tax") * 10).alias("blue"))  # noqa: E741
@@ -48,7 +48,7 @@ def p07_time_features(spark, d):
     return V.rounded(V.table(spark, d, "events").select("event_id", C.since_seeding(t, F.lit(19700)).alias("since"), s.alias("sin_day"), c.alias("cos_day")))
 
 
-@query("""SELECT c_custkey, round(sin(radians(a)), 6) AS s, round(cos(radians(a)), 6) AS c, round(cos(radians(a - CASE k WHEN 0 THEN 180 WHEN 1 THEN 180 WHEN 2 THEN 180 ELSE 0 END)), 6) AS pole FROM (SELECT c_custkey, (c_custkey * 37) % 360 AS a, c_custkey % 4 AS k FROM customer)""")
+@query("""SELECT c_custkey, round(sin(radians(a)), 6) + 0.0 AS s, round(cos(radians(a)), 6) + 0.0 AS c, round(cos(radians(a - CASE k WHEN 0 THEN 180 WHEN 1 THEN 180 WHEN 2 THEN 180 ELSE 0 END)), 6) + 0.0 AS pole FROM (SELECT c_custkey, (c_custkey * 37) % 360 AS a, c_custkey % 4 AS k FROM customer)""")
 def p08_p09_aspect(spark, d):
     k = F.col("c_custkey")
     x = V.table(spark, d, "customer").select(k, (k * 37 % 360).cast("double").alias("a"), F.get(F.array(*map(F.lit, C.POLE_AZIMUTH)), (k % 4).cast("int")).alias("country"))

@@ -25,7 +25,7 @@ def plain(v):
     if isinstance(v, bool) or v is None:
         return str(v)
     if isinstance(v, (int, float, decimal.Decimal)):
-        return "None" if math.isnan(v) else f"{float(v):.7g}"
+        return "None" if math.isnan(v) else f"{float(v) + 0.0:.7g}"
     if isinstance(v, (datetime.datetime, datetime.date)):
         return v.isoformat()[:10]
     return str(v)
