@@ -4,12 +4,10 @@ Tokens are lowered runs of non-blank bytes plus one end per text, named by 64-bi
 with Witten-Bell weights over a unigram model; its counts live in one Bloom filter of quantised counts. An n-gram whose
 count has level q is entered with the suffixes 1..q, so a count is read by probing 1, 2, ... until a probe fails.
 
-    P(w | h) = (c(h w) + u(h) P(w)) / a(h),   a(h) = c(h) + T(h),   u(h) = a(h) - the mass of the stored bigrams of h
+    P(w | h) = (c(h w) + u(h) P(w)) / a(h),   a(h) = c(h) + T(h),   u(h) = T(h)
 
-The entries of a history are a(h) and the ratio a(h) / u(h).
-
-Bigrams seen once have level 0 and need no entry: their mass belongs to u(h), so the probabilities of a history still sum
-to one before quantisation. A history without stored bigrams needs no entry either: its a and u are equal.
+Every counted bigram is entered, those seen once with level 1, which stands for exactly one. The entries of a history are
+a(h) and the ratio a(h) / u(h); both are two at least, so their levels count from there, and the ratio's lowest needs no entry.
 
 Counting, over all training rows: a map counts n-grams of its partition and packs them by hash slice into binary blocks;
 one task per slice merges sorted blocks, so a frequent n-gram reaches a reducer once per map task. The slice of a key picks
@@ -271,12 +269,10 @@ def build(blocks: DataFrame) -> DataFrame:
             top = pairs >> np.uint64(32)
             first = np.flatnonzero(np.append(True, top[1:] != top[:-1]))
             of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(pairs))))
-            stored = times >= 2
-            mass = np.bincount(of, times * stored, len(first))
-            a = np.add.reduceat(times, first) + np.bincount(of, minlength=len(first))
-            has = mass > 0
-            name = (top[first] << np.uint64(32))[has]
-            entries += [(pairs[stored], "bigram", level(times[stored], STEP) - 1), (name, "a", level(a[has], MIDDLE)), (name, "ratio", level(a[has] / np.maximum(1, a - mass)[has], FINE) - 1)]
+            types = np.bincount(of, minlength=len(first))
+            a = np.add.reduceat(times, first) + types
+            name = top[first] << np.uint64(32)
+            entries += [(pairs, "bigram", level(times, STEP)), (name, "a", level(a / 2, MIDDLE)), (name, "ratio", level(a / types / 2, FINE) - 1)]
         return pd.DataFrame({"slice": [key[0]], "keys": [words.tobytes()], "counts": [count.astype(np.int64).tobytes()], "n": [int(count.sum())], "v": [len(words)], "segment": [Segment.of(entries).bits.tobytes()], "histogram": [np.bincount(level(count, FINE), minlength=250).tolist()]})
 
     return blocks.groupBy("slice").applyInPandas(merge, "slice int, keys binary, counts binary, n long, v long, segment binary, histogram array<long>")
@@ -342,8 +338,8 @@ def score(docs: DataFrame, n_slices: int | None = None, head: int = HEAD, max_fi
         words, word = np.unique(t, return_inverse=True)  # frequent ones have many levels to probe: once each
         names, name = np.unique(h & np.uint64(0xFFFFFFFF00000000), return_inverse=True)
         one, a = f.levels(words, "unigram")[word], f.levels(names, "a")[name]
-        # a stored bigram has a stored history, in the same segment, and a word seen twice, maybe in another pass
-        two, may = np.zeros(len(t), np.uint8), np.flatnonzero((a > 0) & ((one > 1) | (f.size[slices_of(t, f.n)] == 0)))
+        # a bigram has a history, in the same segment, and a known word, maybe in another pass
+        two, may = np.zeros(len(t), np.uint8), np.flatnonzero((a > 0) & ((one > 0) | (f.size[slices_of(t, f.n)] == 0)))
         two[may] = f.levels(bigrams(t[may], h[may]), "bigram")
         return one, two, a, f.levels(names, "ratio")[name]
 
@@ -386,12 +382,12 @@ def score(docs: DataFrame, n_slices: int | None = None, head: int = HEAD, max_fi
             q = tuple(np.maximum(x, y) for x, y in zip(q, np.concatenate(old, 1)))
         one, two, qa, qr = (x.astype(np.float64) for x in q)
         single = (np.where(one > 0, value(one, STEP), 0.0) + 0.5) / floor
-        two = np.where(one > 1, two, 0.0)
-        pair = np.where(two > 0, value(two + 1, STEP), 0.0)
+        two = np.where(one > 0, two, 0.0)
+        pair = np.where(two > 1, value(two, STEP), np.minimum(two, 1.0))
         known = qa > 0
         # a quantised a is no less than the evidence at hand
-        a = np.where(known, np.maximum(value(qa, MIDDLE), pair), 1.0)
-        u = np.where(known, a / np.maximum(1.0, value(qr + 1, FINE)), 1.0)
+        a = np.where(known, np.maximum(2 * value(qa, MIDDLE), pair), 1.0)
+        u = np.where(known, a / (2 * value(qr + 1, FINE)), 1.0)
         p = np.where(known, (np.minimum(pair, a) + u * single) / (a + np.maximum(0, u + np.minimum(pair, a) - a)), single)
         model_score = np.add.reduceat(np.log10(np.minimum(p, 1.0)), starts)
         words, word = np.unique(t, return_inverse=True)
