@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,10 +25,17 @@ def ascii_lower(c: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names for checkpoints; an own one only where it names none."""
+    """The folder that the session names for checkpoints. Only a local session, as in tests, may go without: it gets one of its own."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("spark.checkpoint.dir names no shared folder; executors of a cluster can't read the driver's own")
+            import tempfile
+
+            named = tempfile.mkdtemp(prefix="ckpt-")
+        sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -46,6 +52,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of `stored` that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        for file in df.inputFiles()[:1]:  # any file names the table's folder
+            path = jvm.org.apache.hadoop.fs.Path(file).getParent()
+            if path.getName().startswith("table-"):
+                path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def sha_hex(c: Column) -> Column:
     """SHA-256 of the UTF-8 bytes, lowercase hex."""
     return F.sha2(c.cast("binary"), 256)
