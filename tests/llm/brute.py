@@ -136,7 +136,7 @@ def repeats(docs, length):
         yield d, len(r), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()
 
 
-def passages(docs, words=51, least=175):
+def passages(docs, words=51, least=240):
     """doc_id: words in strings of `words` words (and `least` bytes) that another document has too."""
     raws = [(d, (t or "").encode()) for d, t in docs]
     strings, owners = [], {}
