@@ -136,14 +136,12 @@ def repeats(docs, length):
         yield d, len(r), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()
 
 
-def passages(docs, words=51, least=240):
-    """doc_id: words in strings of `words` words (and `least` bytes) that another document has too."""
+def shared(docs, core, reach, anchors):
+    """doc_id: whether it has `core` bytes at an anchor that an anchor of another document has too."""
     raws = [(d, (t or "").encode()) for d, t in docs]
-    strings, owners = [], {}
-    for n, (_, r) in enumerate(raws):
-        w = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", r)]
-        mine = [r[w[i][0] : max(w[i + words - 1][1], w[i][0] + least)] for i in range(len(w) - words + 1) if w[i][0] + least <= len(r)]
-        strings.append(mine)
+    strings = [{r[p : p + core] for p in anchors(r)[0].tolist()} for _, r in raws]
+    count = {}
+    for mine in strings:
         for x in mine:
-            owners.setdefault(x, set()).add(n)
-    return {d: len({j for i, x in enumerate(mine) if len(owners[x]) > 1 for j in range(i, i + words)}) for (d, _), mine in zip(raws, strings)}
+            count[x] = count.get(x, 0) + 1
+    return {d: any(count[x] > 1 for x in mine) for (d, _), mine in zip(raws, strings)}
