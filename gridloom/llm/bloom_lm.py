@@ -13,7 +13,9 @@ Counting, over all training rows: a map counts n-grams of its partition and pack
 one task per slice merges sorted blocks, so a frequent n-gram reaches a reducer once per map task. The slice of a key picks
 its segment of the filter, and the same task sets the segment's bits: nothing else is merged. Segments are sized by their
 entries; all of them are broadcast together up to `MAX_FILTER` bytes, and beyond that in several passes of whole segments
-over the texts, each adding the levels it knows, so the size of a broadcast is bounded whatever the corpus.
+over the texts, each adding the levels it knows. A pass ends in a table and its broadcast is destroyed before the next one, so that a
+worker holds one part of the filter at a time. A slice stands for `SLICE` bytes of text, so slices grow in number and not in size; the
+passes grow in number with the corpus.
 
 The exact unigram base score takes the counts of the `HEAD` most frequent tokens from a broadcast table (bounded) and joins
 the occurrences of all others by slice with the exact counts. All data between tasks are binary blocks of numpy arrays.
@@ -32,9 +34,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard, stored
 
 HEAD, MAX_FILTER, BITS_PER_ENTRY, PROBES, FLUSH = 1 << 20, 256 << 20, 12, 5, 4 << 20
+#: Bytes of text for which there is a slice.
+SLICE = 256 << 20
 #: Quantisation steps: counts, a(h), and the ratio a(h) / u(h), which is near one for most histories.
 STEP, MIDDLE, FINE = 2.0, 2.0**0.5, 2.0**0.25
 #: Texts that a task scores at once.
@@ -306,7 +310,7 @@ def passes(sizes: dict[int, int], most: int) -> list[list[int]]:
     room = most
     for s, size in sorted(sizes.items()):
         if size > most:
-            raise ValueError(f"filter segment {s} has {size} bytes, more than a pass may have ({most}); use more slices")
+            raise ValueError(f"filter segment {s} has {size} bytes, more than a pass may have ({most}); a smaller SLICE gives smaller ones")
         if size > room:
             out.append([])
             room = most
@@ -318,7 +322,9 @@ def passes(sizes: dict[int, int], most: int) -> list[list[int]]:
 def score(docs: DataFrame, n_slices: int | None = None, head: int = HEAD, max_filter: int = MAX_FILTER, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    n_slices = n_slices or max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if n_slices is None:
+        raw = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text).cast("string"))), F.lit(0))).first()[0]
+        n_slices = max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(raw / SLICE))
     rows = docs.select(F.col(doc).alias("doc"), is_held_out(doc).alias("held"), F.col(text).cast("string").alias("text"))
     model = cut(build(count_ngrams(rows.filter("not held").select("text"), n_slices)))
     facts = model.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
@@ -415,7 +421,10 @@ def score(docs: DataFrame, n_slices: int | None = None, head: int = HEAD, max_fi
     if len(groups) > 1:
         work = work.withColumn("levels", F.lit(None).cast("binary"))
         for g in groups[:-1]:
-            work = work.mapInArrow(adder(segments(g)), f"doc {kind}, held boolean, text string, uid long, levels binary")
+            shared, before = segments(g), work
+            work = stored(before.mapInArrow(adder(shared), f"doc {kind}, held boolean, text string, uid long, levels binary"))
+            shared.destroy()
+            discard(before)
     scored = cut(work.mapInArrow(scorer(segments(groups[-1])), f"doc {kind}, held boolean, uid long, n_tokens long, n_known long, base double, score double, slice int, keys binary, uids binary"))
 
     def look_up(key: tuple, rest: pd.DataFrame, exact: pd.DataFrame) -> pd.DataFrame:

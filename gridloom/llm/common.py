@@ -39,6 +39,14 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that `df` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
@@ -49,17 +57,18 @@ def stored(df: DataFrame) -> DataFrame:
     """Cut lineage with a compressed table in the shared folder: a fraction of a checkpoint's bytes."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._stored_at = path  # only tables made here are ever deleted
+    return table
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables of `stored` that nothing reads any more."""
+    """Delete tables of `stored` that nothing reads any more; any other DataFrame is left alone."""
     for df in tables:
-        jvm = df.sparkSession._jvm
-        for file in df.inputFiles()[:1]:  # any file names the table's folder
-            path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-            if path.getName().startswith("table-"):
-                path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if path := getattr(df, "_stored_at", None):
+            sc = df.sparkSession.sparkContext
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def sha_hex(c: Column) -> Column:
