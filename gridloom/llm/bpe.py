@@ -247,8 +247,8 @@ def decode(encoded: DataFrame, path: str, pattern: str, doc: str = "doc_id") ->
     return encoded.select(doc, "ids").mapInArrow(run, f"doc {kind}, bytes binary").withColumnRenamed("doc", doc)
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes every text and decodes its ids, in one pass."""
+def round_trip(docs: DataFrame, path: str, pattern: str, doc: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids): encodes every text and decodes its ids, in one pass."""
     shared, name = _share(docs.sparkSession, path, pattern)
     kind = dict(docs.dtypes)[doc]
 
@@ -259,14 +259,20 @@ def round_trip(docs: DataFrame, path: str, pattern: str, doc: str = "doc_id", te
                 part = b.slice(at, 64)
                 rows = []
                 for blocks in codec.encode([t or "" for t in part.column(1).to_pylist()]):
-                    n, said, back = 0, hashlib.sha256(), hashlib.sha256()
+                    n, said, back, every = 0, hashlib.sha256(), hashlib.sha256(), []
                     for ids in blocks:
                         if ids:
                             said.update((("," if n else "") + ",".join(map(codec.text_of.__getitem__, ids))).encode())
                             back.update(codec.decode(ids))
                             n += len(ids)
-                    rows.append((n, said.hexdigest(), back.hexdigest()))
-                columns = list(zip(*rows)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], ["doc", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select(doc, text).mapInArrow(run, f"doc {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("doc", doc)
+                            if keep_ids:
+                                every.extend(ids)
+                    rows.append((n, said.hexdigest(), back.hexdigest(), every))
+                columns = list(zip(*rows)) or [()] * 4
+                out = {"doc": part.column(0), "n_tokens": pa.array(columns[0], pa.int64()), "ids_sha256": pa.array(columns[1], pa.string()), "decoded_sha256": pa.array(columns[2], pa.string())}
+                if keep_ids:
+                    out["ids"] = pa.array(columns[3], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
+
+    schema = f"doc {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
+    return docs.select(doc, text).mapInArrow(run, schema).withColumnRenamed("doc", doc)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, sha_hex, text_of
+from .common import ascii_lower, fresh, sha_hex, text_of
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -106,9 +106,10 @@ def without_spans(text: Column, spans: Column) -> Column:
 
 def clean(docs: DataFrame, benchmark: DataFrame, mode: str = "document", n: int = 10, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` with contaminated documents removed (mode "document") or their hit words cut out (mode "span")."""
-    hit = find(docs, benchmark, n, doc=doc, text=text).filter("n_hit > 0").groupBy(F.col(doc).alias("__doc"), F.col("text_hash").alias("__hash")).agg(F.first("spans").alias("__spans"))
-    same = F.col(doc).eqNullSafe(F.col("__doc")) & (F.xxhash64(text) == F.col("__hash"))
+    name, hashed, spans = (fresh(docs, c) for c in ("hit_doc", "hit_hash", "hit_spans"))
+    hit = find(docs, benchmark, n, doc=doc, text=text).filter("n_hit > 0").groupBy(F.col(doc).alias(name), F.col("text_hash").alias(hashed)).agg(F.first("spans").alias(spans))
+    same = F.col(doc).eqNullSafe(F.col(name)) & (F.xxhash64(F.col(text)) == F.col(hashed))
     if mode == "document":
         return docs.join(hit, same, "left_anti")
-    cut = F.when(F.col("__spans").isNotNull(), without_spans(F.col(text), F.col("__spans"))).otherwise(F.col(text))
+    cut = F.when(F.col(spans).isNotNull(), without_spans(F.col(text), F.col(spans))).otherwise(F.col(text))
     return docs.join(hit, same, "left").withColumn(text, cut).select(*docs.columns)

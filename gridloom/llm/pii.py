@@ -24,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sha_hex, text_of
+from .common import fresh, sha_hex, text_of
 
 MARK = "￿"
 LOCAL = "A-Za-z0-9._%+-"
@@ -116,10 +116,12 @@ def spans_of(text: Column, kind: str) -> Column:
     return F.when(test(text), F.aggregate(pieces, start, step_ahead if ahead else step)["out"]).otherwise(none)
 
 
-def find(docs: DataFrame, kinds: tuple[str, ...] = tuple(KINDS), text: str = "text") -> DataFrame:
-    """`docs` plus `pii_spans`, sorted by start, then kind."""
+def find(docs: DataFrame, kinds: tuple[str, ...] = tuple(KINDS), text: str = "text", spans: str = "pii_spans") -> DataFrame:
+    """`docs` plus the column `spans`, sorted by start, then kind; it may not be there yet."""
+    if spans.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"the documents have a column {spans} already; name another")
     t = text_of(text)
-    return docs.withColumn("pii_spans", F.array_sort(F.concat(*[spans_of(t, k) for k in kinds])))
+    return docs.withColumn(spans, F.array_sort(F.concat(*[spans_of(t, k) for k in kinds])))
 
 
 def labelled(spans: Column) -> Column:
@@ -136,14 +138,15 @@ def digest(found: DataFrame, doc: str = "doc_id") -> DataFrame:
 
 def redact(docs: DataFrame, kinds: tuple[str, ...] = tuple(KINDS), text: str = "text") -> DataFrame:
     """`docs` with every span replaced by its kind in brackets; overlapping spans become one, named by the first."""
-    found = find(docs.withColumn("__text", text_of(text)), kinds, "__text")
+    whole, spans = fresh(docs, "whole_text"), fresh(docs, "pii_spans")
+    found = find(docs.withColumn(whole, text_of(text)), kinds, whole, spans)
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
 
     def step(a: Column, s: Column) -> Column:
-        gap = F.substring(F.col("__text"), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int"))
+        gap = F.substring(F.col(whole), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int"))
         out = F.when(s["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.array(gap, F.get(names, s["kind"]))))
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), out.alias("out"))
 
-    done = F.aggregate("pii_spans", start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col("__text"), (a["at"] + 1).cast("int"), F.length("__text"))))
-    return found.withColumn(text, F.when(F.size("pii_spans") > 0, done).otherwise(F.col(text))).select(*docs.columns)
+    done = F.aggregate(spans, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col(whole), (a["at"] + 1).cast("int"), F.length(whole))))
+    return found.withColumn(text, F.when(F.size(spans) > 0, done).otherwise(F.col(text))).select(*docs.columns)

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 BITS, RANK, EPOCHS, BATCH, SAMPLE = 16, 6, 6, 64, 12_000
 STATS = 16
 CELLS = (1 << BITS) + STATS * 16
@@ -107,10 +109,14 @@ def held_out(doc: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc: str = "doc_id", text: str = "text") -> Machine:
-    """The machine fitted on at most `sample` labelled rows that aren't held out."""
+    """The machine fitted on at most `sample` rows that aren't held out, of at most `sample` labelled ids: rows that repeat an id count
+    as one, that of the smallest hash. A row brings at most `CELLS` cells (half a megabyte), so what the driver gets is bounded."""
     known = labels.select(F.col(doc), F.col("quality").cast("int").alias("__y")).filter(F.col("__y").isNotNull() & ~held_out(doc))
     chosen = known.orderBy(F.xxhash64(doc), doc, "__y").limit(sample)
-    rows = docs.select(doc, F.col(text).cast("string").alias("__t")).join(F.broadcast(chosen), doc).select("__t", "__y")  # `sample` rows at most
+    found = docs.select(doc, F.col(text).cast("string").alias("__t")).join(F.broadcast(chosen.dropDuplicates([doc])), doc)
+    # a key per id: a repeated one is reduced in its map task before any shuffle
+    one = found.groupBy(doc).agg(F.min_by(F.struct("__t", "__y"), F.xxhash64("__t")).alias("x"))
+    rows = one.select("x.__t", "x.__y")  # `sample` rows at most
 
     def run(batches):
         for b in batches:
@@ -127,24 +133,24 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc: str = "
     return Machine().fit([(values[bounds[k] : bounds[k + 1]], weights[bounds[k] : bounds[k + 1]]) for k in order], got.column("y").to_numpy()[order].astype(np.float64))
 
 
-def score(docs: DataFrame, machine: Machine, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of `docs` plus `score`."""
+def score(docs: DataFrame, machine: Machine, doc: str = "doc_id", text: str = "text", name: str = "score") -> DataFrame:
+    """All columns of `docs` plus the score by this name."""
     shared = docs.sparkSession.sparkContext.broadcast((machine.w0, machine.w, machine.v))
 
     def run(batches):
         m = Machine.__new__(Machine)
         m.w0, m.w, m.v = shared.value
         for b in batches:
-            texts = b.column(b.schema.get_field_index("__text"))
+            texts = b.column(b.num_columns - 1)
             out = []
             for at in range(0, b.num_rows, 64):
                 rows = [features(t.as_py()) for t in texts.slice(at, 64)]
                 out.append(m.scores(*flat(rows)))
             scores = np.concatenate(out) if out else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores, pa.float64())], [*b.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores, pa.float64())], [*b.schema.names[:-1], name])
 
-    named = docs.withColumn("__text", F.col(text).cast("string"))
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), "score double"])
+    named = docs.withColumn(fresh(docs, "scored_text"), F.col(text).cast("string"))
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), f"`{name}` double"])
     return named.mapInArrow(run, schema)
 
 
@@ -156,5 +162,5 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc: str
 
 def accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` without the rows that the classifier rejects."""
-    clean = docs.drop("score") if "score" in docs.columns else docs
-    return score(clean, train(docs, labels, sample, doc, text), doc, text).filter("score >= 0.5").select(*clean.columns)
+    name = fresh(docs, "score")
+    return score(docs, train(docs, labels, sample, doc, text), doc, text, name).filter(F.col(name) >= 0.5).select(*docs.columns)

@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from . import near_copies
+from .common import cut, text_of
 from .graph import components
 
 SAMPLE, LEAF, RINGS, DEPTH = 8192, 1 << 17, 4, 12
@@ -204,18 +205,27 @@ def near_duplicates(docs: DataFrame, radius: int = 4, k: int = 4, doc: str = "do
     prints = cut(fingerprints(docs, k, doc, text))
     distinct = cut(prints.groupBy("fp").agg(F.min(doc).alias("low")))
     root = components(links(distinct, radius))
-    of = distinct.join(root, distinct["fp"] == root["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    name = of.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = of.select("fp", "root").join(name, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(doc, "fp", "component_id")
+    linked = distinct.join(root, distinct["fp"] == root["node"]).select("fp", "low", "root")  # no single fingerprint meets a root
+    name = linked.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = linked.select("fp", "root").join(name, "root").select("fp", "component_id")
+    found = prints.join(named, "fp", "left").join(distinct, "fp")
+    return found.select(doc, "fp", F.when(F.col("component_id").isNull(), F.col("low")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def digest(found: DataFrame, doc: str = "doc_id") -> DataFrame:
     return found.select(doc, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, radius: int = 4, k: int = 4, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component: that of its smallest id; rows that repeat this id give one, any of equal rank by text."""
-    found = near_duplicates(docs, radius, k, doc, text).filter(F.col(doc).eqNullSafe(F.col("component_id"))).select(F.col(doc).alias("__doc")).distinct()
-    kept = docs.join(found, F.col(doc).eqNullSafe(F.col("__doc")), "left_semi")
-    return kept.dropDuplicates([doc])
+def deduplicated(docs: DataFrame, radius: int = 4, k: int = 4, least: float | None = None, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each component: that of its smallest id, and among different texts of this id that of the smallest hash.
+
+    With `least` texts link by the Jaccard similarity of their shingles instead of by the bits of their fingerprints: at 0.8 two
+    fingerprints differ in 10 of 64 bits, a radius at which a tree prunes nothing, so `near_copies` proposes the pairs.
+    """
+    if least is not None:
+        return near_copies.deduplicated(docs, least, k, doc, text)
+    x = docs.select(F.col(doc).alias("doc"), text_of(text).alias("text"))
+    prints = cut(fingerprints(x.select(F.struct("doc", F.xxhash64("text").alias("node")).alias("row"), "text"), k, "row").select("row.doc", "row.node", "fp"))
+    distinct = cut(prints.select("fp").distinct())
+    root = components(links(distinct, radius)).withColumnRenamed("node", "fp")
+    return near_copies.first_of_each(docs, prints.select("doc", "node", "fp").join(root, "fp", "left").select("doc", "node", F.coalesce("root", "fp").alias("root")), doc, text)

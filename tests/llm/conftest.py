@@ -18,7 +18,9 @@ def spark():
     return s
 
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, uid string, w string"
+#: Names that the operators use inside, as columns of the documents.
+CLASHES = ("uid", "w", "score", "pii_spans", "__doc", "__hash", "__t", "node", "root", "fp", "kept_doc", "hit_doc", "whole_text", "scored_text", "k", "bucket", "levels", "copies")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHES)
 
 
 @pytest.fixture(scope="session")
@@ -30,5 +32,6 @@ def odd(spark):
         "x" * 3000 + " " + "ab " * 20000, "1" * 5000, "é" * 40 + " ￿ 4111111111111111 \U0001f600 a@b.co",
         "The cat sat on the mat and the dog sat on the log near the old red barn. Again the cat sat.", "1.2.3.4.5.6.7.8 000000012.1.1.1 12--34",
     ]
-    rows = [(k, t, "en" if k % 2 else None, f"s{k % 3}", len(t) if t else None, "u", "w") for k, t in enumerate(texts)]
-    return spark.createDataFrame(rows + [(20, texts[3], "en", "s0", 1, "u", "w")], DOCS)
+    extra = tuple(f"own {c}" for c in CLASHES)
+    rows = [(k, t, "en" if k % 2 else None, f"s{k % 3}", len(t) if t else None, *extra) for k, t in enumerate(texts)]
+    return spark.createDataFrame(rows + [(20, texts[3], "en", "s0", 1, *extra)], DOCS)

@@ -36,7 +36,7 @@ def test_stage_finds_edited_copies(spark, odd, monkeypatch):
     from gridloom.llm import near_copies
 
     words = [f"w{i}" for i in range(300)]
-    edited = [(100 + n, " ".join("x" if i % 100 == n else w for i, w in enumerate(words)), "en", "s", 1, "u", "w") for n in range(30)]
+    edited = [(100 + n, " ".join("x" if i % 100 == n else w for i, w in enumerate(words)), "en", "s", 1, *["x"] * (len(odd.columns) - 5)) for n in range(30)]
     small = odd.unionByName(odd.sparkSession.createDataFrame(edited, odd.schema))
     for d in (read(spark, "/root/testdata/sf0.01", "documents"), small):
         for most in (near_copies.PAIRS, 1):
@@ -45,3 +45,13 @@ def test_stage_finds_edited_copies(spark, odd, monkeypatch):
             assert out.columns == d.columns
             assert {r.doc_id for r in out.collect()} == components([(r.doc_id, r.text) for r in d.select("doc_id", "text").collect()])
     assert corpus_pipeline.near_duplicates(spark, odd.limit(0), "").count() == 0
+
+
+def test_different_texts_of_one_id_both_stay(spark):
+    from gridloom.llm import simhash_vp
+
+    words = [" ".join(f"{x}{i}" for i in range(60)) for x in "abc"]
+    d = spark.createDataFrame([(1, words[0]), (1, words[1]), (2, words[0]), (None, words[2]), (None, words[1]), (1, words[0])], "doc_id long, text string")
+    for least in (None, 0.8):
+        kept = [tuple(r) for r in simhash_vp.deduplicated(d, least=least).collect()]
+        assert sorted(kept, key=str) == sorted([(1, words[0]), (1, words[1]), (None, words[2])], key=str)
