@@ -112,3 +112,13 @@ def status_rollup(jobs: DataFrame, done: DataFrame, failed: DataFrame, skipped:
         x = x.join(t.select(key, F.lit(True).alias(f"__{name}")).distinct(), key, "left")
     state = F.when(F.col("__d"), "done").when(F.col("__f"), "failed").when(F.col("__s"), "skipped").otherwise("pending")
     return x.groupBy(by).agg(*[F.count_if(state == s).alias(s) for s in ("done", "failed", "skipped", "pending")])
+
+
+def supported(df: DataFrame, by: list[str], value: str, least: int) -> DataFrame:
+    """Rows of the groups in which at least `least` values are known."""
+    ok = df.groupBy(*by).agg(F.count(value).alias("__n")).filter(F.col("__n") >= least).select(*[F.col(b).alias(f"__{b}") for b in by])
+    same = None
+    for b in by:
+        one = F.col(b).eqNullSafe(F.col(f"__{b}"))
+        same = one if same is None else same & one
+    return df.join(ok, same, "left_semi")

@@ -181,3 +181,11 @@ def negatives(df: DataFrame, key: str, field: str, bucket: int, n: int, seed: in
     y = x.select(F.col(key).alias("negative"), F.col(field).alias("__f"), "__b")
     w = W.partitionBy(key).orderBy(mixed(F.col(key) * 31 + F.col("negative"), seed), "negative")
     return x.join(y, "__b").filter(F.col(field) != F.col("__f")).withColumn("__i", F.row_number().over(w)).filter(F.col("__i") <= n).select(key, "negative")
+
+
+def select_tiles(tiles: DataFrame, held_out: DataFrame, ground: str, by: list[str], key: Column, most: int, statistics: int, tie: list[str], seed: int = 0) -> DataFrame:
+    """At most `most` training tiles of each group, by hash, none on ground that a held-out season uses; `for_statistics` marks the
+    `statistics` first of them."""
+    free = tiles.join(held_out.select(ground).distinct(), ground, "left_anti")
+    w = W.partitionBy(*by).orderBy(mixed(key, seed), *tie)
+    return free.withColumn("__i", F.row_number().over(w)).filter(F.col("__i") <= most).withColumn("for_statistics", F.col("__i") <= statistics).drop("__i")

@@ -86,7 +86,10 @@ def weighted_quantiles(df: DataFrame, value: str, stratum: list[str], season: st
     half = F.col("w") / F.col("c") / 2
     d = d.withColumns({"lo": (run - F.col("w") + half) / total, "hi": (run - half) / total})
     d = d.withColumns({"next_lo": F.lead("lo").over(order), "next_v": F.lead("v").over(order), "first": F.row_number().over(order) == 1})
-    q = F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda k: F.struct(k.alias("k"), (k / (points - 1)).alias("q"))))
+    # only the points around a value's span, so that values don't meet all points
+    begin = F.when(F.col("first"), F.lit(0)).otherwise(F.greatest(F.lit(0), F.floor(F.col("lo") * (points - 1)).cast("int")))
+    end = F.when(F.col("next_lo").isNull(), F.lit(points - 1)).otherwise(F.least(F.lit(points - 1), F.ceil(F.col("next_lo") * (points - 1)).cast("int")))
+    q = F.explode(F.transform(F.sequence(F.least(begin, end), end), lambda k: F.struct(k.alias("k"), (k / (points - 1)).alias("q"))))
     hit = d.select("*", q.alias("x")).select("*", "x.k", "x.q")
     # each q belongs to the value whose span [lo, next lo) holds it, or to the ends
     inside = (F.col("q") >= F.col("lo")) & (F.col("next_lo").isNull() | (F.col("q") < F.col("next_lo"))) | F.col("first") & (F.col("q") < F.col("lo"))

@@ -142,7 +142,9 @@ def t02_balanced_draws(spark, d):
     return T.balanced_draws(V.cells(spark, d).groupBy("season_id").agg(F.count("*").alias("n")), "season_id", 500, 0.5, 3)
 
 
-@query(None)
+@query(f"""WITH {V.CELLS}, s AS (SELECT season_id, sqrt(count(*)) w, count(*) m FROM cells GROUP BY 1), p AS (SELECT season_id, m, (sum(w) OVER (ORDER BY season_id) - w) / sum(w) OVER () lo, sum(w) OVER (ORDER BY season_id) / sum(w) OVER () hi FROM s),
+ d AS (SELECT draw, season_id, m, CAST(floor(({H('draw', 1)} + 0.5) / 4294967296 * m) AS BIGINT) AS start FROM (SELECT range AS draw, ({H('range', 0)} + 0.5) / 4294967296 AS u FROM range(100)) JOIN p ON u >= lo AND u < hi), r AS (SELECT *, row_number() OVER (PARTITION BY season_id ORDER BY grid_row, grid_col) - 1 AS i FROM cells)
+ SELECT draw, CAST(step AS INT) AS step, d.season_id, grid_row, grid_col FROM d, (SELECT range AS step FROM range(16)) JOIN r ON r.season_id = d.season_id AND r.i = (start + step) % m""")
 def t02_contiguous_blocks(spark, d):
     c = V.cells(spark, d)
     draws = T.balanced_draws(c.groupBy("season_id").agg(F.count("*").alias("n")), "season_id", 100)
@@ -448,17 +450,29 @@ def b01_fold_bootstrap(spark, d):
     return V.rounded(B.paired_bootstrap(arm(p), arm(p.withColumn("pred", F.col("pred") * 0.99 + 0.2)), "fold", 200).filter("kind = 'pooled'"))
 
 
-@query(None)
+#: Season sums of both arms, and how often each season of a crop is drawn in each of 200 replicates.
+ARMS = f"""{V.PANEL}, c AS (SELECT crop, season_id, target y, pred a, pred * 0.99 + 0.2 b FROM cells JOIN seasons USING (season_id)),
+ s AS (SELECT crop, season_id, count(*) n, sum(y) sy, sum(y*y) syy, sum((a-y)**2) ea, sum((b-y)**2) eb, var_pop(y) * count(*) wt, sum((a-y)**2) - sum(a-y)**2 / count(*) wa, sum((b-y)**2) - sum(b-y)**2 / count(*) wb FROM c GROUP BY 1, 2),
+ k AS (SELECT *, row_number() OVER (PARTITION BY crop ORDER BY season_id) - 1 i, count(*) OVER (PARTITION BY crop) m FROM s), w AS (SELECT crop, rep, {H('rep * 1000003 + k.i')} % m AS i FROM k, (SELECT range AS rep FROM range(200))),
+ r AS (SELECT crop, rep, (sum(eb) - sum(ea)) / (sum(syy) - sum(sy)**2 / sum(n)) pooled, (sum(wb) - sum(wa)) / sum(wt) AS within FROM w JOIN k USING (crop, i) GROUP BY 1, 2)"""
+INTERVAL = "avg(d) AS mean, quantile_cont(d, 0.025) AS low, quantile_cont(d, 0.975) AS high, count(*) AS replicates"
+
+
+@query(f"""{ARMS}, z AS (SELECT crop, 'pooled' AS kind, pooled AS d FROM r UNION ALL SELECT crop, 'within', within FROM r), q AS (SELECT crop, kind, {INTERVAL} FROM z GROUP BY 1, 2)
+ SELECT crop, kind, round(mean, 4) AS mean, round(low, 4) AS low, round(high, 4) AS high, replicates, (low > 0 OR high < 0) AS excludes_zero FROM q""")
 def b02_season_bootstrap(spark, d):
     return V.rounded(B.paired_bootstrap(*_arms(spark, d), "season_id", 200, ["crop"]), 4)
 
 
-@query(None)
+@query(f"""{ARMS}, z AS (SELECT rep, avg(pooled) AS d FROM r GROUP BY 1), q AS (SELECT {INTERVAL} FROM z) SELECT round(mean, 4) AS mean, round(low, 4) AS low, round(high, 4) AS high, replicates, (low > 0 OR high < 0) AS excludes_zero FROM q""")
 def b02_mean_over_pairs(spark, d):
     return V.rounded(B.mean_over_strata(*_arms(spark, d), "season_id", ["crop"], 200), 4)
 
 
-@query(None)
+@query(f"""{V.PANEL}, c AS (SELECT seed, season_id, target y, pred + sin(target + seed) p FROM cells JOIN seasons USING (season_id), (SELECT range AS seed FROM range(3))), s AS (SELECT seed, season_id, count(*) n, sum(y) sy, sum(y*y) syy, sum((p-y)**2) e FROM c GROUP BY 1, 2),
+ u AS (SELECT season_id, row_number() OVER (ORDER BY season_id) - 1 i, count(*) OVER () m FROM (SELECT DISTINCT season_id FROM s)), w AS (SELECT rep, {H('rep * 1000003 + u.i')} % m AS i FROM u, (SELECT range AS rep FROM range(200))),
+ r AS (SELECT rep, seed, 1 - sum(e) / (sum(syy) - sum(sy)**2 / sum(n)) r2 FROM w JOIN u USING (i) JOIN s USING (season_id) GROUP BY 1, 2), z AS (SELECT rep, avg(r2) d FROM r GROUP BY 1), q AS (SELECT {INTERVAL} FROM z)
+ SELECT 'a' AS arm, round(mean, 4) AS mean, round(low, 4) AS low, round(high, 4) AS high, replicates, (low > 0 OR high < 0) AS excludes_zero FROM q""")
 def b03_seed_averaged(spark, d):
     p = V.panel(spark, d)
     s = p.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("pred", F.col("pred") + F.sin(F.col("target") + F.col("seed")))

@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
+from pyspark.sql import DataFrame, SparkSession
 
-from pyspark.sql import DataFrame
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder. Only a local session, as in tests, may name none: it gets one of its own."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir names no shared folder; executors of a cluster can't read the driver's own")
+            import tempfile
+
+            named = tempfile.mkdtemp(prefix="ckpt-")
+        sc.setCheckpointDir(named)
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint in the session's folder; an own one only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+    """Cut lineage by a reliable checkpoint in the session's folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

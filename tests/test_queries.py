@@ -13,6 +13,12 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+WITHOUT_SQL = {
+    "a23_a61_scale_bands", "a25_mutual_information", "a36_weighted_quantiles", "a42_effective_rank", "a46_a47_ridge_oracle", "a48_a49_shift_scores", 
+    "g02_g03_greedy_assignment", "g07_stratified_group_folds", "s11_fingerprints", "s26_content_hash",
+}
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
@@ -41,7 +47,7 @@ def test_query(spark, duck, name):
     df = registry.queries()[name](spark, SF)
     got = rows(df.columns, [tuple(r) for r in df.collect()])
     if name not in registry.oracle_sql():
-        assert got
+        assert name in WITHOUT_SQL and got  # see test_brute.py
         return
     rel = duck.execute(registry.oracle_sql()[name])
     names = [c[0] for c in rel.description]
