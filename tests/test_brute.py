@@ -47,15 +47,15 @@ def test_weighted_quantiles(spark, panel):
         for r in rows:
             weight[float(r["target"])] += 1 / size[r["season_id"],]
         count = {k: len(v) for k, v in by(rows, "target").items()}
-        v, at, run = [], [], 0.0
+        v, at, past = [], [], 0.0
         for x in sorted(weight):  # equal values share their weight; the first and the last of them are places
             each = weight[x] / count[x,]
             v += [x, x]
-            at += [run + each / 2, run + weight[x] - each / 2]
-            run += weight[x]
+            at += [past + each / 2, past + weight[x] - each / 2]
+            past += weight[x]
         mine = sorted(got[crop,], key=lambda r: r["k"])
         assert [r["k"] for r in mine] == list(range(101))
-        assert np.allclose([r["value"] for r in mine], np.interp(np.arange(101) / 100, np.array(at) / run, v), atol=1e-4)
+        assert np.allclose([r["value"] for r in mine], np.interp(np.arange(101) / 100, np.array(at) / past, v), atol=1e-4)
 
 
 def test_effective_rank(spark):
