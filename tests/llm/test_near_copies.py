@@ -41,6 +41,7 @@ def test_stage_finds_edited_copies(spark, odd, monkeypatch):
     for d in (read(spark, "/root/testdata/sf0.01", "documents"), small):
         for most in (near_copies.PAIRS, 1):
             monkeypatch.setattr(near_copies, "PAIRS", most)
+            monkeypatch.setattr(near_copies, "CHUNK", 4 * most)
             out = corpus_pipeline.near_duplicates(spark, d, "")
             assert out.columns == d.columns
             assert {r.doc_id for r in out.collect()} == components([(r.doc_id, r.text) for r in d.select("doc_id", "text").collect()])
