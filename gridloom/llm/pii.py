@@ -117,9 +117,8 @@ def spans_of(text: Column, kind: str) -> Column:
 
 
 def find(docs: DataFrame, kinds: tuple[str, ...] = tuple(KINDS), text: str = "text", spans: str = "pii_spans") -> DataFrame:
-    """`docs` plus the column `spans`, sorted by start, then kind; it may not be there yet."""
-    if spans.lower() in {c.lower() for c in docs.columns}:
-        raise ValueError(f"the documents have a column {spans} already; name another")
+    """`docs` plus the column `spans`, sorted by start, then kind. A column of this name is replaced in the result: name another to
+    keep it, as `redact` does."""
     t = text_of(text)
     return docs.withColumn(spans, F.array_sort(F.concat(*[spans_of(t, k) for k in kinds])))
 
