@@ -134,7 +134,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc: str = "
 
 
 def score(docs: DataFrame, machine: Machine, doc: str = "doc_id", text: str = "text", name: str = "score") -> DataFrame:
-    """All columns of `docs` plus the score by this name."""
+    """All columns of `docs` plus the score by this name. A column of this name is replaced: name another to keep it, as `accepted` does."""
+    docs = docs.drop(name)
     shared = docs.sparkSession.sparkContext.broadcast((machine.w0, machine.w, machine.v))
 
     def run(batches):
