@@ -42,6 +42,7 @@ def test_stage_finds_edited_copies(spark, odd, monkeypatch):
         for most in (near_copies.PAIRS, 1):
             monkeypatch.setattr(near_copies, "PAIRS", most)
             monkeypatch.setattr(near_copies, "CHUNK", 4 * most)
+            monkeypatch.setattr(near_copies, "MOST", 1 << 28 if most > 1 else 1)
             out = corpus_pipeline.near_duplicates(spark, d, "")
             assert out.columns == d.columns
             assert {r.doc_id for r in out.collect()} == components([(r.doc_id, r.text) for r in d.select("doc_id", "text").collect()])
@@ -56,3 +57,26 @@ def test_different_texts_of_one_id_both_stay(spark):
     for least in (None, 0.8):
         kept = [tuple(r) for r in simhash_vp.deduplicated(d, least=least).collect()]
         assert sorted(kept, key=str) == sorted([(1, words[0]), (1, words[1]), (None, words[2])], key=str)
+
+
+def test_bitmap_misses_no_name_and_marks_few_others(spark):
+    from pyspark.sql import functions as F
+
+    from gridloom.llm.near_copies import marked
+
+    rows = spark.range(40000).select(F.xxhash64("id").alias("node"), "id").unionByName(spark.createDataFrame([(0, -1), (-1, -2), (2**63 - 1, -3), (-(2**63), -4)], "node long, id long"))
+    hit = marked(rows, rows.filter("id % 2 = 0").select("node"), "node", "hit")
+    assert hit.columns == ["node", "id", "hit"]
+    assert hit.filter("id % 2 = 0 and not hit").count() == 0
+    assert hit.count() == 40004 and hit.filter("id % 2 <> 0 and hit").count() < 0.15 * 20002
+    assert marked(rows, rows.limit(0).select("node"), "node", "hit").filter("hit").count() == 0
+
+
+def test_repeats_and_null_ids_of_one_group(spark):
+    from gridloom.llm import simhash_vp
+
+    words = " ".join(f"w{i}" for i in range(60))
+    d = spark.createDataFrame([(None, words), (None, words), (None, "alone"), (None, ""), (None, None), (7, words), (7, words), (9, "b"), (9, "b")], "doc_id long, text string")
+    for least in (None, 0.8):
+        kept = sorted((tuple(r) for r in simhash_vp.deduplicated(d, least=least).collect()), key=str)
+        assert [(i, t or "") for i, t in kept] == sorted([(7, words), (9, "b"), (None, "alone"), (None, "")], key=str)
