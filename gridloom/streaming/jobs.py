@@ -2,32 +2,37 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def ingest_files(spark: SparkSession, source: str, schema: str, target: str, ledger: str, checkpoint: str, key: str, step: Callable[[DataFrame], DataFrame], glob: str | None = None) -> None:
     """Everything new under `source` goes through `step` to `target` once; finished keys are appended to the ledger.
 
-    Ends when the files at hand are done. Keys of the ledger are skipped, so a batch that is repeated after a failure adds
-    nothing twice.
+    Ends when the files at hand are done. Target and ledger are partitioned by `ingest_batch` (the query's id and the batch's number), and
+    a batch replaces its own partitions: one repeated after a failure, wherever that was, adds nothing twice. Keys that other batches
+    have in the ledger are skipped.
     """
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
 
-    def batch(df: DataFrame, _: int) -> None:
+    def batch(df: DataFrame, number: int) -> None:
+        query = json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+        name = f"{query}-{number}"
         try:
-            done = spark.read.schema(df.select(key).schema).parquet(ledger)
-            df = df.join(done, key, "left_anti")
+            done = spark.read.schema(StructType([df.schema[key], StructField("ingest_batch", StringType())])).parquet(ledger)
+            df = df.join(done.filter(F.col("ingest_batch") != name).select(key), key, "left_anti")
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
         df = df.persist()
-        step(df).write.mode("append").parquet(target)
-        df.select(key).distinct().write.mode("append").parquet(ledger)
+        step(df).write.mode("overwrite").parquet(f"{target}/ingest_batch={name}")
+        df.select(key).distinct().write.mode("overwrite").parquet(f"{ledger}/ingest_batch={name}")
         df.unpersist()
 
     reader.parquet(source).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

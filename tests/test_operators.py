@@ -2,6 +2,8 @@
 
 import itertools
 import math
+import os
+import shutil
 
 import numpy as np
 import pytest
@@ -278,6 +280,18 @@ def test_stream_ingest_is_resumable(spark, tmp_path):
     run()
     run()
     assert sorted((r.id, r.v) for r in spark.read.parquet(target).collect()) == [(i, 2 * i) for i in range(7)]
+    # A failure before the last batch was committed: it runs again, with and without its ledger entry.
+    last = max(int(n) for n in os.listdir(f"{ck}/commits") if n.isdigit())
+    for lost in (False, True):
+        for n in (str(last), f".{last}.crc"):
+            if os.path.exists(f"{ck}/commits/{n}"):
+                os.remove(f"{ck}/commits/{n}")
+        if lost:
+            shutil.rmtree(next(f"{ledger}/{d}" for d in os.listdir(ledger) if d.endswith(f"-{last}")))
+        run()
+        assert sorted((r.id, r.v) for r in spark.read.parquet(target).collect()) == [(i, 2 * i) for i in range(7)]
+    jobs.ingest_files(spark, src, "id long", target, ledger, f"{ck}2", "id", lambda d: d.withColumn("v", F.col("id") * 2))
+    assert spark.read.parquet(target).count() == 7  # a new checkpoint replaces nothing
 
 
 def test_slot_windows(spark, tmp_path):
