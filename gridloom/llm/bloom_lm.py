@@ -36,9 +36,11 @@ from pyspark.sql import functions as F
 
 from .common import cut, discard, stored
 
-HEAD, MAX_FILTER, BITS_PER_ENTRY, PROBES, FLUSH = 1 << 20, 256 << 20, 12, 5, 4 << 20
-#: Bytes of text for which there is a slice.
-SLICE = 256 << 20
+HEAD, MAX_FILTER, BITS_PER_ENTRY, PROBES = 1 << 20, 256 << 20, 12, 5
+#: Tokens that a map task counts at once, some 100 bytes of memory each.
+FLUSH = 1 << 20
+#: Bytes of text for which there is a slice; its reducer holds the distinct n-grams of as much text, some 50 bytes each.
+SLICE = 32 << 20
 #: Quantisation steps: counts, a(h), and the ratio a(h) / u(h), which is near one for most histories.
 STEP, MIDDLE, FINE = 2.0, 2.0**0.5, 2.0**0.25
 #: Texts that a task scores at once.
@@ -193,12 +195,22 @@ class Filter:
     """Segments laid out one after another, so that one vector operation probes all slices."""
 
     def __init__(self, segments: dict[int, bytes], n: int):
+        self._lay({s: len(raw) for s, raw in segments.items()}, b"".join(segments[s] for s in sorted(segments)), n)
+
+    @classmethod
+    def laid(cls, sizes: dict[int, int], raw: bytes, n: int) -> "Filter":
+        """Over segments of these sizes that lie end to end already; `raw` isn't copied."""
+        out = cls.__new__(cls)
+        out._lay(sizes, raw, n)
+        return out
+
+    def _lay(self, lengths: dict[int, int], raw: bytes, n: int) -> None:
         sizes = np.zeros(n, np.uint64)
-        for s, raw in segments.items():
-            sizes[s] = len(raw) * 8
+        for s, size in lengths.items():
+            sizes[s] = size * 8
         self.size, self.n = sizes, n
         self.start = np.cumsum(sizes) - sizes
-        self.bits = np.frombuffer(b"".join(segments[s] for s in sorted(segments)), np.uint8)
+        self.bits = np.frombuffer(raw, np.uint8)
 
     def levels(self, keys: np.ndarray, kind: str) -> np.ndarray:
         """Probes 1, 2, ... until each key fails."""
@@ -233,26 +245,25 @@ BLOCK = "kind int, slice int, keys binary, counts binary"
 def count_ngrams(texts: DataFrame, n_slices: int) -> DataFrame:
     """Blocks (kind 1: unigrams, 2: bigrams) of the counts of each map task; `texts` has one column."""
 
-    def flush(tokens: list[np.ndarray], before: list[np.ndarray]):
-        t, h = np.concatenate(tokens), np.concatenate(before)
-        for kind, keys in ((1, t), (2, bigrams(t, h))):
-            k, c = counted([keys])
+    def flush(held: dict[int, list[np.ndarray]]):
+        for kind in sorted(held):
+            k, c = counted(held.pop(kind))  # the uncounted keys go before the blocks are made
             bounds = np.searchsorted(slices_of(k, n_slices), np.arange(n_slices + 1))
             rows = [(kind, s, k[a:b].tobytes(), c[a:b].astype(np.uint32).tobytes()) for s, (a, b) in enumerate(zip(bounds, bounds[1:])) if b > a]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["kind", "slice", "keys", "counts"])
 
     def run(batches):
-        tokens, before, held = [], [], 0
+        held, n = {1: [], 2: []}, 0
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 t, sizes = tokens_of(b.column(0).slice(at, 256).to_pylist())
-                tokens.append(t), before.append(histories(t, sizes))
-                held += len(t)
-                if held > FLUSH:
-                    yield from flush(tokens, before)
-                    tokens, before, held = [], [], 0
-        if held:
-            yield from flush(tokens, before)
+                held[1].append(t), held[2].append(bigrams(t, histories(t, sizes)))
+                n += len(t)
+                if n > FLUSH:
+                    yield from flush(held)
+                    held, n = {1: [], 2: []}, 0
+        if n:
+            yield from flush(held)
 
     return texts.mapInArrow(run, BLOCK)
 
@@ -337,8 +348,10 @@ def score(docs: DataFrame, n_slices: int | None = None, head: int = HEAD, max_fi
     kind = dict(docs.dtypes)[doc]
 
     def segments(group: list[int]):
+        """The sizes of a pass's segments, and a broadcast of them end to end, so that a worker holds them once."""
         got = model.filter(F.col("slice").isin(group)).select("slice", "segment").collect() if group else []  # max_filter bytes at most
-        return spark.sparkContext.broadcast({r["slice"]: bytes(r["segment"]) for r in got})
+        raw = b"".join(bytes(r["segment"]) for r in sorted(got, key=lambda r: r["slice"]))
+        return {s: sizes[s] for s in group}, spark.sparkContext.broadcast({"segments": raw})
 
     def known_levels(f: Filter, t: np.ndarray, h: np.ndarray):
         words, word = np.unique(t, return_inverse=True)  # frequent ones have many levels to probe: once each
@@ -349,11 +362,11 @@ def score(docs: DataFrame, n_slices: int | None = None, head: int = HEAD, max_fi
         two[may] = f.levels(bigrams(t[may], h[may]), "bigram")
         return one, two, a, f.levels(names, "ratio")[name]
 
-    def adder(shared):
+    def adder(lengths, shared):
         """A pass before the last: levels found in its segments are added to those that came along."""
 
         def run(batches):
-            f = Filter(shared.value, n_slices)
+            f = Filter.laid(lengths, shared.value["segments"], n_slices)
             for b in batches:
                 texts, old = b.column(b.schema.get_field_index("text")), b.column(b.schema.get_field_index("levels"))
                 new = []
@@ -366,9 +379,9 @@ def score(docs: DataFrame, n_slices: int | None = None, head: int = HEAD, max_fi
 
         return run
 
-    def scorer(shared):
+    def scorer(lengths, shared):
         def run(batches):
-            f = Filter(shared.value, n_slices)
+            f = Filter.laid(lengths, shared.value["segments"], n_slices)
             keys, counts = table.value
             for b in batches:
                 for at in range(0, b.num_rows, TEXTS):
@@ -421,11 +434,11 @@ def score(docs: DataFrame, n_slices: int | None = None, head: int = HEAD, max_fi
     if len(groups) > 1:
         work = work.withColumn("levels", F.lit(None).cast("binary"))
         for g in groups[:-1]:
-            shared, before = segments(g), work
-            work = stored(before.mapInArrow(adder(shared), f"doc {kind}, held boolean, text string, uid long, levels binary"))
+            (lengths, shared), before = segments(g), work
+            work = stored(before.mapInArrow(adder(lengths, shared), f"doc {kind}, held boolean, text string, uid long, levels binary"))
             shared.destroy()
             discard(before)
-    scored = cut(work.mapInArrow(scorer(segments(groups[-1])), f"doc {kind}, held boolean, uid long, n_tokens long, n_known long, base double, score double, slice int, keys binary, uids binary"))
+    scored = cut(work.mapInArrow(scorer(*segments(groups[-1])), f"doc {kind}, held boolean, uid long, n_tokens long, n_known long, base double, score double, slice int, keys binary, uids binary"))
 
     def look_up(key: tuple, rest: pd.DataFrame, exact: pd.DataFrame) -> pd.DataFrame:
         k = np.frombuffer(exact["keys"].iloc[0], np.uint64) if len(exact) else np.zeros(0, np.uint64)
