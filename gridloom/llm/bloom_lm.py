@@ -26,6 +26,7 @@ training rows N and V are 0, the base of a token is log10(0.5 / 0.5) = 0 and the
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, discard, stored
 
-HEAD, MAX_FILTER, BITS_PER_ENTRY, PROBES = 1 << 20, 256 << 20, 12, 5
+HEAD, MAX_FILTER, BITS_PER_ENTRY, PROBES = 1 << 20, 192 << 20, 12, 5
 #: Tokens that a map task counts at once, some 100 bytes of memory each.
 FLUSH = 1 << 20
 #: Bytes of text for which there is a slice; its reducer holds the distinct n-grams of as much text, some 50 bytes each.
@@ -348,10 +349,17 @@ def score(docs: DataFrame, n_slices: int | None = None, head: int = HEAD, max_fi
     kind = dict(docs.dtypes)[doc]
 
     def segments(group: list[int]):
-        """The sizes of a pass's segments, and a broadcast of them end to end, so that a worker holds them once."""
-        got = model.filter(F.col("slice").isin(group)).select("slice", "segment").collect() if group else []  # max_filter bytes at most
-        raw = b"".join(bytes(r["segment"]) for r in sorted(got, key=lambda r: r["slice"]))
-        return {s: sizes[s] for s in group}, spark.sparkContext.broadcast({"segments": raw})
+        """The sizes of a pass's segments, and a broadcast of them end to end: the driver and a worker hold them once.
+
+        They come to the driver partition by partition, max_filter bytes at most.
+        """
+        lengths = {s: sizes[s] for s in sorted(group)}
+        start = dict(zip(lengths, itertools.accumulate(lengths.values(), initial=0)))
+        raw = bytearray(sum(lengths.values()))
+        if group:
+            for s, segment in model.filter(F.col("slice").isin(group)).select("slice", "segment").toLocalIterator():
+                raw[start[s] : start[s] + lengths[s]] = segment
+        return lengths, spark.sparkContext.broadcast({"segments": raw})
 
     def known_levels(f: Filter, t: np.ndarray, h: np.ndarray):
         words, word = np.unique(t, return_inverse=True)  # frequent ones have many levels to probe: once each
