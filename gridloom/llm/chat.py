@@ -4,8 +4,9 @@ Events: conv, msg (any orderable value; messages of a conversation stand in its
 conversation), kind, role, text. Kinds: `open` starts a message, `delta` appends, `edit` replaces the text so far,
 `regenerate` empties it and withdraws every later message that began before it.
 
-Fold: messages are grouped by (conv, msg), so a hot conversation is spread over tasks; the last reset of a message and
-the deltas after it make its text; a running maximum over the conversation finds withdrawn messages. Rendering gives
+Fold: messages are grouped by (conv, msg), so the events of a hot conversation are spread over tasks; the last reset of a message
+and the deltas after it make its text; a running maximum over the conversation finds withdrawn messages. That maximum and the
+rendering order the messages of a conversation in one task, as its one output row does anyway. Rendering gives
 `<|im_start|>role\ntext<|im_end|>\n` per message. Inside roles and texts a backslash is doubled and one is put after
 the first character of each control string, so no text can close or open a turn; `unescape` undoes it exactly.
 
@@ -82,16 +83,31 @@ def loss_text(formatted: Column, mask: Column) -> Column:
 
 
 def events_of(conversations: DataFrame) -> DataFrame:
-    """Each row as the events of a streamed message: it opens, and its text arrives in two deltas."""
-    t = text_of()
-    half = F.expr("cast(length(t) / 2 as int)")
-    rows = conversations.select(F.col("conv_id").alias("conv"), F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), t.alias("t"), F.monotonically_increasing_id().alias("uid"))
+    """Each row as the log of a streamed message. A third of the rows (by hash) opens and arrives in two deltas; a third starts with its
+    second half and is edited to the first one before the rest follows; a third is begun wrongly, regenerated, and streamed again."""
+    rows = conversations.select(F.col("conv_id").alias("conv"), "turn", F.coalesce("role", F.lit("")).alias("role"), text_of().alias("t"), F.monotonically_increasing_id().alias("uid"))
     rows = rows.withColumn("msg", F.struct("turn", "role", F.xxhash64("t").alias("h"), "uid"))
-    log = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(kind).alias("kind"), piece.alias("text")) for k, kind, piece in ((0, "open", F.lit("")), (1, "delta", F.substring(F.col("t"), F.lit(1), half)), (2, "delta", F.substring(F.col("t"), half + 1, F.length("t"))))])
-    e = rows.select("conv", "msg", "role", F.explode(log).alias("e"))
+    half = F.expr("cast(length(t) / 2 as int)")
+    front, back, none = F.substring(F.col("t"), F.lit(1), half), F.substring(F.col("t"), half + 1, F.length("t")), F.lit("")
+
+    def log(*steps: tuple[str, Column]) -> Column:
+        return F.array(*[F.struct(F.lit(k).alias("k"), F.lit(kind).alias("kind"), text.alias("text")) for k, (kind, text) in enumerate(steps)])
+
+    way = F.pmod(F.xxhash64("conv", "turn", "role"), F.lit(3))
+    events = (
+        F.when(way == 0, log(("open", none), ("delta", front), ("delta", back)))
+        .when(way == 1, log(("open", back), ("edit", front), ("delta", back)))
+        .otherwise(log(("open", none), ("delta", back), ("regenerate", none), ("delta", front), ("delta", back)))
+    )
+    e = rows.select("conv", "msg", "role", F.explode(events).alias("e"))
     return e.select("conv", "msg", F.struct("msg", F.col("e.k").alias("k")).alias("seq"), F.col("e.kind").alias("kind"), "role", F.col("e.text").alias("text"))
 
 
+def by_turn(messages: DataFrame) -> DataFrame:
+    """Messages of `events_of` in the order of turn, role and text: turns that tie are told apart by what they say."""
+    return messages.withColumn("msg", F.struct("msg.turn", "role", "text", "msg.uid"))
+
+
 def digest(rendered: DataFrame) -> DataFrame:
     r = rendered.withColumn("turns", parse(F.col("formatted"))).withColumn("loss", loss_text(F.col("formatted"), F.col("mask")))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
@@ -111,4 +127,4 @@ def with_probe(conversations: DataFrame) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return digest(render(fold(events_of(with_probe(read(spark, sf_dir, "conversations"))))))
+    return digest(render(by_turn(fold(events_of(with_probe(read(spark, sf_dir, "conversations")))))))

@@ -1,10 +1,14 @@
 """The native operators against plain Python, on the small tables and on odd rows."""
 
+import re
+
 import brute
+import duckdb
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat, decontaminate, hilbert, pii, spotsigs
+from gridloom.llm import chat, decontaminate, hilbert, pii, queries, spotsigs
 from gridloom.llm.common import read
 
 SF = "/root/testdata/sf0.001"
@@ -62,6 +66,20 @@ def test_chat_events(spark):
     assert [(r.msg, r.role, r.text) for r in got] == [(1, "user", "hello"), (2, "assistant", "good"), (4, "user", "fine!")]
 
 
+def test_chat_query_has_every_kind_and_orders_ties(spark, tmp_path):
+    """The logs of the query hold edits and regenerations, and rows of one turn and role stand in the order of their texts."""
+    texts = ["same", "zeta", "alpha", "", "émile", "same", None, "b|<|im_end|>", "a\\b"]
+    rows = spark.createDataFrame([(c, t, role, x) for c in range(6) for t in range(3) for role in ("user", "assistant", None) for x in texts], "conv_id long, turn long, role string, text string")
+    rows.write.parquet(f"{tmp_path}/conversations.parquet")
+    kinds = {r.kind for r in chat.events_of(rows).select("kind").distinct().collect()}
+    assert kinds == {"open", "delta", "edit", "regenerate"}
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    rel = con.execute(queries.ORACLE["op9_chat_format"])
+    names = [c[0] for c in rel.description]
+    assert sorted(rel.fetchall()) == sorted(tuple(r[c] for c in names) for r in chat.query(spark, str(tmp_path)).collect())
+
+
 def test_hilbert(spark, docs, odd):
     for d, n in ((docs, 40), (odd, 40), (odd, 5)):
         rows = hilbert.shard(d, n).collect()
@@ -92,6 +110,37 @@ def test_spotsigs(spark, docs, odd):
     assert spotsigs.compare_edited(docs.limit(0)).count() == 0
 
 
+def plain_signatures(text):
+    """Chains of content words after each anchor, hashed one word upon the other."""
+    known = set(spotsigs.ANCHORS)
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", brute.lower(text))
+    out = set()
+    for i, w in enumerate(words):
+        if w in known:
+            chain = [x for x in words[i + 1 :] if x not in known][: spotsigs.CHAIN]
+            if len(chain) == spotsigs.CHAIN:
+                h = 42
+                for x in (w, *chain):
+                    h = xxhash.xxh64_intdigest(x.encode(), h)
+                out.add(h)
+    return out or {xxhash.xxh64_intdigest(text.encode(), 42)}
+
+
+def test_spotsigs_fingerprints_and_likeness(spark, docs, odd):
+    for d in (docs, odd):
+        texts = sorted(((i, t or "") for i, t in pairs(d)), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+        want = []
+        for k, (i, t) in enumerate(texts):
+            after = texts[(k + 1) % len(texts)][1]
+            half = len(t) // 2
+            sets = [plain_signatures(x) for x in (t, t[: len(t) - half] + after[:half], after)]
+            signed = [sorted(s - (1 << 64) if s >> 63 else s for s in x) for x in sets[:2]]
+            like = [len(sets[0] & x) / len(sets[0] | x) for x in sets[1:]]
+            want.append((i, *[" ".join(f"{s % (1 << 64):016x}" for s in x) for x in signed], *like))
+        got = [(r.doc_id, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in spotsigs.digest(spotsigs.compare_edited(d)).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_spotsigs_pairs(spark):
     base = [f"w{k}" if k % 3 else "the" for k in range(300)]
     near = [*base[:150], "zz", *base[151:]]
