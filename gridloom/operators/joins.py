@@ -229,3 +229,17 @@ def paired_arms(a: DataFrame, b: DataFrame, key: list[str], value: str) -> DataF
     x = a.select(*key, F.col(value).alias("a")).join(b.select(*key, F.col(value).alias("b")), key, "full_outer")
     gone = F.col("a").isNull() | F.col("b").isNull()
     return x.withColumn("difference", F.when(gone, F.raise_error(F.lit("arms have different keys")).cast("double")).otherwise(F.col("a") - F.col("b")))
+
+
+def prior_cells(cells: DataFrame, seasons: DataFrame, field: str, year: str = "year", most: float = 5.0, least: int = 200, season: str = "season_id", key: str = "cell_id") -> DataFrame:
+    """(season, key, prev_season, prev_cell, distance): each cell (x, y) with the nearest cell of the latest earlier season of its field.
+
+    Cells without one within `most` are left out, and so are seasons that keep fewer than `least` cells.
+    """
+    pairs = latest_earlier(seasons.select(season, field, year), [field], [year, season], []).filter(F.col(f"prev_{season}").isNotNull())
+    targets = cells.select(season, key, "x", "y").join(pairs.select(season, F.col(f"prev_{season}").alias("prev_season")), season)
+    sources = cells.select(F.col(season).alias("prev_season"), F.col(key).alias("source_id"), "x", "y")
+    # a season may be the earlier one of several, so a target is told by its own season and cell
+    mapped = nearest(targets.withColumn("target_id", F.struct(season, key)), sources, most, most, by=["prev_season"]).filter(F.col("distance").isNotNull())
+    kept = mapped.withColumn("__n", F.count("*").over(W.partitionBy(season))).filter(F.col("__n") >= least)
+    return kept.select(season, key, "prev_season", F.col("source").alias("prev_cell"), "distance")

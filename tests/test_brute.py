@@ -165,3 +165,57 @@ def test_groups_stay_whole_and_near_their_shares(spark):
     folds = run(spark, "g07_stratified_group_folds")
     key = next(c for c in folds[0].asDict() if c != "fold")
     assert len(folds) == len({r[key] for r in folds}) and {str(r[key]) for r in folds} <= set(map(str, farms)) and len({r.fold for r in folds}) == 3
+
+
+def test_information_per_season_takes_every_cell(spark, panel):
+    """Counts of neighbours by plain loops over one season."""
+    got = by([r.asDict() for r in run(spark, "a25_information_per_season")], "season_id", "k")
+    cells = by(panel, "season_id")
+    assert {s for s, _ in got} == {s for s, in cells} and all(r[0]["n"] == len(cells[s,]) for (s, _), r in got.items())
+    rng = np.random.default_rng(5)
+    rows = [(1, float(a), float(b), float(a + b / 2)) for a, b in rng.normal(size=(120, 2))]
+    (mine,) = kernels.mutual_information(spark.createDataFrame(rows, "g long, a double, b double, y double"), ["g"], ["a", "b"], "y", 4, most=None).collect()
+    z = np.array([r[1:] for r in rows])
+    z = (z - z.mean(0)) / z.std(0)
+    total = 0.0
+    for i in range(120):
+        dx, dy = np.abs(z[:, :2] - z[i, :2]).max(1), np.abs(z[:, 2] - z[i, 2])
+        eps = sorted(np.maximum(dx, dy))[4]
+        total += sum(kernels.digamma(max(1, int((v < eps).sum()))) for v in (dx, dy))
+    assert mine.n == 120 and mine.mi == pytest.approx(kernels.digamma(4) + kernels.digamma(120) - total / 120, abs=1e-6)
+
+
+def test_components_of_centred_columns(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(90, 1)) @ [[1.0, 2.0, -1.0]] + rng.normal(size=(90, 3)) / 10
+    rows = [(k % 3, *(float(v) + 50 * (k % 3) for v in base[k])) for k in range(90)]
+    c = kernels.centred(spark.createDataFrame(rows, "g int, a double, b double, c double"), ["g"], ["a", "b", "c"])
+    got = kernels.principal(c, ["a", "b", "c"], 1).collect()
+    z = np.array([[r.a, r.b, r.c] for r in got])
+    g = np.array([r.g for r in got])
+    assert len(got) == 90 and all(abs(z[g == k].mean()) < 1e-9 for k in range(3))
+    axis = np.linalg.svd(z - z.mean(0))[2][0]
+    assert np.allclose(np.abs([r.pc0 for r in got]), np.abs(z @ axis), atol=1e-6)
+
+
+def test_boosted_oracle_is_out_of_fold(spark):
+    """A product is found by trees, noise by none; group means take no part."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for k in range(900):
+        a, b, e = map(float, rng.normal(size=3))
+        rows.append(("xy"[k % 2], k // 2 % 3, a, b, 5.0 * (a > 0) * (b > 0) + 100 * (k % 2), e))
+    df = spark.createDataFrame(rows, "g string, f int, a double, b double, y double, e double")
+    told = kernels.boosted_oracle(df, ["g"], "f", ["a", "b"], "y", 3).collect()
+    assert {r.g for r in told} == {"x", "y"} and all(r.n == 450 and r.sse < 0.1 * r.sst for r in told)
+    assert all(r.sse > 0.9 * r.sst for r in kernels.boosted_oracle(df, ["g"], "f", ["a", "b"], "e", 3).collect())
+    assert kernels.boosted_oracle(df, ["g"], "f", ["a", "b"], "y", 3, least=451).count() == 0
+
+
+def test_coordinates_only_takes_every_fold_cell(spark, panel):
+    sizes = {k: len(v) for k, v in by(panel, "season_id").items()}
+    want = defaultdict(int)
+    for (season,), rows in by(panel, "season_id").items():
+        want[rows[0]["crop"]] += sizes[season,] if sizes[season,] >= 200 else 0
+    for name in ("a46_coordinates_only", "a46_boosted_trees"):
+        assert {r.crop: r.cells for r in run(spark, name)} == {k: v for k, v in want.items() if v}
