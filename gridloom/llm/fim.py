@@ -34,7 +34,9 @@ class SkipList:
 
     def __init__(self, points: np.ndarray):
         n = len(points)
-        mixed = (np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
+        mixed = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> np.uint64(32)
         units, points, at = np.ones(n, np.int64), np.asarray(points, np.int64), np.arange(n)
         self.lanes = [(units, points, None)]
         for height in range(1, 22):

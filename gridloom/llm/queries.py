@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bloom_lm, bpe, chat, decontaminate, fim, hilbert, importance, pii, quality_fm, simhash_vp, spotsigs, suffix_dedup
+from . import bloom_lm, bpe, chat, decontaminate, fim, hilbert, importance, line_crf, pii, quality_fm, simhash_vp, spotsigs, suffix_dedup
 from .common import read
 
 
@@ -57,11 +57,15 @@ def op11_importance(spark, sf_dir):
     return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op12_line_crf(spark, sf_dir):
+    return line_crf.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op13_fim(spark, sf_dir):
     return fim.digest(fim.transform(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_spotsigs, op3_decontamination, op4_suffix_dedup, op5_bloom_lm, op6_hilbert_shards, op7_simhash_vp, op8_quality_fm, op9_chat_format, op10_pii, op11_importance, op13_fim)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_spotsigs, op3_decontamination, op4_suffix_dedup, op5_bloom_lm, op6_hilbert_shards, op7_simhash_vp, op8_quality_fm, op9_chat_format, op10_pii, op11_importance, op12_line_crf, op13_fim)}
 
 _ESCAPED = "replace({}, '\\', '\\\\')"
 for _control in chat.CONTROLS:
