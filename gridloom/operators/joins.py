@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import tiles
+
 
 def seasons_with_geometry(seasons: DataFrame, geometry: DataFrame, key: str = "season_id") -> DataFrame:
     """Left join; without geometry the season is its own physical field, unverified."""
@@ -53,6 +55,19 @@ def nearest(targets: DataFrame, sources: DataFrame, cell: float, most: float, ke
     return targets.join(best, [*by, key], "left").select(*targets.columns, F.coalesce("__m.__s", F.lit(-1)).alias("source"), F.col("__m.__d").alias("distance"))
 
 
+def nearest_at_any_distance(targets: DataFrame, sources: DataFrame, key: str = "target_id", value: str = "source_id", by: list[str] = (), size: int = tiles.SIZE) -> DataFrame:
+    """(targets.*, source, distance): the nearest source point, however far; -1 where the target's group has none. Ties go to the smallest source.
+
+    A target first looks into its tile of sources; only tiles closer than what it finds there are looked into besides.
+    """
+    by = list(by)
+    if not by:
+        return nearest_at_any_distance(targets.withColumn("__all", F.lit(0)), sources.withColumn("__all", F.lit(0)), key, value, ["__all"], size).drop("__all")
+    near = lambda df, own: df.select(*by, own, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropna()
+    found = tiles.nearest_point(near(targets, key), near(sources, value), by, ["x", "y"], key, value, size)
+    return targets.join(found, key, "left").select(*targets.columns, F.coalesce("source", F.lit(-1)).alias("source"), "distance")
+
+
 def apply_mapping(mapping: DataFrame, layers: DataFrame, value: str = "source_id", layer: str = "layer") -> DataFrame:
     """Every layer through one nearest mapping; -1 stays without data."""
     return mapping.filter("source <> -1").join(layers, mapping["source"] == layers[value]).drop(value)

@@ -61,11 +61,3 @@ def a46_coordinates_only(spark, d):
 @query(None)
 def a46_boosted_trees(spark, d):
     return V.rounded(K.oracle_table(K.boosted_oracle(_blocks(spark, d), ["crop", "season_id"], "fold", ["pred", "x1", "x2"], "target"), ["crop"]), 5)
-
-
-@query(None)
-def a25_information_per_season(spark, d):
-    """Every cell of a season, for several neighbours."""
-    p = V.panel(spark, d)
-    each = [K.mutual_information(p, ["crop", "season_id"], ["pred", "n_src"], "target", k, most=None).withColumn("k", F.lit(k)) for k in (3, 5)]
-    return V.rounded(each[0].unionByName(each[1]), 5)

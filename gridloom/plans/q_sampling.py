@@ -497,11 +497,6 @@ def a23_a61_scale_bands(spark, d):
     return V.rounded(K.band_totals(K.scale_bands(V.panel(spark, d), ["crop"]), ["crop"]), 5)
 
 
-@query(None)
-def a25_mutual_information(spark, d):
-    return V.rounded(K.mutual_information(V.panel(spark, d), ["crop"], ["pred"], "target", most=500), 5)
-
-
 @query(None)
 def a46_a47_ridge_oracle(spark, d):
     c = G.block_folds(V.panel(spark, d), 4).withColumns({"x1": F.col("grid_row") * 1.0, "x2": F.col("grid_col") * 1.0})

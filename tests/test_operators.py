@@ -204,8 +204,8 @@ def test_kernels(spark):
     assert K.digamma(1) == pytest.approx(-0.5772156649, abs=1e-8) and K.digamma(10) == pytest.approx(2.2517525890667, abs=1e-9)
     rng = np.random.default_rng(6)
     x = rng.normal(0, 1, 800)
-    df = spark.createDataFrame([("a", float(u), float(0.9 * u + math.sqrt(1 - 0.81) * e)) for u, e in zip(x, rng.normal(0, 1, 800))], "g string, x double, y double")
-    assert K.mutual_information(df, ["g"], ["x"], "y").first().mi == pytest.approx(-0.5 * math.log(1 - 0.81), abs=0.12)
+    df = spark.createDataFrame([("a", i, float(u), float(0.9 * u + math.sqrt(1 - 0.81) * e)) for i, (u, e) in enumerate(zip(x, rng.normal(0, 1, 800)))], "g string, i long, x double, y double")
+    assert K.mutual_information(df, ["g"], ["x"], "y", F.col("i")).first().mi == pytest.approx(-0.5 * math.log(1 - 0.81), abs=0.12)
     cells = spark.createDataFrame([(1, r, c, float(r + rng.normal()), float(r)) for r, c in itertools.product(range(12), range(12)) if (r * c) % 7], "season_id int, grid_row int, grid_col int, target double, pred double")
     bands = K.band_totals(K.scale_bands(cells.withColumn("g", F.lit(1)), ["g"]), ["g"]).collect()
     assert len(bands) == 6 and sum(b.share for b in bands) == pytest.approx(1)

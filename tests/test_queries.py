@@ -14,8 +14,8 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 WITHOUT_SQL = {
-    "a25_information_per_season", "a46_boosted_trees", "a46_coordinates_only",
-    "a23_a61_scale_bands", "a25_mutual_information", "a36_weighted_quantiles", "a42_effective_rank", "a46_a47_ridge_oracle", "a48_a49_shift_scores", 
+    "a46_boosted_trees", "a46_coordinates_only",
+    "a23_a61_scale_bands", "a36_weighted_quantiles", "a42_effective_rank", "a46_a47_ridge_oracle", "a48_a49_shift_scores", 
     "g02_g03_greedy_assignment", "g07_stratified_group_folds", "s11_fingerprints", "s26_content_hash",
 }
 
