@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import tiles
+from . import stencils, tiles
 
 
 def seasons_with_geometry(seasons: DataFrame, geometry: DataFrame, key: str = "season_id") -> DataFrame:
@@ -100,12 +100,7 @@ def coverage(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
 
 def neighbours(cells: DataFrame, value: str, radius: int = 2, season: str = "season_id", row: str = "grid_row", col: str = "grid_col") -> DataFrame:
     """(season, row, col, k, value): the (2 radius + 1)^2 positions around each cell, null where there is no cell."""
-    side = 2 * radius + 1
-    steps = F.sequence(F.lit(-radius), F.lit(radius))
-    c = cells.select(season, row, col).withColumn("__dr", F.explode(steps)).withColumn("__dc", F.explode(steps))
-    c = c.withColumns({"k": ((F.col("__dr") + radius) * side + F.col("__dc") + radius).cast("int"), "__r": F.col(row) + F.col("__dr"), "__c": F.col(col) + F.col("__dc")})
-    s = cells.select(F.col(season).alias("__s"), F.col(row).alias("__sr"), F.col(col).alias("__sc"), value)
-    return c.join(s, (F.col(season) == F.col("__s")) & (F.col("__r") == F.col("__sr")) & (F.col("__c") == F.col("__sc")), "left").select(season, row, col, "k", value)
+    return stencils.windows(cells, value, radius, (season, row, col)).select(season, row, col, F.posexplode("values").alias("k", value))
 
 
 def neighbourhood_mean(cells: DataFrame, value: str, radius: int = 2, extra: list[str] = (), season: str = "season_id", row: str = "grid_row", col: str = "grid_col") -> DataFrame:
@@ -126,21 +121,14 @@ def neighbourhood_mean(cells: DataFrame, value: str, radius: int = 2, extra: lis
 
 
 def within_radius_pairs(cells: DataFrame, values: list[str], radius: int = 5, season: str = "season_id", row: str = "grid_row", col: str = "grid_col") -> DataFrame:
-    """Pairs of a season within the Chebyshev radius, each once (the half plane of offsets): values a_*, b_* and distance."""
-    off = [(r, c) for r in range(radius + 1) for c in range(-radius, radius + 1) if r > 0 or c > 0]
-    offs = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in off])
-    a = cells.select(F.col(season), F.col(row).alias("__r"), F.col(col).alias("__c"), *[F.col(v).alias(f"a_{v}") for v in values], F.explode(offs).alias("__o"))
-    a = a.withColumns({row: F.col("__r") + F.col("__o.r"), col: F.col("__c") + F.col("__o.c"), "distance": F.greatest(F.abs("__o.r"), F.abs("__o.c"))})
-    return a.join(cells.select(season, row, col, *[F.col(v).alias(f"b_{v}") for v in values]), [season, row, col]).select(season, "distance", *[f"{s}_{v}" for v in values for s in "ab"])
+    """Pairs of a season within the Chebyshev radius, each once: values a_*, b_* and distance."""
+    return stencils.pairs(cells, values, radius, (season, row, col))
 
 
 def relation_metric(cells: DataFrame, radius: int = 5, delta: float = 1.0, target: str = "target", pred: str = "pred") -> DataFrame:
-    """Weighted mean Huber value of the error of pair differences; touching pairs weigh a half."""
-    p = within_radius_pairs(cells, [target, pred], radius)
-    e = F.abs((F.col(f"a_{pred}") - F.col(f"b_{pred}")) - (F.col(f"a_{target}") - F.col(f"b_{target}")))
-    huber = F.when(e <= delta, 0.5 * e * e).otherwise(delta * (e - 0.5 * delta))
-    weight = F.when(F.col("distance") == 1, F.lit(0.5)).otherwise(F.lit(1.0))
-    return p.agg(F.count("*").alias("pairs"), (F.sum(weight * huber) / F.sum(weight)).alias("relation"))
+    """Weighted mean Huber value of the error of pair differences; touching pairs weigh a half. One row a tile is shuffled, no pair."""
+    p = stencils.relation_sums(cells, target, pred, radius, delta)
+    return p.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.try_divide(F.sum("loss"), F.sum("weight")).alias("relation"))
 
 
 def inclusive_interval_sums(series: DataFrame, daily: DataFrame, by: list[str], day: str, value: str) -> DataFrame:

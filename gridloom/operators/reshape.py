@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import stencils
+
 
 def wide(df: DataFrame, key: list[str], slot: str, slots: list[int], channels: list[str]) -> DataFrame:
     """One row a cell: channel@slot columns, whether each slot is there, by conditional maxima (no pivot scan)."""
@@ -38,10 +40,9 @@ def stride_patches(cells: DataFrame, height: int, width: int, size: int, stride:
     return cells.withColumn("patch_row", F.explode(starts(row, height))).withColumn("patch_col", F.explode(starts(col, width)))
 
 
-def packed_windows(gathered: DataFrame, key: list[str], value: str, k: str = "k") -> DataFrame:
+def packed_windows(cells: DataFrame, value: str, radius: int = 2, key: tuple[str, str, str] = stencils.KEY) -> DataFrame:
     """A row a cell: values by position and which positions are valid."""
-    g = gathered.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(k, F.col(value).alias("v")))).alias("w"))
-    return g.select(*key, F.transform("w", lambda x: x["v"]).alias("values"), F.transform("w", lambda x: x["v"].isNotNull()).alias("valid"))
+    return stencils.windows(cells, value, radius, key).withColumn("valid", F.transform("values", lambda x: x.isNotNull()))
 
 
 def rotated_positions(side: int, turns: int) -> list[int]:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..util import cut
+from . import stencils
 
 
 def first_dated(df: DataFrame, by: list[str], slot: str, day: str, out: str = "first_slot") -> DataFrame:
@@ -122,26 +122,8 @@ def first_crossing(df: DataFrame, by: list[str], text: str, week: str, level: fl
 
 
 def edge_distance(cells: DataFrame, cap: int = 50, season: str = "season_id", row: str = "grid_row", col: str = "grid_col") -> DataFrame:
-    """Chebyshev distance of each cell to the nearest position without a cell, less one, at most `cap`; and its log scale.
-
-    The largest full square around a cell grows by one per round while its row windows are full: square d fits if the
-    (2 d + 1) cells above, at and below hold square d - 1. Each round is a pair of range counts over the survivors, and
-    the rounds end with the largest square or the cap.
-    """
-    left = cells.select(season, F.col(row).cast("long").alias(row), F.col(col).cast("long").alias(col)).distinct()
-    done = left.withColumn("edge", F.lit(0))
-    parts = []
-    for d in range(1, cap + 1):
-        across = F.count("*").over(W.partitionBy(season, row).orderBy(col).rangeBetween(-1, 1))
-        inner = left.withColumn("__a", across)
-        down = F.count_if(F.col("__a") == 3).over(W.partitionBy(season, col).orderBy(row).rangeBetween(-1, 1))
-        left = cut(inner.withColumn("__b", down).filter("__b = 3").select(season, row, col))
-        if left.isEmpty():
-            break
-        parts.append(left.withColumn("edge", F.lit(d)))
-    for p in parts:
-        done = done.unionByName(p)
-    out = done.groupBy(season, row, col).agg(F.max("edge").alias("edge"))
+    """Chebyshev distance of each cell to the nearest position without a cell, less one, at most `cap`; and its log scale."""
+    out = stencils.full_squares(cells, cap, (season, row, col))
     return out.withColumn("edge_scaled", F.log1p("edge") / F.lit(math.log1p(cap)))
 
 

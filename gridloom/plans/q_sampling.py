@@ -401,10 +401,7 @@ def r04_stride_patches(spark, d):
 
 @query(f"""WITH {V.CELLS} SELECT a.season_id, a.grid_row, a.grid_col, count(b.target) AS valid, round(sum(b.target * ((2 - (b.grid_col - a.grid_col)) * 5 + (b.grid_row - a.grid_row) + 2)), 4) AS turned FROM cells a LEFT JOIN cells b ON a.season_id = b.season_id AND abs(a.grid_row - b.grid_row) <= 2 AND abs(a.grid_col - b.grid_col) <= 2 GROUP BY 1, 2, 3""")
 def r05_packed_windows(spark, d):
-    from ..operators.joins import neighbours
-
-    p = R.packed_windows(neighbours(V.cells(spark, d), "target"), KEY, "target")
-    t = R.rotated(p, "values", 5, 1)
+    t = R.rotated(R.packed_windows(V.cells(spark, d), "target"), "values", 5, 1)
     total = F.aggregate(F.transform("values", lambda v, i: F.coalesce(v, F.lit(0.0)) * i), F.lit(0.0), lambda a, v: a + v)
     return V.rounded(t.select(*KEY, F.size(F.filter("valid", lambda v: v)).cast("long").alias("valid"), total.alias("turned")), 4)
 
