@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordered import in_order
+
 #: Knuth's multiplier; products of ids below 2**31 stay within 64 bits.
 KNUTH = 2654435761
 
@@ -48,11 +50,8 @@ def balanced_draws(sizes: DataFrame, group: str, n: int, alpha: float = 0.5, see
     Groups become intervals of [0, 1); draws and intervals meet by the grid cells they touch, an equi-join.
     """
     grid = 1024
-    p = sizes.select(group, F.pow(F.col("n").cast("double"), F.lit(alpha)).alias("__w"))
-    w = W.orderBy(group)  # a row a group: seasons, not cells
-    run = F.sum("__w").over(w.rowsBetween(W.unboundedPreceding, 0))
-    total = F.sum("__w").over(W.partitionBy())
-    p = p.select(group, ((run - F.col("__w")) / total).alias("lo"), (run / total).alias("hi"))
+    p = in_order(sizes.select(group, F.pow(F.col("n").cast("double"), F.lit(alpha)).alias("__w")), [], [group], {"__run": F.col("__w")})
+    p = p.select(group, ((F.col("__run") - F.col("__w")) / F.col("__run_total")).alias("lo"), (F.col("__run") / F.col("__run_total")).alias("hi"))
     p = p.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * grid).cast("int"), F.least(F.lit(grid - 1), F.floor(F.col("hi") * grid)).cast("int"))))
     d = sizes.sparkSession.range(n).select(F.col("id").alias("draw"), uniform(F.col("id"), seed).alias("u")).withColumn("cell", F.floor(F.col("u") * grid).cast("int"))
     return d.join(p, "cell").filter((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("draw", group)
@@ -60,12 +59,11 @@ def balanced_draws(sizes: DataFrame, group: str, n: int, alpha: float = 0.5, see
 
 def contiguous_block(draws: DataFrame, rows: DataFrame, group: str, order: list[str], length: int, seed: int = 1) -> DataFrame:
     """For each draw `length` consecutive rows of its group from a drawn place, cyclically."""
-    w = W.partitionBy(group)
-    r = rows.withColumns({"__i": F.row_number().over(w.orderBy(*order)) - 1, "__n": F.count("*").over(w)})
-    size = r.groupBy(group).agg(F.first("__n").alias("__m"))
+    r = in_order(rows, [group], order, {"__n": F.lit(1)}).withColumn("__i", F.col("__n") - 1).drop("__n", "__n_total")
+    size = rows.groupBy(group).agg(F.count("*").alias("__m"))
     d = draws.join(size, group).withColumn("__start", F.floor(uniform(F.col("draw"), seed) * F.col("__m")))
     d = d.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(length - 1)))).withColumn("__i", (F.col("__start") + F.col("step")) % F.col("__m"))
-    return d.join(r, [group, "__i"]).drop("__i", "__n", "__m", "__start")
+    return d.join(r, [group, "__i"]).drop("__i", "__m", "__start")
 
 
 def cluster_draws(anchors: DataFrame, cells: DataFrame, radius: int, m: int, season: str = "season_id", row: str = "grid_row", col: str = "grid_col", seed: int = 0) -> DataFrame:

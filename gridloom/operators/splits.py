@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import block_id
 from ..util import cut
+from .ordered import in_order
 from .sampling import mixed, uniform
 
 RANK = {"test": 0, "val": 1, "train": 2}
@@ -208,9 +209,9 @@ def unit_for_fold(units: DataFrame, fold_tests: DataFrame) -> DataFrame:
 def donor_split(seasons: DataFrame, chosen: Column, share: float, seed: int = 0) -> DataFrame:
     """Chosen seasons: max(1, round(share n)) of them, by hash, validate; the rest train."""
     x = seasons.filter(chosen).select("season_id").distinct()
-    n = F.count("*").over(W.partitionBy())
-    rank = F.row_number().over(W.orderBy(mixed(F.crc32(F.col("season_id").cast("string").cast("binary")), seed), "season_id"))  # a row a season
-    return x.withColumn("partition", F.when(rank <= F.greatest(F.lit(1), F.round(n * share)), "val").otherwise("train"))
+    h = mixed(F.crc32(F.col("season_id").cast("string").cast("binary")), seed)
+    x = in_order(x.withColumn("__h", h), [], ["__h", "season_id"], {"__i": F.lit(1)})
+    return x.select("season_id", F.when(F.col("__i") <= F.greatest(F.lit(1), F.round(F.col("__i_total") * share)), "val").otherwise("train").alias("partition"))
 
 
 def split_summary(assigned: DataFrame, farm: str = "farm_id") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite
+from .ordered import in_order
 
 
 def sufficient_stats(df: DataFrame, by: list[str], channels: list[str]) -> DataFrame:
@@ -73,19 +74,19 @@ def nugget(variogram: DataFrame, variance: DataFrame, by: list[str]) -> DataFram
 def weighted_quantiles(df: DataFrame, value: str, stratum: list[str], season: str = "season_id", points: int = 101, least: int = 20) -> DataFrame:
     """(stratum, q, value): quantiles in which every season weighs one, by linear interpolation of the mid-cumulated weights.
 
-    Strata under `least` seasons are left out. The running weight is a window by stratum over distinct values.
+    Strata under `least` seasons are left out. The running weight comes from range partitions of the distinct values, so that no task holds a
+    stratum or a season.
     """
-    v = df.select(*stratum, season, finite(F.col(value)).alias("v"), F.count("*").over(W.partitionBy(*stratum, season)).alias("m")).filter("v is not null")
-    enough = v.groupBy(*stratum).agg(F.count_distinct(season).alias("k")).filter(F.col("k") >= least).drop("k")
-    d = v.withColumn("w", 1 / F.col("m")).join(enough, stratum)
-    d = d.groupBy(*stratum, "v").agg(F.sum("w").alias("w"), F.count("*").alias("c"))
-    order = W.partitionBy(*stratum).orderBy("v")
-    total = F.sum("w").over(W.partitionBy(*stratum))
-    # the first and last occurrence of a tied value stand at different places; values between two places are interpolated
-    run = F.sum("w").over(order.rowsBetween(W.unboundedPreceding, 0))
+    v = df.select(*stratum, season, finite(F.col(value)).alias("v"))
+    m = v.groupBy(*stratum, season).agg(F.count("*").alias("m"), F.count("v").alias("__k"))
+    enough = m.filter("__k > 0").groupBy(*stratum).agg(F.count("*").alias("__s")).filter(F.col("__s") >= least).drop("__s")
+    counts = v.filter("v is not null").groupBy(*stratum, season, "v").agg(F.count("*").alias("c"))
+    d = counts.join(m.join(enough, stratum, "left_semi"), [*stratum, season]).groupBy(*stratum, "v").agg(F.sum(F.col("c") / F.col("m")).alias("w"), F.sum("c").alias("c"))
     half = F.col("w") / F.col("c") / 2
-    d = d.withColumns({"lo": (run - F.col("w") + half) / total, "hi": (run - half) / total})
-    d = d.withColumns({"next_lo": F.lead("lo").over(order), "next_v": F.lead("v").over(order), "first": F.row_number().over(order) == 1})
+    d = in_order(d, stratum, ["v"], {"run": F.col("w"), "at": F.lit(1)}, {"next_v": F.col("v"), "next_half": half})
+    # the first and last occurrence of a tied value stand at different places; values between two places are interpolated
+    total = F.col("run_total")
+    d = d.withColumns({"lo": (F.col("run") - F.col("w") + half) / total, "hi": (F.col("run") - half) / total, "next_lo": (F.col("run") + F.col("next_half")) / total, "first": F.col("at") == 1})
     # only the points around a value's span, so that values don't meet all points
     begin = F.when(F.col("first"), F.lit(0)).otherwise(F.greatest(F.lit(0), F.floor(F.col("lo") * (points - 1)).cast("int")))
     end = F.when(F.col("next_lo").isNull(), F.lit(points - 1)).otherwise(F.least(F.lit(points - 1), F.ceil(F.col("next_lo") * (points - 1)).cast("int")))

@@ -275,7 +275,10 @@ def a36_weighted_quantile_points(spark, d):
     return q.groupBy("crop").agg(F.count("*").alias("points"))
 
 
-@query(None)
+@query(f"""{V.PANEL}, e AS (SELECT crop, CAST(target AS DOUBLE) AS v, 1.0 / count(*) OVER (PARTITION BY season_id) AS w FROM cells JOIN seasons USING (season_id)), g AS (SELECT crop, v, sum(w) AS w, count(*) AS c FROM e GROUP BY 1, 2),
+ o AS (SELECT *, sum(w) OVER (PARTITION BY crop ORDER BY v) AS run, sum(w) OVER (PARTITION BY crop) AS total FROM g), p AS (SELECT crop, v, (run - w + w / c / 2) / total AS pos FROM o UNION ALL SELECT crop, v, (run - w / c / 2) / total FROM o), k AS (SELECT CAST(unnest(range(101)) AS INT) AS k),
+ b AS (SELECT crop, k, max(pos) FILTER (pos <= k / 100.0) AS a0, arg_max(v, pos) FILTER (pos <= k / 100.0) AS v0, min(pos) FILTER (pos >= k / 100.0) AS a1, arg_min(v, pos) FILTER (pos >= k / 100.0) AS v1 FROM p, k GROUP BY 1, 2)
+ SELECT crop, k, round(CASE WHEN a0 IS NULL THEN v1 WHEN a1 IS NULL OR a1 = a0 THEN v0 ELSE v0 + (k / 100.0 - a0) / (a1 - a0) * (v1 - v0) END, 6) AS value FROM b""")
 def a36_weighted_quantiles(spark, d):
     return V.rounded(S.weighted_quantiles(V.panel(spark, d), "target", ["crop"], points=101, least=2))
 
