@@ -22,7 +22,7 @@ def query(sql: str | None = None):
 
 def _load() -> None:
     """The modules register their queries when they are first imported."""
-    from . import q_contracts, q_extra, q_joins, q_metrics, q_priors, q_sampling, q_sources, q_space  # noqa: F401
+    from . import q_contracts, q_extra, q_joins, q_metrics, q_models, q_priors, q_sampling, q_sources, q_space  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:

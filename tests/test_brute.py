@@ -118,7 +118,7 @@ def test_ridge_oracle(spark):
     rng = np.random.default_rng(2)
     a, f = rng.normal(size=(300, 2)), np.arange(300) % 5
     y = a @ [1.0, -2.0] + rng.normal(size=300)
-    df = spark.createDataFrame([("g", int(k), float(p), float(q), float(t)) for k, (p, q), t in zip(f, a, y)], "g string, fold int, p double, q double, y double")
+    df = spark.createDataFrame([("g", int(k), float(p), float(q), float(t)) for k, (p, q), t in zip(f, a, y)] + [("few", 0, 1.0, 1.0, 1.0)] * 9, "g string, fold int, p double, q double, y double")
     sse = 0.0
     for k in range(5):
         t = f != k
