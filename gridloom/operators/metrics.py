@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite
+from .ordered import in_order
 
 
 def pairs(df: DataFrame, target: str = "target", pred: str = "pred") -> DataFrame:
@@ -156,8 +157,7 @@ def auroc(df: DataFrame, score: str, label: str, by: list[str] = (), least: int
     """Mann-Whitney AUROC with average ranks; null under `least` rows or with one class."""
     d = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
     ties = d.groupBy(*by, score).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("int")).alias("pos"))
-    w = W.partitionBy(*by).orderBy(score).rowsBetween(W.unboundedPreceding, -1)
-    ranked = ties.withColumn("mean_rank", F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") + 1) / 2)
+    ranked = in_order(ties, list(by), [score], {"__run": F.col("n")}).withColumn("mean_rank", F.col("__run") - F.col("n") + (F.col("n") + 1) / 2)
     g = ranked.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"), F.sum(F.col("pos") * F.col("mean_rank")).alias("s"))
     neg = F.col("n") - F.col("pos")
     return g.select(*by, "n", "pos", F.when((F.col("n") >= least) & (F.col("pos") > 0) & (neg > 0), (F.col("s") - F.col("pos") * (F.col("pos") + 1) / 2) / (F.col("pos") * neg)).alias("auroc"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import kernels as K
 from ..operators import oracles as O
+from ..operators import shift as X
 from ..operators import splits as G
 from . import views as V
 from .registry import query
@@ -21,3 +22,24 @@ def a46_a47_oracles_per_season(spark, d):
     x = reduce(lambda a, b: a.unionByName(b), cells)
     scores = O.season_oracle(x, ["crop", "season_id", "block"], "fold", ["pred", "n_src", "grid_row"], ["grid_row", "grid_col"], "target", rounds=8, rate=0.2, leaves=6)
     return V.rounded(K.oracle_table(scores, ["crop", "block", "method"]), 5)
+
+
+def _season_features(spark, d):
+    return V.panel(spark, d).groupBy("crop", "season_id").agg(F.avg("pred").alias("p"), F.stddev_pop("pred").alias("q"), F.avg("n_src").alias("r"), F.avg("target").alias("target"))
+
+
+@query(f"{V.PANEL} SELECT crop, season_id, round(avg(pred), 6) AS p, round(stddev_pop(pred), 6) AS q, round(avg(n_src), 6) AS r, round(avg(target), 6) AS target FROM cells JOIN seasons USING (season_id) GROUP BY 1, 2")
+def a48_season_features(spark, d):
+    return V.rounded(_season_features(spark, d))
+
+
+@query(None)
+def a48_a49_shift_scores(spark, d):
+    """Each crop told from the rest by all features and by those of the imagery alone, over the seasons."""
+    return V.rounded(X.shift_scores(_season_features(spark, d), "crop", {"all": ["p", "q", "r"], "imagery": ["p", "q"]}, "target", key=F.col("season_id")), 4)
+
+
+@query(None)
+def a49_shift_of_cells(spark, d):
+    """The same over all cells, a group a year."""
+    return V.rounded(X.shift_scores(V.panel(spark, d), "year", {"all": ["pred", "n_src", "grid_row"], "imagery": ["pred"]}, "target", key=F.col("season_id")), 4)

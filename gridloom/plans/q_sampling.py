@@ -498,9 +498,3 @@ def a23_a61_scale_bands(spark, d):
 def a46_a47_ridge_oracle(spark, d):
     c = G.block_folds(V.panel(spark, d), 4).withColumns({"x1": F.col("grid_row") * 1.0, "x2": F.col("grid_col") * 1.0})
     return V.rounded(K.oracle_table(K.ridge_oracle(c, ["crop", "season_id"], "fold", ["pred", "x1", "x2"], "target"), ["crop"]), 5)
-
-
-@query(None)
-def a48_a49_shift_scores(spark, d):
-    s = V.panel(spark, d).groupBy("crop", "season_id").agg(F.avg("pred").alias("p"), F.stddev_pop("pred").alias("q"), F.avg("n_src").alias("r"), F.avg("target").alias("target"))
-    return V.rounded(K.shift_scores(s, "crop", ["p", "q", "r"], "target"), 4)
