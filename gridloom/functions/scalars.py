@@ -330,3 +330,32 @@ def rgb_valid(bands: list[Column], day: Column, occupied: Column) -> Column:
     for b in bands:
         ok = ok & finite(b).isNotNull()
     return F.coalesce(ok, F.lit(False))
+
+
+def additive_hash(row: Column) -> Column:
+    """An aggregate: a hash of rows (as text) in any order, from sums of the first four quarters of their SHA-256; nulls count as empty."""
+    h = F.sha2(F.coalesce(row, F.lit("")).cast("binary"), 256)
+    parts = [F.sum(F.conv(F.substring(h, k, 8), 16, 10).cast("decimal(28,0)")).cast("string") for k in (1, 9, 17, 25)]
+    return F.sha2(F.concat_ws(":", *parts).cast("binary"), 256)
+
+
+def row_text(*columns: Column) -> Column:
+    """Columns as one text that tells any two rows apart: each with its length before it, nulls by a mark."""
+    text = [c.cast("string") for c in columns]
+    return F.concat(*[F.when(c.isNull(), F.lit("-;")).otherwise(F.concat(F.length(c).cast("string"), F.lit(":"), c)) for c in text])
+
+
+def additive_hash_sql(row: str) -> str:
+    """The same as SQL, for oracles."""
+    part = lambda k: f"CAST(sum(CAST('0x' || substr(sha256({row}), {k}, 8) AS BIGINT)) AS VARCHAR)"
+    return f"sha256(concat_ws(':', {', '.join(part(k) for k in (1, 9, 17, 25))}))"
+
+
+def text_key(c: Column) -> Column:
+    """An integer below 2**28 from a text: the first digits of its SHA-256, which any engine with that hash can repeat."""
+    return F.conv(F.substring(F.sha2(c.cast("binary"), 256), 1, 7), 16, 10).cast("long")
+
+
+def text_key_sql(c: str) -> str:
+    """The same as SQL, for oracles."""
+    return f"CAST('0x' || substr(sha256({c}), 1, 7) AS BIGINT)"

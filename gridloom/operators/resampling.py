@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..util import cut
 from .sampling import mixed
 
 
@@ -103,3 +104,35 @@ def blended(df: DataFrame, betas: DataFrame, on: list[str], features: list[str],
     for i, f in enumerate(features):
         x = x + F.get("beta", F.lit(i)) * F.col(f)
     return df.join(betas, on).withColumn(out, x).drop("beta")
+
+
+def prior_blends(cells: DataFrame, pair: str, season: str, year: str, subsets: Column) -> DataFrame:
+    """(pair, subset, method, seasons, within_r2) of blends of a season's predictions with an earlier season of the same place.
+
+    `cells` have target, pred, prior (the earlier target) and prior_pred; `subsets` is an array of names, the same in all rows of a season.
+    All are centred in the season; s is the deviation of its predictions, z(.) a z-score. M0: predictions; M1: w s z(prior); M2: M0 and M1 with a weight
+    each; M3: M0 + w s z(prior less its prediction); M4: all three weighted; M5: predictions times the earlier season's slope, in [0, 3]. Weights are those of
+    least squares over the pair's other years; without any the predictions stay. Everything after two passes over the cells reads sums of a year.
+    """
+    y, m, p, q = (F.col(c).cast("double") for c in ("target", "pred", "prior", "prior_pred"))
+    rows = cells.select(pair, season, year, subsets.alias("__subsets"), y.alias("y"), m.alias("m"), p.alias("p"), (p - q).alias("r"), q.alias("q")).dropna(subset=["y", "m", "p", "q"])
+    stats = rows.groupBy(season).agg(*[F.avg(c).alias(f"__a{c}") for c in "ymprq"], *[F.stddev_pop(c).alias(f"__s{c}") for c in "mpr"], F.covar_samp("p", "q").alias("__c"), F.var_pop("q").alias("__v"))
+    z = lambda c: F.when(F.col(f"__s{c}") > 0, (F.col(c) - F.col(f"__a{c}")) / F.col(f"__s{c}")).otherwise(0.0) * F.col("__sm")
+    slope = F.least(F.lit(3.0), F.greatest(F.lit(0.0), F.coalesce("__c", F.lit(0.0)) / F.greatest("__v", F.lit(1e-12))))
+    x = cut(rows.join(stats, season).select(pair, season, year, "__subsets", (F.col("y") - F.col("__ay")).alias("y"), (F.col("m") - F.col("__am")).alias("m"), z("p").alias("f1"), z("r").alias("f2"), slope.alias("slope")))
+    x = x.withColumn("rest", F.col("y") - F.col("m"))
+    several = x.groupBy(pair).agg(F.min(year).alias("__low"), F.max(year).alias("__high")).filter("__low < __high").select(pair)
+    fits = {"M1": (["f1"], "y"), "M2": (["m", "f1"], "y"), "M3": (["f2"], "rest"), "M4": (["m", "f1", "f2"], "y")}
+    known = x.join(several, pair, "left_semi")
+    weights = None
+    for name, (features, target) in fits.items():
+        one = leave_one_out_blend(known, [pair], year, target, features).withColumnRenamed("beta", name)
+        weights = one if weights is None else weights.join(one, [pair, year])
+    x = x.join(weights, [pair, year], "left")
+    said = {"M0": F.col("m"), "M5": F.col("slope") * F.col("m")}
+    for name, (features, _) in fits.items():
+        v = sum((F.get(name, F.lit(i)) * F.col(f) for i, f in enumerate(features)), F.col("m") if name == "M3" else F.lit(0.0))
+        said[name] = F.when(F.col(name).isNull(), F.col("m")).otherwise(v)
+    sums = x.groupBy(pair, season).agg(F.max("__subsets").alias("__subsets"), F.sum(F.col("y") * F.col("y")).alias("sst"), *[F.sum(F.pow(v - F.col("y"), 2)).alias(n) for n, v in sorted(said.items())])
+    long = sums.select(pair, F.explode("__subsets").alias("subset"), "sst", F.explode(F.array(*[F.struct(F.lit(n).alias("method"), F.col(n).alias("sse")) for n in sorted(said)])).alias("e"))
+    return long.groupBy(pair, "subset", "e.method").agg(F.count("*").alias("seasons"), (1 - F.try_divide(F.sum("e.sse"), F.sum("sst"))).alias("within_r2"))

@@ -67,20 +67,57 @@ def library_errors(concepts: DataFrame, rules: DataFrame) -> DataFrame:
 def response_errors(responses: DataFrame, wanted: DataFrame, allowed: DataFrame) -> DataFrame:
     """(sample, error) of annotation responses (sample, items array<struct<id, score, cites array<string>>>).
 
-    Each response must have exactly the wanted ids once, scores in [0, 1] or null for unknown, and cite allowed evidence only.
-    `wanted` and `allowed` are the library's ids, a short list each.
+    Each response must have exactly the wanted ids once, scores in [0, 1] or null for unknown, and cite allowed evidence only; one without
+    items has every error. `wanted` and `allowed` are tables of ids.
     """
-    ids = [r[0] for r in wanted.select("id").distinct().orderBy("id").collect()]
-    cites = [r[0] for r in allowed.select("id").distinct().orderBy("id").collect()]
-    want, may = F.array(*map(F.lit, ids)), F.array(*map(F.lit, cites))
-    have = F.transform("items", lambda x: x["id"])
+    items = responses.select("sample", F.posexplode_outer("items").alias("__i", "x")).select("sample", "__i", "x.*")
+    want = wanted.select("id").distinct()
+    known = items.filter("__i is not null").join(want.withColumn("__w", F.lit(True)), "id", "left")
+    g = known.groupBy("sample").agg(F.count("*").alias("n"), F.count_distinct(F.when(F.col("__w"), F.col("id"))).alias("w"), F.count_if((F.col("score") < 0) | (F.col("score") > 1)).alias("off"))
+    cited = items.select("sample", F.explode("cites").alias("cite"))
+    odd = cited.filter("cite is null").select("sample").unionByName(cited.join(allowed.select(F.col("id").alias("cite")).distinct(), "cite", "left_anti").select("sample")).distinct().withColumn("odd", F.lit(True))
+    x = responses.select("sample", F.col("items").isNull().alias("none")).join(g, "sample", "left").join(odd, "sample", "left").crossJoin(want.agg(F.count("*").alias("m")))  # one row
+    none = F.col("none")
+    bad = {"wrong ids": none | (F.coalesce("n", F.lit(0)) != F.col("m")) | (F.coalesce("w", F.lit(0)) != F.col("m")), "score out of range": none | (F.coalesce("off", F.lit(0)) > 0), "citation not allowed": none | F.col("odd").isNotNull()}
+    errors = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in bad.items()]), lambda e: e.isNotNull())
+    return x.select("sample", F.explode(errors).alias("error"))
+
+
+STATUSES = ("estimated", "unknown", "not_observable")
+
+
+def annotation_errors(annotations: DataFrame, definitions: DataFrame, channels: list[str], vision: bool = False) -> DataFrame:
+    """(sample, id, error) of annotations (sample, kind, id, status, score, confidence, cites array<string>, reason) against the library's
+    definitions (kind, id, channels array<string>, family); kinds are concepts and rules.
+
+    A sample has each definition once and nothing else. An estimate has score and confidence in [0, 1] and cites evidence; other statuses have neither number, as
+    unknown is not a negative. Evidence is the dates, channels of the concept (of a rule: any of `channels`) and, with vision, the image for rules and
+    optical concepts; a concept's estimate needs more than dates. Every record has a reason. Errors of a whole sample have a null id.
+    """
+    d = definitions.select("kind", "id", F.col("channels").alias("__own"), "family", F.lit(True).alias("__known"))
+    a = annotations.join(d, ["kind", "id"], "left")
+    names = F.array(*map(F.lit, channels)).cast("array<string>")
+    sensors = F.transform(F.when(F.col("kind") == "concepts", F.col("__own")).otherwise(names), lambda c: F.concat(F.lit("channels."), c))
+    image = F.when(F.lit(vision) & ((F.col("kind") == "rules") | (F.col("family") == "optical")), F.array(F.lit("image"))).otherwise(F.array().cast("array<string>"))
+    beyond = F.concat(F.coalesce(sensors, F.array().cast("array<string>")), image)
+    estimated = F.col("status") == "estimated"
+    inside = lambda c: F.coalesce(F.col(c).between(0, 1), F.lit(False))
+    cites = F.coalesce("cites", F.array().cast("array<string>"))
     bad = {
-        "wrong ids": (F.size(F.array_except(want, have)) > 0) | (F.size(F.array_except(have, want)) > 0) | (F.size(have) != len(ids)),
-        "score out of range": F.exists("items", lambda x: F.coalesce((x["score"] < 0) | (x["score"] > 1), F.lit(False))),
-        "citation not allowed": F.exists("items", lambda x: F.size(F.array_except(F.coalesce(x["cites"], F.expr("cast(array() as array<string>)")), may)) > 0),
+        "unknown id": F.col("__known").isNull(),
+        "invalid status": ~F.coalesce(F.col("status").isin(*STATUSES), F.lit(False)),
+        "invalid score": estimated & ~(inside("score") & inside("confidence")),
+        "unknown is not a negative": ~estimated & (F.col("score").isNotNull() | F.col("confidence").isNotNull()),
+        "unsupported citation": F.col("cites").isNull() | F.exists(cites, lambda c: c.isNull()) | (F.size(F.array_except(cites, F.concat(beyond, F.array(F.lit("dates"))))) > 0),
+        "estimate without evidence": estimated & (F.size(cites) == 0),
+        "no sensor evidence": estimated & (F.col("kind") == "concepts") & (F.size(cites) > 0) & (F.size(F.array_intersect(cites, beyond)) == 0),
+        "no reason": F.coalesce(F.trim("reason") == "", F.lit(True)),
     }
-    errors = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(True)), F.lit(n)) for n, c in bad.items()]), lambda e: e.isNotNull())
-    return responses.select("sample", F.explode(errors).alias("error"))
+    own = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in bad.items()]), lambda e: e.isNotNull())
+    twice = annotations.groupBy("sample", "kind", "id").agg(F.count("*").alias("n")).filter("n > 1").select("sample", "id", F.lit("repeated id").alias("error"))
+    have = annotations.join(d, ["kind", "id"], "left_semi").groupBy("sample").agg(F.count_distinct("kind", "id").alias("n"))
+    lacking = annotations.select("sample").distinct().join(have, "sample", "left").crossJoin(d.agg(F.count_distinct("kind", "id").alias("m"))).filter(F.coalesce("n", F.lit(0)) < F.col("m"))  # one row
+    return a.select("sample", "id", F.explode(own).alias("error")).unionByName(twice).unionByName(lacking.select("sample", F.lit(None).cast("string").alias("id"), F.lit("missing ids").alias("error"))).distinct()
 
 
 def acceptance_errors(annotations: DataFrame, prepared: DataFrame, audited: DataFrame, profile: str) -> DataFrame:

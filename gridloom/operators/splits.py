@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import block_id
+from ..functions.scalars import additive_hash, block_id, text_key
 from ..util import cut
 from .ordered import in_order
 from .sampling import mixed, uniform
@@ -18,18 +18,30 @@ RANK = {"test": 0, "val": 1, "train": 2}
 def components(links: DataFrame, nodes: DataFrame, node: str = "node") -> DataFrame:
     """(node, root): the smallest node reachable over links (a, b); nodes without links are their own root.
 
-    Every round takes the minimum of the neighbours' roots and then the root's root, so paths shrink by doubling.
+    Each round hangs larger neighbours and then smaller ones of a node on its smallest (two star steps), by partially aggregated minima. A node
+    whose root has no other links is settled and leaves the edges, so that the rounds work on what still changes.
     """
-    edges = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
-    state = cut(nodes.select(F.col(node).alias("node"), F.col(node).alias("root")))
-    while True:
-        near = edges.join(state, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("m"))
-        step = state.join(near, F.col("node") == F.col("a"), "left").select("node", F.least("root", F.coalesce("m", "root")).alias("root"))
-        up = step.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        new = cut(step.join(up, "root", "left").select("node", F.least("root", F.coalesce("up", "root")).alias("root")))
-        if new.join(state.withColumnRenamed("root", "old"), "node").filter("root <> old").isEmpty():
-            return new
-        state = new
+    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    settled = []
+    while not edges.isEmpty():
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("__l")).select("u", F.least("__l", "u").alias("m"))
+        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        # a node with one edge, to a root that nothing makes smaller, is settled if all of the root's nodes are
+        step = cut(small.filter("u <> v").distinct())
+        several = step.groupBy("u").agg(F.count("*").alias("__n")).filter("__n > 1").select("u")
+        inner = step.select(F.col("v").alias("u")).distinct().join(step.select("u").distinct(), "u", "left_semi")  # roots that hang on others
+        open_roots = step.join(several, "u", "left_semi").select("v").unionByName(inner.select(F.col("u").alias("v"))).unionByName(step.join(inner, "u", "left_semi").select("v")).distinct()
+        marked = cut(step.join(open_roots.withColumn("__open", F.lit(True)), "v", "left").select("u", "v", F.coalesce("__open", F.lit(False)).alias("open")))
+        settled.append(marked.filter(~F.col("open")).select(F.col("u").alias("node"), F.col("v").alias("root")))
+        edges = marked.filter("open").select("u", "v")
+    found = links.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
+    for part in settled:
+        found = found.unionByName(part)
+    named = nodes.select(F.col(node).alias("node")).distinct()
+    return named.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
 def joined_labels(members: DataFrame, root: str = "root", member: str = "member") -> DataFrame:
@@ -49,7 +61,7 @@ def assign_groups(groups: DataFrame, by: str, group: str, rows: str, val: float
     A partition with a target gets a group at least: the smallest of the partition with the most groups, if it keeps one.
     One sequential pass per `by` value over its groups, which are few (farms or fields of a country).
     """
-    sized = groups.select(F.col(by).cast("string").alias("by"), F.col(group).cast("string").alias("grp"), F.col(rows).cast("double").alias("n"), (F.col(rows) * (0.5 + uniform(F.crc32(F.col(group).cast("string").cast("binary")), seed))).alias("jitter"))
+    sized = groups.select(F.col(by).cast("string").alias("by"), F.col(group).cast("string").alias("grp"), F.col(rows).cast("double").alias("n"), (F.col(rows) * (0.5 + uniform(text_key(F.col(group).cast("string")), seed))).alias("jitter"))
     targets = {"train": 1.0 - val - test, "val": val, "test": test}
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -105,6 +117,15 @@ def shares_ground(seasons: DataFrame, test: DataFrame, field: str) -> DataFrame:
     return seasons.join(test.select("season_id"), "season_id", "left_anti").join(fields, field, "left_semi")
 
 
+#: Names of folds that may be broadcast.
+FEW = 10_000
+
+
+def _short(names: DataFrame) -> DataFrame:
+    """A list of names, broadcast where it is short. A manifest has a row a fold and season, so what the product gives is the result's own size."""
+    return F.broadcast(names) if len(names.take(FEW + 1)) <= FEW else names
+
+
 def folds_by(seasons: DataFrame, key: str, field: str, policy: str = "paper", val: float = 0.15, seed: int = 0) -> DataFrame:
     """(fold, season_id, partition) for leave-one-key-out folds.
 
@@ -114,7 +135,7 @@ def folds_by(seasons: DataFrame, key: str, field: str, policy: str = "paper", va
     seasons = seasons.select("season_id", key, field)
     k = seasons.select(F.col(key).alias("fold")).distinct()
     ground = seasons.select(F.col(key).alias("fold"), F.col(field).alias("__g")).distinct().withColumn("__shared", F.lit(True))
-    x = seasons.join(k, F.lit(True)).withColumn("__test", F.col(key) == F.col("fold"))  # folds are a short list of keys
+    x = seasons.crossJoin(_short(k)).withColumn("__test", F.col(key) == F.col("fold"))
     x = x.join(ground.withColumnRenamed("__g", field), ["fold", field], "left").withColumn("shares_ground", F.coalesce("__shared", F.lit(False)) & ~F.col("__test"))
     if policy == "strict":
         x = x.filter(~F.col("shares_ground"))
@@ -131,7 +152,7 @@ def stratified_group_folds(seasons: DataFrame, group: str, stratum: str, k: int,
     hash), each to the fold that keeps the deviation between folds smallest.
     """
     w = F.greatest(F.lit(1), F.floor(F.col(rows) / 100))
-    counts = seasons.groupBy(F.col(group).cast("string").alias("grp"), F.col(stratum).cast("string").alias("st")).agg(F.sum(w).cast("double").alias("n")).withColumn("h", mixed(F.crc32(F.col("grp").cast("binary")), seed)).withColumn("one", F.lit(1))
+    counts = seasons.groupBy(F.col(group).cast("string").alias("grp"), F.col(stratum).cast("string").alias("st")).agg(F.sum(w).cast("double").alias("n")).withColumn("h", mixed(text_key(F.col("grp")), seed)).withColumn("one", F.lit(1))
 
     def deal(pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
@@ -166,7 +187,7 @@ def without_validation(assigned: DataFrame) -> DataFrame:
 def pooled_folds(tests: DataFrame, seasons: DataFrame, key: str) -> DataFrame:
     """(key, season_id, partition): tests of all pairs with the same key form a fold, all other seasons train."""
     t = tests.select(F.col(key).alias("pool"), "season_id").distinct()
-    rest = t.select("pool").distinct().crossJoin(seasons.select("season_id")).join(t, ["pool", "season_id"], "left_anti")  # folds x seasons, the result's own size
+    rest = seasons.select("season_id").crossJoin(_short(t.select("pool").distinct())).join(t, ["pool", "season_id"], "left_anti")
     return t.withColumn("partition", F.lit("test")).unionByName(rest.withColumn("partition", F.lit("train")))
 
 
@@ -219,8 +240,8 @@ def split_summary(assigned: DataFrame, farm: str = "farm_id") -> DataFrame:
 
 
 def split_hash(assigned: DataFrame, by: list[str], season: str = "season_id") -> DataFrame:
-    """Content hash of each partition's sorted season list."""
-    return assigned.groupBy(*by).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.col(season).cast("string"))), ","), 256).alias("hash"), F.count("*").alias("seasons"))
+    """Content hash of each partition's seasons, in any order: sums of hashes, so that no list is held."""
+    return assigned.groupBy(*by).agg(additive_hash(F.col(season).cast("string")).alias("hash"), F.count("*").alias("seasons"))
 
 
 def run_matrix(dimensions: dict[str, list], spark, folds: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -113,6 +113,40 @@ def f14_response_errors(spark, d):
     return Q.response_errors(responses, c.select("id"), spark.range(1).select(F.lit("assistant").alias("id")))
 
 
+@query("""WITH a AS (SELECT l_orderkey AS sample, CASE WHEN l_linenumber <= 4 THEN 'concepts' ELSE 'rules' END AS kind, concat('c', CASE WHEN l_suppkey % 17 = 0 THEN 9 ELSE l_linenumber END) AS id, l_linenumber AS n, CASE WHEN l_suppkey % 11 = 0 THEN 'guess' WHEN l_returnflag = 'A' THEN 'estimated' WHEN l_returnflag = 'N' THEN 'unknown' ELSE 'not_observable' END AS status,
+  CASE WHEN l_returnflag = 'A' THEN l_tax * 15 WHEN l_suppkey % 7 = 0 THEN 0.5 END AS score, CASE WHEN l_returnflag = 'A' THEN l_discount * 10 END AS confidence, CASE l_partkey % 5 WHEN 0 THEN CAST([] AS VARCHAR[]) WHEN 1 THEN ['dates'] WHEN 2 THEN ['dates', concat('channels.ch', l_linenumber)] WHEN 3 THEN ['image'] ELSE [concat('channels.ch', l_linenumber % 3)] END AS cites, CASE WHEN l_partkey % 13 = 0 THEN ' ' ELSE 'seen' END AS reason FROM lineitem),
+ d AS (SELECT CASE WHEN k <= 4 THEN 'concepts' ELSE 'rules' END AS kind, concat('c', k) AS id, [concat('ch', k)] AS own, CASE WHEN k % 2 = 0 THEN 'optical' ELSE 'soil' END AS family FROM (SELECT unnest(range(1, 8)) AS k)),
+ j AS (SELECT a.*, family IS NULL AS strange, list_concat(CASE WHEN kind = 'concepts' THEN coalesce(list_transform(own, lambda c: concat('channels.', c)), []) ELSE ['channels.ch1', 'channels.ch2', 'channels.ch5'] END, CASE WHEN kind = 'rules' OR family = 'optical' THEN ['image'] ELSE [] END) AS beyond FROM a LEFT JOIN d USING (kind, id)),
+ e AS (SELECT sample, id, unnest([CASE WHEN strange THEN 'unknown id' END, CASE WHEN status = 'guess' THEN 'invalid status' END, CASE WHEN status = 'estimated' AND NOT (coalesce(score BETWEEN 0 AND 1, false) AND coalesce(confidence BETWEEN 0 AND 1, false)) THEN 'invalid score' END, CASE WHEN status <> 'estimated' AND (score IS NOT NULL OR confidence IS NOT NULL) THEN 'unknown is not a negative' END,
+  CASE WHEN len(list_filter(cites, lambda c: NOT list_contains(list_concat(beyond, ['dates']), c))) > 0 THEN 'unsupported citation' END, CASE WHEN status = 'estimated' AND len(cites) = 0 THEN 'estimate without evidence' END, CASE WHEN status = 'estimated' AND kind = 'concepts' AND len(cites) > 0 AND NOT list_has_any(cites, beyond) THEN 'no sensor evidence' END, CASE WHEN reason = ' ' THEN 'no reason' END]) AS error FROM j)
+ SELECT sample, id, error FROM e WHERE error IS NOT NULL UNION SELECT sample, id, 'repeated id' FROM a GROUP BY sample, kind, id HAVING count(*) > 1 UNION SELECT sample, NULL, 'missing ids' FROM j GROUP BY 1 HAVING count(DISTINCT CASE WHEN NOT strange THEN id END) < 7""")
+def f14_annotation_errors(spark, d):
+    """Lines of an order as its annotations, with statuses, scores and citations of every kind."""
+    l, n = V.table(spark, d, "lineitem"), F.col("l_linenumber")  # noqa: E741
+    kind = F.when(n <= 4, "concepts").otherwise("rules")
+    of = lambda c, k: F.col(c) % k
+    status = F.when(of("l_suppkey", 11) == 0, "guess").when(F.col("l_returnflag") == "A", "estimated").when(F.col("l_returnflag") == "N", "unknown").otherwise("not_observable")
+    channel = lambda k: F.concat(F.lit("channels.ch"), k.cast("string"))
+    part = of("l_partkey", 5)
+    cites = F.when(part == 0, F.array().cast("array<string>")).when(part == 1, F.array(F.lit("dates"))).when(part == 2, F.array(F.lit("dates"), channel(n))).when(part == 3, F.array(F.lit("image"))).otherwise(F.array(channel(n % 3)))
+    a = l.select(F.col("l_orderkey").alias("sample"), kind.alias("kind"), F.concat(F.lit("c"), F.when(of("l_suppkey", 17) == 0, 9).otherwise(n).cast("string")).alias("id"), status.alias("status"), F.when(F.col("l_returnflag") == "A", F.col("l_tax") * 15).when(of("l_suppkey", 7) == 0, 0.5).alias("score"),
+        F.when(F.col("l_returnflag") == "A", F.col("l_discount") * 10).alias("confidence"), cites.alias("cites"), F.when(of("l_partkey", 13) == 0, " ").otherwise("seen").alias("reason"))
+    k = F.col("l_linenumber")
+    definitions = l.select("l_linenumber").distinct().select(kind.alias("kind"), F.concat(F.lit("c"), k.cast("string")).alias("id"), F.array(F.concat(F.lit("ch"), k.cast("string"))).alias("channels"), F.when(k % 2 == 0, "optical").otherwise("soil").alias("family"))
+    return Q.annotation_errors(a, definitions, ["ch1", "ch2", "ch5"], vision=True)
+
+
+@query("SELECT lpad(CAST(c_custkey AS VARCHAR), 5, '0') AS FIPS, n_name AS State, c_name AS County, CASE WHEN n_nationkey % 7 <> 0 THEN 'N' || n_nationkey END AS state_code FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def s01_county_scan(spark, d):
+    """A county list written as CSV and scanned by its schema: codes keep their zeros, states without a code have none."""
+    n = V.table(spark, d, "nation")
+    c = V.table(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    folder = _folder(spark)
+    c.select(F.col("c_custkey").cast("string").alias("FIPS"), F.col("n_name").alias("State"), F.col("c_name").alias("County")).write.csv(folder, header=True)
+    states = {r.n_name: f"N{r.n_nationkey}" for r in n.filter("n_nationkey % 7 <> 0").collect()}  # a fixed list of 25
+    return S.read_counties(spark, folder, states)
+
+
 @query("""WITH c AS (SELECT concat('c', n_nationkey) AS id, n_nationkey // 2 AS ch, n_regionkey AS fam, CASE WHEN n_nationkey % 6 = 0 THEN 'draft' ELSE 'approved' END AS review FROM nation),
  r AS (SELECT concat('r', s_suppkey) AS id, concat('c', s_nationkey) AS a, concat('c', s_nationkey * 3 % 30) AS b, s_suppkey % 13 / 10.0 AS p, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE 'approved' END AS review FROM supplier)
  SELECT id, concat('shared channel ', ch) AS error FROM c WHERE ch IN (SELECT ch FROM c GROUP BY 1 HAVING count(*) > 1) UNION SELECT id, 'not approved' FROM c WHERE review <> 'approved' UNION SELECT id, 'not approved' FROM r WHERE review IS NULL

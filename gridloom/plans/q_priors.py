@@ -19,14 +19,14 @@ PRIOR = f"""WITH {V.CELLS}, {V.SEASONS}, c AS (SELECT season_id, grid_row * 4096
  p AS (SELECT season_id, cell_id, prev_season, struct_extract(b, 2) AS prev_cell, struct_extract(b, 1) AS distance FROM m QUALIFY count(*) OVER (PARTITION BY season_id) >= 200)"""
 
 
-def _placed(spark, d):
+def placed(spark, d):
     c, s = V.cells(spark, d), F.col("season_id")
     return c.select("season_id", (F.col("grid_row") * 4096 + F.col("grid_col")).alias("cell_id"), (F.col("grid_row") * 10 + s % 7).alias("x"), (F.col("grid_col") * 10 + s % 5).alias("y"), "target", "pred")
 
 
 @query(f"""{PRIOR} SELECT season_id, cell_id, prev_season, prev_cell, round(distance, 6) AS distance FROM p""")
 def j04_nearest_prior_cell(spark, d):
-    return V.rounded(J.prior_cells(_placed(spark, d), V.seasons(spark, d), "farm_id"))
+    return V.rounded(J.prior_cells(placed(spark, d), V.seasons(spark, d), "farm_id"))
 
 
 #: Two unknowns by Cramer's rule, over all other years.
@@ -38,7 +38,7 @@ _SOLVED = "round(least(3, greatest(0, (y0 * x11 - y1 * x01) / (x00 * x11 - x01 *
  o AS (SELECT subset, year, {", ".join(f"sum({n}) OVER (PARTITION BY subset) - {n} AS {n}" for n in ("x00", "x01", "x11", "y0", "y1"))}, count(*) OVER (PARTITION BY subset) AS years FROM s) SELECT subset, year, {_SOLVED} FROM o WHERE years > 1""")
 def b06_blend_with_prior_season(spark, d):
     """Predictions and the earlier season's yields of the same place, over all pairs, those of one crop, and rotations."""
-    c, s = _placed(spark, d), V.seasons(spark, d)
+    c, s = placed(spark, d), V.seasons(spark, d)
     r = J.prior_cells(c, s, "farm_id").join(c.select("season_id", "cell_id", "target", "pred"), ["season_id", "cell_id"])
     r = r.join(c.select(F.col("season_id").alias("prev_season"), F.col("cell_id").alias("prev_cell"), F.col("target").alias("prior")), ["prev_season", "prev_cell"])
     r = r.join(s.select("season_id", "crop", "year"), "season_id").join(s.select(F.col("season_id").alias("prev_season"), F.col("crop").alias("prev_crop")), "prev_season")

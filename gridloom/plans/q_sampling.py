@@ -258,7 +258,19 @@ def g01_joined_labels(spark, d):
     return G.joined_labels(V.table(spark, d, "supplier").select(F.col("s_nationkey").alias("root"), F.col("s_suppkey").alias("member")))
 
 
-@query(None)
+_SHARES = {"train": 0.65, "val": 0.15, "test": 0.2}
+_LACK = {p: f"{share} * total - {p}" for p, share in _SHARES.items()}
+_PICK = f"CASE WHEN {_LACK['train']} >= greatest({_LACK['val']}, {_LACK['test']}) THEN 'train' WHEN {_LACK['val']} >= {_LACK['test']} THEN 'val' ELSE 'test' END"
+
+
+@query(f"""{V.PANEL.replace('WITH', 'WITH RECURSIVE', 1)}, g AS (SELECT country, farm_id, CAST(sum(n_rows) AS DOUBLE) AS n FROM seasons GROUP BY 1, 2),
+ o AS (SELECT *, sum(n) OVER (PARTITION BY country) AS total, row_number() OVER (PARTITION BY country ORDER BY n * (0.5 + ({H(C.text_key_sql('farm_id'))} + 0.5) / 4294967296) DESC, farm_id) AS i FROM g),
+ w AS (SELECT country, farm_id, n, i, total, 'train' AS p, n AS train, CAST(0 AS DOUBLE) AS val, CAST(0 AS DOUBLE) AS test FROM o WHERE i = 1 UNION ALL
+  SELECT country, farm_id, n, i, total, p, train + CASE WHEN p = 'train' THEN n ELSE 0 END, val + CASE WHEN p = 'val' THEN n ELSE 0 END, test + CASE WHEN p = 'test' THEN n ELSE 0 END FROM (SELECT o.country, o.farm_id, o.n, o.i, o.total, {_PICK.replace('total', 'o.total')} AS p, train, val, test FROM w JOIN o ON o.country = w.country AND o.i = w.i + 1)),
+ k AS (SELECT country, count(*) FILTER (p = 'train') AS trains, count(*) FILTER (p = 'val') AS vals, count(*) FILTER (p = 'test') AS tests FROM w GROUP BY 1),
+ v AS (SELECT w.country, farm_id, n, CASE WHEN vals = 0 AND greatest(trains, tests) > 1 AND p = CASE WHEN trains >= tests THEN 'train' ELSE 'test' END AND row_number() OVER (PARTITION BY w.country, p ORDER BY n, farm_id) = 1 THEN 'val' ELSE p END AS p FROM w JOIN k USING (country)),
+ l AS (SELECT country, count(*) FILTER (p = 'train') AS trains, count(*) FILTER (p = 'val') AS vals, count(*) FILTER (p = 'test') AS tests FROM v GROUP BY 1)
+ SELECT country, farm_id, CASE WHEN tests = 0 AND greatest(trains, vals) > 1 AND p = CASE WHEN trains >= vals THEN 'train' ELSE 'val' END AND row_number() OVER (PARTITION BY v.country, p ORDER BY n, farm_id) = 1 THEN 'test' ELSE p END AS partition FROM v JOIN l USING (country)""")
 def g02_g03_greedy_assignment(spark, d):
     groups = V.seasons(spark, d).groupBy("country", "farm_id").agg(F.sum("n_rows").alias("n"))
     return G.assign_groups(groups, "country", "farm_id", "n")
@@ -347,7 +359,7 @@ def a40_split_summary(spark, d):
     return G.split_summary(_assigned(spark, d))
 
 
-@query(f"{ASSIGNED} SELECT partition, sha256(string_agg(CAST(season_id AS VARCHAR), ',' ORDER BY CAST(season_id AS VARCHAR))) AS hash, count(*) AS seasons FROM a GROUP BY 1")
+@query(f"{ASSIGNED} SELECT partition, {C.additive_hash_sql('CAST(season_id AS VARCHAR)')} AS hash, count(*) AS seasons FROM a GROUP BY 1")
 def g13_s26_split_hash(spark, d):
     return G.split_hash(_assigned(spark, d), ["partition"])
 

@@ -113,7 +113,7 @@ def s25_run_collector(spark, d):
     return V.rounded(M.regression_metrics(x, ["scope", "name"]).select("scope", "name", "n", "rmse"))
 
 
-@query(None)
+@query(f"""SELECT lang, count(*) AS rows, {C.additive_hash_sql("concat(coalesce(length(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-;'), coalesce(length(text) || ':' || text, '-;'))")} AS hash FROM documents GROUP BY 1""")
 def s26_content_hash(spark, d):
     return S.content_hash(V.table(spark, d, "documents"), ["lang"], ["doc_id", "text"])
 

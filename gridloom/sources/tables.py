@@ -250,11 +250,10 @@ def best_flag(df: DataFrame, by: list[str], value: str, lowest: bool = False) ->
 
 
 def content_hash(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
-    """Order-free content hash per group: row hashes are summed in two halves, so a group is never collected."""
-    h = F.sha2(F.to_json(F.struct(*columns)), 256)
-    part = lambda k: F.conv(F.substring("__h", k, 8), 16, 10).cast("decimal(38,0)")
-    x = df.withColumn("__h", h)
-    return x.groupBy(*by).agg(F.count("*").alias("rows"), F.sha2(F.concat_ws(":", F.sum(part(1)).cast("string"), F.sum(part(9)).cast("string"), F.sum(part(17)).cast("string"), F.sum(part(25)).cast("string")), 256).alias("hash"))
+    """Order-free content hash per group: row hashes are summed, so a group is never collected."""
+    from ..functions.scalars import additive_hash, row_text
+
+    return df.groupBy(*by).agg(F.count("*").alias("rows"), additive_hash(row_text(*[F.col(c) for c in columns])).alias("hash"))
 
 
 def parsed_json(df: DataFrame, column: str, schema: str | T.StructType, out: str = "parsed") -> DataFrame:
