@@ -71,6 +71,14 @@ def discard(*tables: DataFrame) -> None:
             at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now: it does so when the driver's collectors find that nothing refers to them."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def sha_hex(c: Column) -> Column:
     """SHA-256 of the UTF-8 bytes, lowercase hex."""
     return F.sha2(c.cast("binary"), 256)
