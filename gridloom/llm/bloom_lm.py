@@ -17,6 +17,10 @@ over the texts, each adding the levels it knows. A pass ends in a table and its
 worker holds one part of the filter at a time. A slice stands for `SLICE` bytes of text, so slices grow in number and not in size; the
 passes grow in number with the corpus.
 
+Histories have their token's whole 64 bits. The bigrams of a history share its slice, but those of hot histories (tokens of more than 1 in
+`HOT` in a share of the texts, found beforehand; at most as many) are dealt by their own hash; the sums of a hot history over the
+slices come to the driver, a row each, and travel beside the filter. Which histories count as hot changes no score but by false hits.
+
 The exact unigram base score takes the counts of the `HEAD` most frequent tokens from a broadcast table (bounded) and joins
 the occurrences of all others by slice with the exact counts. All data between tasks are binary blocks of numpy arrays.
 
@@ -46,6 +50,9 @@ SLICE = 32 << 20
 STEP, MIDDLE, FINE = 2.0, 2.0**0.5, 2.0**0.25
 #: Texts that a task scores at once.
 TEXTS = 1024
+#: A history with more than one in so many tokens is spread over slices; so there are at most as many.
+HOT = 4096
+HIGH, LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
 END, BEGIN = np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B)
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64)
@@ -128,9 +135,20 @@ def histories(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def bigrams(tokens: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """Keys whose upper half is the history's, so that sorting brings a history's bigrams together."""
+    """Keys whose upper half is the history's, which puts a history's bigrams into its slice; the lower half is of both tokens."""
     low = mix(before * np.uint64(31) + tokens) >> np.uint64(32)
-    return (before & np.uint64(0xFFFFFFFF00000000)) | low
+    return (before & HIGH) | low
+
+
+def among(x: np.ndarray, few: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether each of x is among the sorted few, where)."""
+    place = np.minimum(np.searchsorted(few, x), max(0, len(few) - 1))
+    return (few[place] == x if len(few) else np.zeros(len(x), bool)), place
+
+
+def bigram_slices(keys: np.ndarray, before: np.ndarray, hot: np.ndarray, n: int) -> np.ndarray:
+    """The slice of a bigram: its history's, or for a hot history one by its own hash."""
+    return np.where(among(before, hot)[0], slices_of(mix(keys), n), slices_of(keys, n)).astype(np.int64)
 
 
 def slices_of(keys: np.ndarray, n: int) -> np.ndarray:
@@ -149,6 +167,16 @@ def counted(keys: list[np.ndarray], counts: list[np.ndarray] | None = None) -> t
     return k[first], np.add.reduceat(c, first) if len(k) else c
 
 
+def counted_pairs(keys: list[np.ndarray], lows: list[np.ndarray], counts: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct sorted bigram keys, the lower halves of their histories, and their counts."""
+    k, low = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((keys, np.uint64), (lows, np.uint32)))
+    order = np.argsort(k, kind="stable")
+    k, low = k[order], low[order]
+    first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
+    c = np.diff(np.append(first, len(k))) if counts is None else np.add.reduceat(np.concatenate(counts)[order], first) if len(k) else np.zeros(0, np.int64)
+    return k[first], low[first], c
+
+
 def level(c: np.ndarray, step: float) -> np.ndarray:
     """1 + floor(log_step c) for c >= 1."""
     return 1 + np.floor(np.log(np.maximum(c, 1)) / math.log(step) + 1e-9).astype(np.int64)
@@ -213,9 +241,9 @@ class Filter:
         self.start = np.cumsum(sizes) - sizes
         self.bits = np.frombuffer(raw, np.uint8)
 
-    def levels(self, keys: np.ndarray, kind: str) -> np.ndarray:
+    def levels(self, keys: np.ndarray, kind: str, slices: np.ndarray | None = None) -> np.ndarray:
         """Probes 1, 2, ... until each key fails."""
-        s = slices_of(keys, self.n)
+        s = slices_of(keys, self.n) if slices is None else slices
         q, left, j = np.zeros(len(keys), np.uint8), np.flatnonzero(self.size[s] > 0), 1
         keys, size, start = keys[left], self.size[s[left]], self.start[s[left]]
         low = np.uint64(0xFFFFFFFF)
@@ -240,58 +268,109 @@ def is_held_out(doc: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc).cast("string").cast("binary")), F.lit(5)) == 1, F.lit(False))
 
 
-BLOCK = "kind int, slice int, keys binary, counts binary"
+def hot_histories(texts: DataFrame, share: int = 64) -> np.ndarray:
+    """Sorted tokens of more than 1 in `HOT` in one in `share` of the texts (all of a small table), and the begin. They decide where bigrams are dealt, not what is counted."""
+    some = texts.toDF("text").filter(F.pmod(F.xxhash64("text"), F.lit(share)) == 0)
+
+    def run(batches):
+        held, n = [], 0
+        for b in batches:
+            t, _ = tokens_of(b.column(0).to_pylist())
+            k, c = np.unique(t, return_counts=True)
+            n += len(t)
+            often = c * (2 * HOT) > len(t)  # a token of more than 1 in HOT is often in the larger part of them
+            held.append((k[often], c[often]))
+        k, c = counted([x for x, _ in held], [x for _, x in held])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(k.view(np.int64), 0)), pa.array(np.append(c, 0)), pa.array(np.append(np.zeros(len(k), np.int64), n))], ["k", "c", "n"])
 
+    found = some.mapInArrow(run, "k long, c long, n long").groupBy("k").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+    n = found.agg(F.sum("n")).first()[0] or 0
+    hot = [r["k"] for r in found.filter(F.col("c") * HOT > F.lit(n)).select("k").collect()] if n else []  # HOT rows at most
+    return np.unique(np.append(np.array(hot, np.int64).view(np.uint64), BEGIN))
 
-def count_ngrams(texts: DataFrame, n_slices: int) -> DataFrame:
-    """Blocks (kind 1: unigrams, 2: bigrams) of the counts of each map task; `texts` has one column."""
+
+BLOCK = "kind int, slice int, keys binary, lows binary, counts binary"
+
+
+def count_ngrams(texts: DataFrame, n_slices: int, hot: np.ndarray | None = None) -> DataFrame:
+    """Blocks (kind 1: unigrams, 2: bigrams with the lower halves of their histories) of the counts of each map task; `texts` has one column."""
+    hot = np.array([BEGIN]) if hot is None else hot
+
+    def block(kind, slices, k, low, c):
+        order = np.argsort(slices, kind="stable")
+        k, c = k[order], c[order].astype(np.uint32)
+        low = low[order] if low is not None else None
+        bounds = np.searchsorted(slices[order], np.arange(n_slices + 1))
+        rows = [(kind, s, k[a:b].tobytes(), low[a:b].tobytes() if low is not None else None, c[a:b].tobytes()) for s, (a, b) in enumerate(zip(bounds, bounds[1:])) if b > a]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["kind", "slice", "keys", "lows", "counts"])
 
     def flush(held: dict[int, list[np.ndarray]]):
-        for kind in sorted(held):
-            k, c = counted(held.pop(kind))  # the uncounted keys go before the blocks are made
-            bounds = np.searchsorted(slices_of(k, n_slices), np.arange(n_slices + 1))
-            rows = [(kind, s, k[a:b].tobytes(), c[a:b].astype(np.uint32).tobytes()) for s, (a, b) in enumerate(zip(bounds, bounds[1:])) if b > a]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["kind", "slice", "keys", "counts"])
+        k, c = counted(held.pop(1))
+        yield block(1, slices_of(k, n_slices).astype(np.int64), k, None, c)
+        k, low, c = counted_pairs(held.pop(2), held.pop(3))  # the uncounted keys go before the blocks are made
+        yield block(2, bigram_slices(k, (k & HIGH) | low, hot, n_slices), k, low, c)
 
     def run(batches):
-        held, n = {1: [], 2: []}, 0
+        held, n = {1: [], 2: [], 3: []}, 0
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 t, sizes = tokens_of(b.column(0).slice(at, 256).to_pylist())
-                held[1].append(t), held[2].append(bigrams(t, histories(t, sizes)))
+                before = histories(t, sizes)
+                held[1].append(t), held[2].append(bigrams(t, before)), held[3].append((before & LOW).astype(np.uint32))
                 n += len(t)
                 if n > FLUSH:
                     yield from flush(held)
-                    held, n = {1: [], 2: []}, 0
+                    held, n = {1: [], 2: [], 3: []}, 0
         if n:
             yield from flush(held)
 
     return texts.mapInArrow(run, BLOCK)
 
 
-def _blocks(frame: pd.DataFrame, kind: int) -> tuple[np.ndarray, np.ndarray]:
+def _blocks(frame: pd.DataFrame, kind: int) -> list[list[np.ndarray]]:
     part = frame[frame["kind"] == kind]
-    return counted([np.frombuffer(x, np.uint64) for x in part["keys"]], [np.frombuffer(x, np.uint32).astype(np.int64) for x in part["counts"]])
+    return [[np.frombuffer(x, t) for x in part[c]] for c, t in (("keys", np.uint64), ("lows", np.uint32), ("counts", np.uint32)) if kind == 2 or c != "lows"]
+
+
+def history_levels(a: np.ndarray, types: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Levels of a(h), and of a(h) / T(h) less its lowest."""
+    return level(a / 2, MIDDLE), level(a / types / 2, FINE) - 1
 
 
-def build(blocks: DataFrame) -> DataFrame:
-    """One row a slice: exact unigram counts (keys, counts), totals, and the slice's filter segment."""
+MODEL = "slice int, keys binary, counts binary, n long, v long, segment binary, histogram array<long>, hot array<struct<k: long, a: long, types: long>>"
+
+
+def build(blocks: DataFrame, hot: np.ndarray | None = None) -> DataFrame:
+    """One row a slice: exact unigram counts (keys, counts), totals, the slice's filter segment, and its part of the hot histories."""
+    hot = np.array([BEGIN]) if hot is None else hot
 
     def merge(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        words, count = _blocks(frame, 1)
-        pairs, times = _blocks(frame, 2)
-        entries = [(words, "unigram", level(count, STEP))]
+        k, c = _blocks(frame, 1)
+        words, count = counted(k, [x.astype(np.int64) for x in c])
+        k, low, c = _blocks(frame, 2)
+        pairs, low, times = counted_pairs(k, low, [x.astype(np.int64) for x in c])
+        entries, shared = [(words, "unigram", level(count, STEP))], []
         if len(pairs):
-            top = pairs >> np.uint64(32)
-            first = np.flatnonzero(np.append(True, top[1:] != top[:-1]))
-            of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(pairs))))
-            types = np.bincount(of, minlength=len(first))
-            a = np.add.reduceat(times, first) + types
-            name = top[first] << np.uint64(32)
-            entries += [(pairs, "bigram", level(times, STEP)), (name, "a", level(a / 2, MIDDLE)), (name, "ratio", level(a / types / 2, FINE) - 1)]
-        return pd.DataFrame({"slice": [key[0]], "keys": [words.tobytes()], "counts": [count.astype(np.int64).tobytes()], "n": [int(count.sum())], "v": [len(words)], "segment": [Segment.of(entries).bits.tobytes()], "histogram": [np.bincount(level(count, FINE), minlength=250).tolist()]})
+            entries.append((pairs, "bigram", level(times, STEP)))
+            names, of = np.unique((pairs & HIGH) | low, return_inverse=True)
+            types = np.bincount(of)
+            a = np.bincount(of, times).astype(np.int64) + types
+            spread, _ = among(names, hot)
+            shared = [{"k": int(x), "a": int(y), "types": int(z)} for x, y, z in zip(names[spread].view(np.int64), a[spread], types[spread])]
+            qa, qr = history_levels(a[~spread], types[~spread])
+            entries += [(names[~spread], "a", qa), (names[~spread], "ratio", qr)]
+        return pd.DataFrame({"slice": [key[0]], "keys": [words.tobytes()], "counts": [count.astype(np.int64).tobytes()], "n": [int(count.sum())], "v": [len(words)], "segment": [Segment.of(entries).bits.tobytes()], "histogram": [np.bincount(level(count, FINE), minlength=250).tolist()], "hot": [shared]})
+
+    return blocks.groupBy("slice").applyInPandas(merge, MODEL)
 
-    return blocks.groupBy("slice").applyInPandas(merge, "slice int, keys binary, counts binary, n long, v long, segment binary, histogram array<long>")
+
+def hot_table(model: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted hot histories, level of a, level of the ratio) from the sums over all slices: `HOT` rows at most."""
+    sums = model.select(F.explode("hot").alias("h")).groupBy("h.k").agg(F.sum("h.a").alias("a"), F.sum("h.types").alias("types")).collect()
+    k = np.array([r["k"] for r in sums], np.int64).view(np.uint64)
+    order = np.argsort(k)
+    qa, qr = history_levels(np.array([r["a"] for r in sums], np.float64)[order], np.array([r["types"] for r in sums], np.float64)[order])
+    return k[order], qa, qr
 
 
 def head_table(model: DataFrame, head: int) -> tuple[np.ndarray, np.ndarray]:
@@ -317,13 +396,11 @@ def head_table(model: DataFrame, head: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def passes(sizes: dict[int, int], most: int) -> list[list[int]]:
-    """Slices in groups of at most `most` bytes of filter."""
+    """Slices in groups of at most `most` bytes of filter; a larger segment is a pass of its own."""
     out: list[list[int]] = [[]]
     room = most
     for s, size in sorted(sizes.items()):
-        if size > most:
-            raise ValueError(f"filter segment {s} has {size} bytes, more than a pass may have ({most}); a smaller SLICE gives smaller ones")
-        if size > room:
+        if size > room and out[-1]:
             out.append([])
             room = most
         out[-1].append(s)
@@ -338,13 +415,15 @@ def score(docs: DataFrame, n_slices: int | None = None, head: int = HEAD, max_fi
         raw = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text).cast("string"))), F.lit(0))).first()[0]
         n_slices = max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(raw / SLICE))
     rows = docs.select(F.col(doc).alias("doc"), is_held_out(doc).alias("held"), F.col(text).cast("string").alias("text"))
-    model = cut(build(count_ngrams(rows.filter("not held").select("text"), n_slices)))
+    training = rows.filter("not held").select("text")
+    hot = hot_histories(training)
+    model = cut(build(count_ngrams(training, n_slices, hot), hot))
     facts = model.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
     total, kinds = int(facts.n), int(facts.v)
     sizes = {r["slice"]: r["size"] for r in model.select("slice", F.octet_length("segment").alias("size")).collect()}  # a row a slice
     groups = passes(sizes, max_filter)
     keys, counts = head_table(model, head)
-    table = spark.sparkContext.broadcast((keys, counts))
+    table = spark.sparkContext.broadcast((keys, counts, *hot_table(model), hot))
     floor = total + 0.5 * (kinds + 1)
     kind = dict(docs.dtypes)[doc]
 
@@ -362,13 +441,18 @@ def score(docs: DataFrame, n_slices: int | None = None, head: int = HEAD, max_fi
         return lengths, spark.sparkContext.broadcast({"segments": raw})
 
     def known_levels(f: Filter, t: np.ndarray, h: np.ndarray):
+        _, _, spread, spread_a, spread_ratio, dealt = table.value
         words, word = np.unique(t, return_inverse=True)  # frequent ones have many levels to probe: once each
-        names, name = np.unique(h & np.uint64(0xFFFFFFFF00000000), return_inverse=True)
-        one, a = f.levels(words, "unigram")[word], f.levels(names, "a")[name]
-        # a bigram has a history, in the same segment, and a known word, maybe in another pass
+        names, name = np.unique(h, return_inverse=True)
+        one, a, ratio = f.levels(words, "unigram")[word], f.levels(names, "a"), f.levels(names, "ratio")
+        known, place = among(names, spread)
+        a[known], ratio[known] = spread_a[place[known]], spread_ratio[place[known]]
+        a, ratio = a[name], ratio[name]
+        # a bigram has a history, in the same segment or a hot one, and a known word, maybe in another pass
         two, may = np.zeros(len(t), np.uint8), np.flatnonzero((a > 0) & ((one > 0) | (f.size[slices_of(t, f.n)] == 0)))
-        two[may] = f.levels(bigrams(t[may], h[may]), "bigram")
-        return one, two, a, f.levels(names, "ratio")[name]
+        keys = bigrams(t[may], h[may])
+        two[may] = f.levels(keys, "bigram", bigram_slices(keys, h[may], dealt, f.n))
+        return one, two, a, ratio
 
     def adder(lengths, shared):
         """A pass before the last: levels found in its segments are added to those that came along."""
@@ -378,11 +462,12 @@ def score(docs: DataFrame, n_slices: int | None = None, head: int = HEAD, max_fi
             for b in batches:
                 texts, old = b.column(b.schema.get_field_index("text")), b.column(b.schema.get_field_index("levels"))
                 new = []
-                for i in range(b.num_rows):
-                    t, size = tokens_of([texts[i].as_py()])
-                    q = np.concatenate(known_levels(f, t, histories(t, size)))
-                    was = old[i].as_py()
-                    new.append((q if was is None else np.maximum(q, np.frombuffer(was, np.uint8))).tobytes())
+                for at in range(0, b.num_rows, TEXTS):
+                    t, sizes = tokens_of(texts.slice(at, TEXTS).to_pylist())
+                    q, end = np.stack(known_levels(f, t, histories(t, sizes))), np.cumsum(sizes)
+                    if old.null_count == 0:
+                        q = np.maximum(q, np.concatenate([np.frombuffer(x.as_py(), np.uint8).reshape(4, -1) for x in old.slice(at, TEXTS)], 1))
+                    new += [q[:, z - n : z].tobytes() for z, n in zip(end, sizes)]
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(new, pa.binary())], b.schema.names)
 
         return run
@@ -390,7 +475,7 @@ def score(docs: DataFrame, n_slices: int | None = None, head: int = HEAD, max_fi
     def scorer(lengths, shared):
         def run(batches):
             f = Filter.laid(lengths, shared.value["segments"], n_slices)
-            keys, counts = table.value
+            keys, counts = table.value[:2]
             for b in batches:
                 for at in range(0, b.num_rows, TEXTS):
                     yield from rated(b.slice(at, TEXTS), f, keys, counts)

@@ -27,7 +27,7 @@ def test_scores(spark, odd, head, most, slices):
 def test_passes_do_not_change_the_scores(spark):
     d = read(spark, "/root/testdata/sf0.001", "documents")
     one = {r.doc_id: r.score for r in lm.score(d, 64).collect()}
-    assert len(lm.passes({k: 900 for k in range(16)}, 2000)) == 8
+    assert len(lm.passes({k: 900 for k in range(16)}, 2000)) == 8 and lm.passes({0: 10, 1: 5000, 2: 10}, 2000) == [[0], [1], [2]] and lm.passes({}, 9) == [[]]
     assert {r.doc_id: r.score for r in lm.score(d, 64, max_filter=20_000).collect()} == pytest.approx(one)
 
 
