@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import fresh
 
 BITS, RANK, EPOCHS, BATCH, SAMPLE = 16, 6, 6, 64, 12_000
+#: Cells (of 8 bytes) of a row that the machine is fitted on.
+MOST = 2048
 STATS = 16
 CELLS = (1 << BITS) + STATS * 16
 
@@ -56,6 +58,15 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([cells.astype(np.int32), at.astype(np.int32)]), np.concatenate([x, np.full(STATS, 0.5, np.float32)])
 
 
+def heaviest(cells: np.ndarray, x: np.ndarray, most: int = MOST) -> tuple[np.ndarray, np.ndarray]:
+    """At most `most` cells, the structure statistics among them; of the words those of the largest weights, then of the smallest cells."""
+    if len(cells) <= most:
+        return cells, x
+    words = np.lexsort((cells[:-STATS], -x[:-STATS]))[: most - STATS]
+    at = np.append(np.sort(words), np.arange(len(cells) - STATS, len(cells)))
+    return cells[at], x[at]
+
+
 class Machine:
     def __init__(self, seed: int = 5):
         self.w0, self.w = 0.0, np.zeros(CELLS, np.float32)
@@ -110,7 +121,7 @@ def held_out(doc: str = "doc_id") -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc: str = "doc_id", text: str = "text") -> Machine:
     """The machine fitted on at most `sample` rows that aren't held out, of at most `sample` labelled ids: rows that repeat an id count
-    as one, that of the smallest hash. A row brings at most `CELLS` cells (half a megabyte), so what the driver gets is bounded."""
+    as one, that of the smallest hash. For training, a row brings its `MOST` heaviest cells at most, so the driver gets 200 MB at most."""
     known = labels.select(F.col(doc), F.col("quality").cast("int").alias("__y")).filter(F.col("__y").isNotNull() & ~held_out(doc))
     chosen = known.orderBy(F.xxhash64(doc), doc, "__y").limit(sample)
     found = docs.select(doc, F.col(text).cast("string").alias("__t")).join(F.broadcast(chosen.dropDuplicates([doc])), doc)
@@ -120,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc: str = "
 
     def run(batches):
         for b in batches:
-            f = [features(t.as_py()) for t in b.column(0)]
+            f = [heaviest(*features(t.as_py())) for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in f], pa.list_(pa.int32())), pa.array([x for _, x in f], pa.list_(pa.float32())), b.column(1)], ["i", "x", "y"])
 
     got = rows.mapInArrow(run, "i array<int>, x array<float>, y int").toArrow()

@@ -224,8 +224,9 @@ def deduplicated(docs: DataFrame, radius: int = 4, k: int = 4, least: float | No
     """
     if least is not None:
         return near_copies.deduplicated(docs, least, k, doc, text)
-    x = docs.select(F.col(doc).alias("doc"), text_of(text).alias("text"))
-    prints = cut(fingerprints(x.select(F.struct("doc", F.xxhash64("text").alias("node")).alias("row"), "text"), k, "row").select("row.doc", "row.node", "fp"))
+    name = near_copies.text_name(docs, text)
+    x = docs.select(F.struct(F.col(doc).alias("doc"), name.alias("node")).alias("row"), text_of(text).alias("text"))
+    prints = cut(fingerprints(x, k, "row").select("row.doc", "row.node", "fp"))
     distinct = cut(prints.select("fp").distinct())
     root = components(links(distinct, radius)).withColumnRenamed("node", "fp")
-    return near_copies.first_of_each(docs, prints.select("doc", "node", "fp").join(root, "fp", "left").select("doc", "node", F.coalesce("root", "fp").alias("root")), doc, text)
+    return near_copies.first_of_each(docs, prints.select("doc", "node", "fp").join(root, "fp", "left").select("doc", "node", F.coalesce("root", "fp").alias("root")), doc, name)

@@ -8,10 +8,12 @@ those, are alike.
 
 Likeness is the Jaccard coefficient of two sets. `near_duplicates` collapses equal fingerprints, partitions by set length
 so that only sets whose lengths allow the threshold can meet, takes candidates from the rarest signatures of each set
-(as many as a pair of that likeness must share one of), and prunes by length before the exact coefficient.
+(as many as a pair of that likeness must share one of), and prunes by length before the exact coefficient. The sets of a hot
+signature are cut into chunks and met chunk by chunk, so that no task has all of them.
 
 Edge cases: null texts are empty; one row per input row; repeated rows are equal; documents that share an id are ordered
-by text; the document after the last is the first, also if it is the only one; extra columns are ignored.
+by text; the document after the last is the first, also if it is the only one; extra columns are ignored. `compare_edited` takes
+numeric ids, whose order the ranges follow; `fingerprint` and `near_duplicates` take ids of any type.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ ANCHORS = (
     "con del el es los no por se su una y"
 ).split()
 CHAIN = 3
+#: Sets of a signature and length partition that meet in one cell.
+CHUNK = 256
 
 
 def signatures(text: Column, chain: int = CHAIN, anchors: list[str] | None = None) -> Column:
@@ -122,8 +126,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, chain: int = CHAIN,
     # a pair of the likeness shares one of the n - ceil(t n) + 1 rarest signatures of each; singletons come first and meet nobody
     alone = c.select("class", "n").join(each.join(rarity, "sig", "left_semi").groupBy("class").agg(F.count("*").alias("shared")), "class").select("class", (F.col("n") - F.col("shared")).alias("single"))
     prefix = ranked.join(alone, "class").filter(F.col("r") + F.col("single") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).select("class", "n", "p", "sig")
+    hosts = prefix.select(F.col("class").alias("a"), F.col("n").alias("na"), "p", "sig")
     guests = prefix.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.explode(F.array("p", F.col("p") - 1)).alias("p"), "sig", F.col("p").alias("pb"))
-    pair = prefix.select(F.col("class").alias("a"), F.col("n").alias("na"), "p", "sig").join(guests, ["sig", "p"])
+    # a hot signature's sets are dealt to a square of cells: a host to the cells of its row, a guest to those of its column
+    side = guests.groupBy("sig", "p").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("side"))
+    span = F.explode(F.sequence(F.lit(0), F.col("side") - 1))
+    hosts = hosts.join(side, ["sig", "p"]).withColumn("i", F.pmod(F.xxhash64("a"), "side").cast("int")).withColumn("j", span)
+    guests = guests.join(side, ["sig", "p"]).withColumn("j", F.pmod(F.xxhash64("b"), "side").cast("int")).withColumn("i", span)
+    pair = hosts.join(guests.drop("side"), ["sig", "p", "i", "j"])
     pair = pair.filter(((F.col("pb") > F.col("p")) | (F.col("a") < F.col("b"))) & (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb"))).select("a", "b").distinct()
     left, right = classes.select(F.col("class").alias("a"), F.col("sigs").alias("sa")), classes.select(F.col("class").alias("b"), F.col("sigs").alias("sb"))
     links = pair.join(left, "a").join(right, "b").withColumn("likeness", jaccard(F.col("sa"), F.col("sb"))).filter(F.col("likeness") >= threshold)

@@ -4,6 +4,7 @@ import re
 
 import brute
 import duckdb
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -92,6 +93,36 @@ def test_hilbert(spark, docs, odd):
     assert hilbert.shard(docs.limit(0)).count() == 0
 
 
+def test_files_are_skipped_on_every_dimension(spark, tmp_path):
+    """Files written by shard: of 40, few have statistics that admit a value of any one dimension."""
+    import pyarrow.parquet as pq
+
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    d.join(hilbert.shard(d).select("doc_id", "shard"), "doc_id").repartition(40, "shard").write.partitionBy("shard").parquet(f"{tmp_path}/out")
+    files = {p: pq.ParquetFile(p).metadata for p in (tmp_path / "out").rglob("*.parquet")}
+    assert len(files) == 40
+
+    def admitted(column, v):
+        hit = 0
+        for m in files.values():
+            at = [m.schema.names.index(column)]
+            stats = [m.row_group(g).column(at[0]).statistics for g in range(m.num_row_groups)]
+            hit += any(s.min <= v <= s.max for s in stats)
+        return hit
+
+    values = {c: [r[0] for r in d.select(c).distinct().collect() if r[0] is not None] for c in ("lang", "source")}
+    mean = {c: np.mean([admitted(c, v) for v in vs]) for c, vs in values.items()}
+    chars = d.approxQuantile("n_chars", [0.1, 0.5, 0.9], 0.0)
+    mean["n_chars"] = np.mean([admitted("n_chars", v) for v in chars])
+    print("files of 40 that admit a value", mean)
+    assert mean["source"] < 20 and mean["lang"] < 32 and mean["n_chars"] < 20
+
+
+def test_name_bounds(spark):
+    d = spark.createDataFrame([(w,) for w in ["a"] * 50 + ["b"] * 10 + ["c"] * 10 + ["d"] * 10 + ["e"] * 20] + [(None,)], "s string")
+    assert hilbert.name_bounds(d, "s", 8) == ["a", "b", "c", "d"] and hilbert.name_bounds(d, "s", 3) == ["a", "d"] and hilbert.name_bounds(d.limit(0), "s", 4) == []
+
+
 @pytest.mark.parametrize(("dims", "bits"), [(2, 3), (3, 2)])
 def test_curve_is_continuous(spark, dims, bits):
     cells = spark.range(1 << dims * bits).select(*[(F.shiftright("id", bits * k).bitwiseAND((1 << bits) - 1)).cast("int").alias(f"d{k}") for k in range(dims)])
@@ -148,3 +179,24 @@ def test_spotsigs_pairs(spark):
     member, links = spotsigs.near_duplicates(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string"), 0.8)
     assert {(r.doc_id, r["class"]) for r in member.collect()} == {(0, 0), (1, 1), (2, 0), (3, 3), (4, 4), (5, 4)}
     assert {(r.a, r.b) for r in links.collect()} == {(0, 1)}
+
+
+@pytest.mark.parametrize("chunk", [256, 3])
+def test_spotsigs_near_duplicates_are_those_of_all_pairs(spark, monkeypatch, chunk):
+    """Links of every pair of classes against the plain likeness of all pairs, with hot signatures over many cells."""
+    monkeypatch.setattr(spotsigs, "CHUNK", chunk)
+    words = [f"w{k}" for k in range(120)]
+    near = [(10_000 + n, "the " + " and ".join("x" if k == n else w for k, w in enumerate(words))) for n in range(0, 120, 6)]
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame(near, "doc_id long, text string"))
+    member, links = spotsigs.near_duplicates(d, 0.8)
+    classes = {r.doc_id: r["class"] for r in member.collect()}
+    sigs = {r.doc_id: frozenset(r.sigs) for r in spotsigs.fingerprint(d).collect()}
+    assert all(classes[i] == min(j for j in sigs if sigs[j] == s) for i, s in list(sigs.items())[::25])
+    own = sorted({c: sigs[c] for c in set(classes.values())}.items())
+    want = set()
+    for k, (a, x) in enumerate(own):
+        for b, y in own[k + 1 :]:
+            if min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and (both := len(x & y)) >= 0.8 * (len(x) + len(y) - both):
+                want.add((a, b))
+    got = {(r.a, r.b): r.likeness for r in links.collect()}
+    assert set(got) == want and len(want) > 100

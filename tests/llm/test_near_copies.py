@@ -80,3 +80,37 @@ def test_repeats_and_null_ids_of_one_group(spark):
     for least in (None, 0.8):
         kept = sorted((tuple(r) for r in simhash_vp.deduplicated(d, least=least).collect()), key=str)
         assert [(i, t or "") for i, t in kept] == sorted([(7, words), (9, "b"), (None, "alone"), (None, "")], key=str)
+
+
+def test_texts_whose_names_clash_both_stay(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from gridloom.llm import near_copies, simhash_vp
+
+    words = [" ".join(f"{x}{i}" for i in range(60)) for x in "abc"]
+    d = spark.createDataFrame([(k, w) for k, w in enumerate([*words, words[0], words[1] + " more"])], "doc_id long, text string")
+    own = F.xxhash64
+    # the first name of a text is the same for all, a second name tells them apart
+    monkeypatch.setattr(near_copies.F, "xxhash64", lambda *c: F.lit(7).cast("long") if len(c) == 1 and "text" in str(c[0]) else own(*c))
+    for most in (1000, 0):
+        monkeypatch.setattr(near_copies, "SHARED", most)
+        assert d.select(near_copies.text_name(d, "text").alias("n")).distinct().count() == 4
+        for least in (None, 0.8):
+            kept = simhash_vp.deduplicated(d, least=least).collect()
+            assert {r.doc_id for r in kept} <= {0, 1, 2, 4} and {r.doc_id for r in kept} >= {0, 1, 2}
+
+
+def test_chunk_pairs_meet_all_texts_of_different_roots(spark, monkeypatch):
+    from gridloom.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "CHUNK", 3)
+    rows = [(k, n, n if n % 5 else 1) for k in (1, 2) for n in range(10 * k, 10 * k + 25)]
+    groups = {}
+    for r in near_copies.chunk_pairs(spark.createDataFrame(rows, "key long, node long, root long")).collect():
+        groups.setdefault(r.group, set()).add(r.node)
+    met = {(a, b) for g in groups.values() for a in g for b in g}
+    root = {(k, n): r for k, n, r in rows}
+    for k in (1, 2):
+        own = [n for j, n, _ in rows if j == k]
+        assert all((a, b) in met for a in own for b in own if root[k, a] != root[k, b])
+    assert max(map(len, groups.values())) <= 6
