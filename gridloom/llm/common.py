@@ -72,10 +72,14 @@ def discard(*tables: DataFrame) -> None:
 
 
 def sweep(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps now: it does so when the driver's collectors find that nothing refers to them."""
+    """Let Spark delete the shuffle files of finished steps now: it does so when the driver's collectors find that nothing refers to them.
+
+    The last execution is referred to until another one has run, so a tiny one comes first.
+    """
     import gc
 
     gc.collect()
+    spark.range(1).count()
     spark.sparkContext._jvm.System.gc()
 
 
