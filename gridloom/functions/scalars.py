@@ -247,15 +247,22 @@ def crop_group(code: Column) -> Column:
     return out
 
 
-#: The nine climate regions by state.
-REGION_STATES = {
-    "northwest": "WA OR ID", "west": "CA NV", "southwest": "UT CO AZ NM", "northern_rockies_plains": "MT WY ND SD NE", "upper_midwest": "MN WI MI IA",
-    "ohio_valley": "IL IN OH MO KY TN WV", "south": "KS OK TX AR LA MS", "southeast": "AL GA FL SC NC VA", "northeast": "ME NH VT MA RI CT NY NJ PA DE MD DC",
+#: The climate region of each state.
+REGION_OF_STATE = {
+    "WA": "northwest", "OR": "northwest", "ID": "northwest",
+    "CA": "west", "NV": "west",
+    "UT": "southwest", "CO": "southwest", "AZ": "southwest", "NM": "southwest",
+    "MT": "northern_rockies_plains", "WY": "northern_rockies_plains", "ND": "northern_rockies_plains", "SD": "northern_rockies_plains", "NE": "northern_rockies_plains",
+    "MN": "upper_midwest", "WI": "upper_midwest", "MI": "upper_midwest", "IA": "upper_midwest",
+    "IL": "ohio_valley", "IN": "ohio_valley", "OH": "ohio_valley", "MO": "ohio_valley", "KY": "ohio_valley", "TN": "ohio_valley", "WV": "ohio_valley",
+    "KS": "south", "OK": "south", "TX": "south", "AR": "south", "LA": "south", "MS": "south",
+    "AL": "southeast", "GA": "southeast", "FL": "southeast", "SC": "southeast", "NC": "southeast", "VA": "southeast",
+    "ME": "northeast", "NH": "northeast", "VT": "northeast", "MA": "northeast", "RI": "northeast", "CT": "northeast", "NY": "northeast", "NJ": "northeast", "PA": "northeast", "DE": "northeast", "MD": "northeast", "DC": "northeast",
 }
 
 
 def climate_region(state: Column) -> Column:
-    return lookup(state, {s: r for r, states in REGION_STATES.items() for s in states.split()})
+    return lookup(state, REGION_OF_STATE)
 
 
 def slug(text: Column) -> Column:

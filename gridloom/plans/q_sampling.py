@@ -160,10 +160,10 @@ def t03_cluster_draws(spark, d):
     return T.cluster_draws(anchors, c, 3, 8)
 
 
-@query(f"""WITH {V.CELLS}, x AS (SELECT *, row_number() OVER (PARTITION BY season_id ORDER BY {H(CELL)}, grid_row, grid_col) - 1 i, count(*) OVER (PARTITION BY season_id) n FROM cells WHERE grid_row < 2), y AS (SELECT *, CAST(ceil((40 - i) / least(n, 40)::DOUBLE) AS BIGINT) t FROM x WHERE i < 40)
+@query(f"""WITH {V.CELLS}, x AS (SELECT *, row_number() OVER (PARTITION BY season_id ORDER BY {H(CELL)}, grid_row, grid_col) - 1 i, count(*) OVER (PARTITION BY season_id) n FROM cells), y AS (SELECT *, CAST(ceil((600 - i) / least(n, 600)::DOUBLE) AS BIGINT) t FROM x WHERE i < 600)
  SELECT season_id, grid_row, grid_col, CAST(unnest(range(1, t + 1)) AS INT) AS draw FROM y""")
 def t04_context_rows(spark, d):
-    return T.context_rows(V.cells(spark, d).filter("grid_row < 2"), ["season_id"], F.expr(CELL), 40, ["grid_row", "grid_col"]).select(*KEY, "draw")
+    return T.context_rows(V.cells(spark, d), ["season_id"], F.expr(CELL), 600, ["grid_row", "grid_col"]).select(*KEY, "draw")
 
 
 @query(f"""{V.PANEL}, w AS (SELECT country, crop, sum(n_rows)::DOUBLE w FROM seasons GROUP BY 1, 2), x AS (SELECT *, least(2, 100 // count(*) OVER k) f, sum(w) OVER k s FROM w WINDOW k AS (PARTITION BY country)), y AS (SELECT *, w / s * (100 - sum(f) OVER (PARTITION BY country)) sh FROM x),

@@ -19,9 +19,9 @@ from .registry import query
 KEY = ["season_id", "grid_row", "grid_col"]
 
 
-@query("""SELECT lpad(CAST(c_custkey AS VARCHAR), 5, '0') AS fips, [concat('r/weather/2020/', lpad(CAST(c_custkey AS VARCHAR), 5, '0'), '-04.csv'), concat('r/weather/2020/', lpad(CAST(c_custkey AS VARCHAR), 5, '0'), '-09.csv')] AS ends, 6 AS short_months, 60 AS long_months, 4 AS quarters FROM customer WHERE c_custkey % 4 = 1""".replace("[concat", "concat_ws(',', concat").replace("'-09.csv')]", "'-09.csv'))"))
+@query("""SELECT lpad(CAST(c_custkey AS VARCHAR), 5, '0') AS fips, [concat('r/weather/2020/', lpad(CAST(c_custkey AS VARCHAR), 5, '0'), '-04.csv'), concat('r/weather/2020/', lpad(CAST(c_custkey AS VARCHAR), 5, '0'), '-09.csv')] AS ends, 6 AS short_months, 60 AS long_months, 4 AS quarters FROM customer""".replace("[concat", "concat_ws(',', concat").replace("'-09.csv')]", "'-09.csv'))"))
 def s01_s02_county_manifest(spark, d):
-    c = V.table(spark, d, "customer").filter("c_custkey % 4 = 1").select(F.lpad(F.col("c_custkey").cast("string"), 5, "0").alias("FIPS"), F.lit(2020).alias("y"))
+    c = V.table(spark, d, "customer").select(F.lpad(F.col("c_custkey").cast("string"), 5, "0").alias("FIPS"), F.lit(2020).alias("y"))
     m = S.county_manifest(c, None, "y", "r")
     short = F.col("data.weather.short_term")
     return m.select(F.col("FIPS").alias("fips"), F.concat_ws(",", F.element_at(short, 1), F.element_at(short, -1)).alias("ends"), F.size(short).alias("short_months"), F.size(F.flatten("data.weather.long_term")).alias("long_months"), F.size("data.imagery").alias("quarters"))
