@@ -159,7 +159,7 @@ def stratified_group_folds(seasons: DataFrame, group: str, stratum: str, k: int,
 
         m = pdf.pivot_table(index="grp", columns="st", values="n", fill_value=0.0)
         h = pdf.groupby("grp")["h"].first()
-        order = sorted(m.index, key=lambda g: (-m.loc[g].std(ddof=0), h[g], g))
+        order = sorted(m.index, key=lambda g: (-round(float(m.loc[g].std(ddof=0)), 9), h[g], g))
         if len(order) < k:
             raise ValueError(f"only {len(order)} groups for {k} folds")
         total, have, out = m.sum().to_numpy(), np.zeros((k, m.shape[1])), {}
@@ -168,7 +168,7 @@ def stratified_group_folds(seasons: DataFrame, group: str, stratum: str, k: int,
             score = []
             for f in range(k):
                 have[f] += v
-                score.append(((have / total).std(axis=0).mean(), have[f].sum(), f))
+                score.append((round(float((have / total).std(axis=0).mean()), 12), float(have[f].sum()), f))  # rounded: the order of a sum breaks no tie
                 have[f] -= v
             out[g] = min(score)[2]
             have[out[g]] += v

@@ -12,11 +12,54 @@ from ..operators import oracles as O
 from ..operators import resampling as B
 from ..operators import shift as X
 from ..operators import splits as G
+from ..operators.sampling import mixed_sql
 from . import views as V
 from .q_priors import PRIOR, placed
 from .registry import query
 
 
+def _cramer(a: list[list[str]], y: list[str]) -> list[str]:
+    """The solution of two or three equations as SQL."""
+
+    def det(m):
+        if len(m) == 2:
+            return f"({m[0][0]} * {m[1][1]} - {m[0][1]} * {m[1][0]})"
+        return "(" + " + ".join(f"{m[0][k]} * ({m[1][(k + 1) % 3]} * {m[2][(k + 2) % 3]} - {m[1][(k + 2) % 3]} * {m[2][(k + 1) % 3]})" for k in range(3)) + ")"
+
+    n = len(a)
+    return [f"{det([[y[r] if c == k else a[r][c] for c in range(n)] for r in range(n)])} / {det(a)}" for k in range(n)]
+
+
+def ridge_sql(features: dict[str, str]) -> str:
+    """Out-of-fold ridge of each season from sums: those of all its cells less those of the fold, standardised, plus one on the diagonal."""
+    k = range(len(features))
+    sums = {"n": "count(*)", "b": "sum(y)"} | {f"m{i}": f"sum(x{i})" for i in k} | {f"g{i}{j}": f"sum(x{i} * x{j})" for i in k for j in k if j >= i} | {f"h{i}": f"sum(x{i} * y)" for i in k}
+    cov = lambda i, j: f"(g{min(i, j)}{max(i, j)} - n * m{i} * m{j}) / (s{i} * s{j})" + (" + 1" if i == j else "")
+    beta = _cramer([[f"c{min(i, j)}{max(i, j)}" for j in k] for i in k], [f"e{i}" for i in k])
+    return f"""{V.PANEL}, d AS (SELECT season_id, br, bc, (row_number() OVER (PARTITION BY season_id ORDER BY {mixed_sql('br * 4096 + bc + season_id * 97')}, br, bc) - 1) % 5 AS fold FROM (SELECT DISTINCT season_id, grid_row // 4 AS br, grid_col // 4 AS bc FROM cells)),
+ x AS (SELECT crop, season_id, d.fold, CAST(target AS DOUBLE) AS y, {', '.join(f'CAST({e} AS DOUBLE) AS x{i}' for i, e in enumerate(features.values()))} FROM cells JOIN seasons USING (season_id) JOIN d USING (season_id) WHERE d.br = grid_row // 4 AND d.bc = grid_col // 4 QUALIFY count(*) OVER (PARTITION BY season_id) >= 200),
+ f AS (SELECT season_id, fold, {', '.join(f'{e} AS {n}' for n, e in sums.items())} FROM x GROUP BY 1, 2), t AS (SELECT season_id, fold, {', '.join(f'sum({n}) OVER w - {n} AS {n}' for n in sums)} FROM f WINDOW w AS (PARTITION BY season_id)),
+ u AS (SELECT season_id, fold, n, b / n AS b, {', '.join(f'm{i} / n AS m{i}, greatest(sqrt(greatest(0, g{i}{i} / n - (m{i} / n) * (m{i} / n))), 1e-12) AS s{i}, h{i}' for i in k)}, {', '.join(n for n in sums if n[0] == 'g')} FROM t),
+ v AS (SELECT *, {', '.join(f'{cov(i, j)} AS c{i}{j}' for i in k for j in k if j >= i)}, {', '.join(f'(h{i} - n * m{i} * b) / s{i} AS e{i}' for i in k)} FROM u), w AS (SELECT *, {', '.join(f'{e} AS beta{i}' for i, e in enumerate(beta))} FROM v),
+ z AS (SELECT crop, season_id, count(*) AS n, sum((y - b - ({' + '.join(f'beta{i} * (x{i} - m{i}) / s{i}' for i in k)})) ** 2) AS sse, var_pop(y) * count(*) AS sst FROM x JOIN w USING (season_id, fold) GROUP BY 1, 2)
+ SELECT crop, count(*) AS fields, CAST(sum(n) AS BIGINT) AS cells, round(1 - sum(sse) / sum(sst), 5) AS r2 FROM z GROUP BY 1"""
+
+
+def _ridge(spark, d, features):
+    x = G.block_folds(V.panel(spark, d), 4).withColumns({"x1": F.col("grid_row") * 1.0, "x2": F.col("grid_col") * 1.0})
+    return V.rounded(K.oracle_table(K.ridge_oracle(x, ["crop", "season_id"], "fold", features, "target"), ["crop"]), 5)
+
+
+@query(ridge_sql({"pred": "pred", "x1": "grid_row", "x2": "grid_col"}))
+def a46_a47_ridge_oracle(spark, d):
+    return _ridge(spark, d, ["pred", "x1", "x2"])
+
+
+@query(ridge_sql({"x1": "grid_row", "x2": "grid_col"}))
+def a46_coordinates_only(spark, d):
+    return _ridge(spark, d, ["x1", "x2"])
+
+
 @query(None)
 def a46_a47_oracles_per_season(spark, d):
     """Boosted trees, ridge and coordinates alone, fitted a season, block size and fold."""

@@ -53,11 +53,6 @@ def _blocks(spark, d):
     return G.block_folds(V.panel(spark, d), 4).withColumns({"x1": F.col("grid_row") * 1.0, "x2": F.col("grid_col") * 1.0})
 
 
-@query(None)
-def a46_coordinates_only(spark, d):
-    return V.rounded(K.oracle_table(K.ridge_oracle(_blocks(spark, d), ["crop", "season_id"], "fold", ["x1", "x2"], "target"), ["crop"]), 5)
-
-
 @query(None)
 def a46_boosted_trees(spark, d):
     return V.rounded(K.oracle_table(K.boosted_oracle(_blocks(spark, d), ["crop", "season_id"], "fold", ["pred", "x1", "x2"], "target"), ["crop"]), 5)

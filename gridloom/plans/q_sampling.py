@@ -320,7 +320,12 @@ def g06_strict_folds(spark, d):
     return G.folds_by(_with_field(spark, d), "year", "physical_field_id", "strict").groupBy("fold").agg(F.count("*").alias("seasons"))
 
 
-@query(None)
+@query(f"""{V.PANEL.replace('WITH', 'WITH RECURSIVE', 1)}, u AS (SELECT farm_id, country, CAST(greatest(1, n_rows // 100) AS DOUBLE) AS w FROM seasons), m AS (SELECT farm_id, list(w ORDER BY country) AS v FROM (SELECT f.farm_id, c.country, coalesce(sum(u.w), 0) AS w FROM (SELECT DISTINCT farm_id FROM u) f CROSS JOIN (SELECT DISTINCT country FROM u) c LEFT JOIN u ON u.farm_id = f.farm_id AND u.country = c.country GROUP BY 1, 2) GROUP BY 1),
+ o AS (SELECT farm_id, v, row_number() OVER (ORDER BY -round(list_aggregate(v, 'stddev_pop'), 9), {H(C.text_key_sql('farm_id'))}, farm_id) AS i FROM m), t AS (SELECT list(w ORDER BY country) AS total FROM (SELECT country, sum(w) AS w FROM u GROUP BY 1)),
+ r AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS farm_id, CAST(NULL AS INT) AS fold, list_transform(range(3), lambda f: list_transform(total, lambda x: CAST(0 AS DOUBLE))) AS have FROM t
+  UNION ALL SELECT i, farm_id, CAST(best.f AS INT), cand[best.f + 1] FROM (SELECT i, farm_id, cand, list_sort(list_transform(range(3), lambda f: {{'score': round(list_avg(list_transform(range(1, len(total) + 1), lambda s: list_aggregate(list_transform(cand[f + 1], lambda x: x[s] / total[s]), 'stddev_pop'))), 12), 'held': list_sum(cand[f + 1][f + 1]), 'f': f}}))[1] AS best
+   FROM (SELECT o.i, o.farm_id, total, list_transform(range(3), lambda f: list_transform(have, lambda x, j: CASE WHEN j = f + 1 THEN list_transform(x, lambda y, s: y + v[s]) ELSE x END)) AS cand FROM r JOIN o ON o.i = r.i + 1, t)))
+ SELECT farm_id, fold FROM r WHERE i > 0""")
 def g07_stratified_group_folds(spark, d):
     return G.stratified_group_folds(V.seasons(spark, d), "farm_id", "country", 3)
 
@@ -504,9 +509,3 @@ def b06_leave_year_out_blend(spark, d):
 @query(None)
 def a23_a61_scale_bands(spark, d):
     return V.rounded(K.band_totals(K.scale_bands(V.panel(spark, d), ["crop"]), ["crop"]), 5)
-
-
-@query(None)
-def a46_a47_ridge_oracle(spark, d):
-    c = G.block_folds(V.panel(spark, d), 4).withColumns({"x1": F.col("grid_row") * 1.0, "x2": F.col("grid_col") * 1.0})
-    return V.rounded(K.oracle_table(K.ridge_oracle(c, ["crop", "season_id"], "fold", ["pred", "x1", "x2"], "target"), ["crop"]), 5)
