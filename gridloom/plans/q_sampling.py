@@ -506,6 +506,19 @@ def b06_leave_year_out_blend(spark, d):
     return V.rounded(x.select("crop", "year", F.get("beta", F.lit(0)).alias("beta")))
 
 
-@query(None)
+def _scale_bands_sql() -> str:
+    """All pairs of a season's cells weighed by the five Gaussians; differences of neighbouring scales, then sums by band."""
+    weight = lambda s: f"CASE WHEN greatest(abs(p.r - q.r), abs(p.c - q.c)) <= {int(4 * s + 0.5)} THEN exp(-0.5 * ((p.r - q.r) * (p.r - q.r) + (p.c - q.c) * (p.c - q.c)) / {s * s}) ELSE 0 END"
+    levels = ", ".join(f"sum(w{i} * q{v}) / sum(w{i}) AS {v}{i + 1}" for i in range(len(K.SIGMAS)) for v in "yp")
+    last = len(K.SIGMAS)
+    bands = ", ".join(f"{{'band': {i}, 'y': y{i} - y{i + 1}, 'p': p{i} - p{i + 1}}}" if i < last else f"{{'band': {i}, 'y': y{i}, 'p': p{i}}}" for i in range(last + 1))
+    return f"""{V.PANEL}, x AS (SELECT crop, season_id, grid_row AS r, grid_col AS c, CAST(target AS DOUBLE) - avg(CAST(target AS DOUBLE)) OVER s AS y, CAST(pred AS DOUBLE) - avg(CAST(pred AS DOUBLE)) OVER s AS p FROM cells JOIN seasons USING (season_id) WINDOW s AS (PARTITION BY season_id) QUALIFY count(*) OVER s >= 50),
+ w AS (SELECT p.crop, p.season_id, p.r, p.c, p.y AS y0, p.p AS p0, q.y AS qy, q.p AS qp, {", ".join(f"{weight(s)} AS w{i}" for i, s in enumerate(K.SIGMAS))} FROM x p JOIN x q USING (season_id)),
+ l AS (SELECT crop, y0, p0, {levels} FROM w GROUP BY crop, season_id, r, c, y0, p0), b AS (SELECT crop, unnest([{bands}]) AS z FROM l),
+ g AS (SELECT crop, CAST(z.band AS INT) AS band, sum(z.y * z.y) AS syy, sum(z.p * z.p) AS spp, sum(z.y * z.p) AS spy, sum((z.y - z.p) * (z.y - z.p)) AS see FROM b GROUP BY 1, 2)
+ SELECT crop, band, round(syy / sum(syy) OVER (PARTITION BY crop), 5) AS share, round(1 - see / syy, 5) AS explained, round(spy / sqrt(syy * spp), 5) AS corr FROM g"""
+
+
+@query(_scale_bands_sql())
 def a23_a61_scale_bands(spark, d):
     return V.rounded(K.band_totals(K.scale_bands(V.panel(spark, d), ["crop"]), ["crop"]), 5)

@@ -101,6 +101,16 @@ def test_scale_bands(spark, panel):
         assert [r.share, r.explained, r["corr"]] == pytest.approx([yy / total, 1 - ee / yy, yp / math.sqrt(yy * pp)], abs=2e-4)
 
 
+def test_far_cells_need_no_grid_between_them(spark):
+    rng = np.random.default_rng(9)
+    rows = [(0, r, c, float(v), float(w)) for (r, c), (v, w) in zip([(a, b) for a in range(8) for b in range(8)], rng.normal(size=(64, 2)))]
+    far = [(0, r + 2_000_000_000 * (r > 3), c - 1_000_000 * (c > 3), v, w) for _, r, c, v, w in rows]
+    near = [(0, r + 65 * (r > 3), c + 65 * (c > 3) if c < 4 else c + 300, v, w) for _, r, c, v, w in rows]
+    bands = lambda x: [tuple(r) for r in kernels.scale_bands(spark.createDataFrame(x, "season_id long, grid_row int, grid_col int, target double, pred double"), []).orderBy("band").collect()]
+    assert np.allclose(bands(far), bands(near)) and not np.allclose(bands(far), bands(rows))
+    assert kernels.close_gaps(np.array([5, -3, 10**9, 5])).tolist() == [8, 0, 73, 8]
+
+
 def test_mutual_information_of_a_bivariate_normal(spark):
     """The estimate against the closed form -log(1 - r^2) / 2."""
     rng = np.random.default_rng(1)

@@ -15,7 +15,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 WITHOUT_SQL = {
     "a46_a47_oracles_per_season", "a46_boosted_trees",
-    "a23_a61_scale_bands", "a42_effective_rank", "a48_a49_shift_scores", "a49_shift_of_cells",
+    "a42_effective_rank", "a48_a49_shift_scores", "a49_shift_of_cells",
     "s11_fingerprints",
 }
 
