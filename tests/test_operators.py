@@ -300,3 +300,13 @@ def test_slot_windows(spark, tmp_path):
     q = jobs.slot_windows(s, "ts", "v", ["g"]).writeStream.outputMode("append").format("memory").queryName("slots").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("slots").agg(F.sum("n")).first()[0] >= 10
+
+
+def test_split_hash_is_of_the_sorted_list(spark):
+    import hashlib
+
+    from gridloom.operators import splits
+
+    rows = [("a", s) for s in (10, 9, 101, 1)] + [("b", 5)]
+    got = {r.partition: (r.hash, r.seasons) for r in splits.split_hash(spark.createDataFrame(rows, "partition string, season_id long"), ["partition"]).collect()}
+    assert got == {"a": (hashlib.sha256(b"1,10,101,9").hexdigest(), 4), "b": (hashlib.sha256(b"5").hexdigest(), 1)}
