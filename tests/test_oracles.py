@@ -76,3 +76,15 @@ def test_sums_are_within_and_out_of_fold(spark):
         assert got[g, "boosted"].sse < 0.5 * got[g, "boosted"].sst and got[g, "coordinates"].sse > 0.8 * got[g, "coordinates"].sst
     again = oracles.season_oracle(df.orderBy(F.rand(3)), ["g"], "fold", ["x"], ["r", "c"], "y", rounds=100).collect()
     assert all(r.sse == pytest.approx(got[r.g, r.method].sse) for r in again)
+
+
+def test_models_grown_together_are_those_grown_alone():
+    rng = np.random.default_rng(4)
+    models, alone = [], []
+    for k, (n, width) in enumerate([(150, 3), (90, 2), (30, 2), (400, 3)]):
+        x, y = rng.integers(0, 12, (n, width)).astype(float), rng.normal(size=n)
+        cells = np.stack([oracles.bins_of(v, np.argsort(v, kind="stable"), np.arange(n) < n - 10, 32) for v in x.T], 1)
+        models.append((cells[:-10], y[:-10], cells[-10:], k))
+        alone.append(oracles.Boosted(rounds=9, rate=0.3, leaves=5, seed=k).fit_predict(x[:-10], y[:-10], x[-10:]))
+    for got, want in zip(oracles.Boosted(rounds=9, rate=0.3, leaves=5).together(models), alone):
+        assert np.allclose(got, want, atol=1e-12)
