@@ -88,3 +88,20 @@ def test_models_grown_together_are_those_grown_alone():
         alone.append(oracles.Boosted(rounds=9, rate=0.3, leaves=5, seed=k).fit_predict(x[:-10], y[:-10], x[-10:]))
     for got, want in zip(oracles.Boosted(rounds=9, rate=0.3, leaves=5).together(models), alone):
         assert np.allclose(got, want, atol=1e-12)
+
+
+def test_boosted_oracle_reads_its_plan_once(spark):
+    from gridloom.operators import kernels
+
+    read = spark.sparkContext.accumulator(0)
+    made = [("g", k % 5, float(k % 7), float(k % 7 > 3)) for k in range(300)]
+
+    def seen(batches):
+        for pdf in batches:
+            read.add(len(pdf))
+            yield pdf
+
+    df = spark.createDataFrame(made, "g string, fold int, x double, y double").mapInPandas(seen, "g string, fold int, x double, y double")
+    got = kernels.boosted_oracle(df, ["g"], "fold", ["x"], "y", rounds=2).collect()
+    assert [(r.g, r.n) for r in got] == [("g", 300)] and got[0].sse < got[0].sst
+    assert read.value <= 3 * 300  # the rows, their groups' sizes and means
