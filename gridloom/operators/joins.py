@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..util import stored
 from . import stencils, tiles
 
 
@@ -41,18 +42,21 @@ def overlaps(boxes: DataFrame, group: list[str], least: float = 0.1, bin_size: i
 def nearest(targets: DataFrame, sources: DataFrame, cell: float, most: float, key: str = "target_id", value: str = "source_id", by: list[str] = ()) -> DataFrame:
     """(targets.*, source, distance): the nearest source point within `most` (at most the bin size), -1 where none is.
 
-    Points are (x, y). A target looks into its own bin and the eight around it; ties go to the smallest source.
+    Points are (x, y). A target looks into its own bin and the eight around it; ties go to the smallest source. Points at one place are
+    one point (the smallest source of a place is its answer), so that copies of places don't multiply.
     """
     if most > cell:
         raise ValueError("the bin size must be at least the search radius")
     b = lambda c: F.floor(F.col(c) / cell).cast("long")
-    s = sources.select(*by, F.col(value).alias("__s"), F.col("x").alias("__x"), F.col("y").alias("__y"), b("x").alias("__bx"), b("y").alias("__by"))
+    s = sources.select(*by, F.col(value).alias("__s"), F.col("x").alias("__x"), F.col("y").alias("__y")).groupBy(*by, "__x", "__y").agg(F.min("__s").alias("__s"))
+    s = s.withColumns({"__bx": F.floor(F.col("__x") / cell).cast("long"), "__by": F.floor(F.col("__y") / cell).cast("long")})
     around = F.sequence(F.lit(-1), F.lit(1))
-    t = targets.withColumn("__dx", F.explode(around)).withColumn("__dy", F.explode(around)).withColumns({"__bx": b("x") + F.col("__dx"), "__by": b("y") + F.col("__dy")})
+    t = targets.select(*by, "x", "y").distinct()
+    t = t.withColumn("__dx", F.explode(around)).withColumn("__dy", F.explode(around)).withColumns({"__bx": b("x") + F.col("__dx"), "__by": b("y") + F.col("__dy")})
     d = F.sqrt(F.pow(F.col("x") - F.col("__x"), 2) + F.pow(F.col("y") - F.col("__y"), 2))
     near = t.join(s, [*by, "__bx", "__by"]).withColumn("__d", d).filter(F.col("__d") <= most)
-    best = near.groupBy(*by, key).agg(F.min(F.struct("__d", "__s")).alias("__m"))
-    return targets.join(best, [*by, key], "left").select(*targets.columns, F.coalesce("__m.__s", F.lit(-1)).alias("source"), F.col("__m.__d").alias("distance"))
+    best = near.groupBy(*by, "x", "y").agg(F.min(F.struct("__d", "__s")).alias("__m"))
+    return targets.join(best, [*by, "x", "y"], "left").select(*targets.columns, F.coalesce("__m.__s", F.lit(-1)).alias("source"), F.col("__m.__d").alias("distance"))
 
 
 def nearest_at_any_distance(targets: DataFrame, sources: DataFrame, key: str = "target_id", value: str = "source_id", by: list[str] = (), size: int = tiles.SIZE) -> DataFrame:
@@ -63,9 +67,13 @@ def nearest_at_any_distance(targets: DataFrame, sources: DataFrame, key: str = "
     by = list(by)
     if not by:
         return nearest_at_any_distance(targets.withColumn("__all", F.lit(0)), sources.withColumn("__all", F.lit(0)), key, value, ["__all"], size).drop("__all")
-    near = lambda df, own: df.select(*by, own, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropna()
-    found = tiles.nearest_point(near(targets, key), near(sources, value), by, ["x", "y"], key, value, size)
-    return targets.join(found, key, "left").select(*targets.columns, F.coalesce("source", F.lit(-1)).alias("source"), "distance")
+    at = lambda df, *more: df.select(*by, *more, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropna()
+    # points at one place are one point: its smallest source is its answer, and a tile holds no copies
+    held = at(sources, value).groupBy(*by, "x", "y").agg(F.min(value).alias(value))
+    places = stored(at(targets).distinct().withColumn("__place", F.monotonically_increasing_id()))
+    found = places.join(tiles.nearest_point(places, held, by, ["x", "y"], "__place", value, size), "__place").select(*by, F.col("x").alias("__x"), F.col("y").alias("__y"), "source", "distance")
+    same = [targets[c] == found[c] for c in by] + [targets["x"].cast("double") == found["__x"], targets["y"].cast("double") == found["__y"]]
+    return targets.join(found, same, "left").select(*[targets[c] for c in targets.columns], F.coalesce("source", F.lit(-1)).alias("source"), "distance")
 
 
 def apply_mapping(mapping: DataFrame, layers: DataFrame, value: str = "source_id", layer: str = "layer") -> DataFrame:

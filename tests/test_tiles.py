@@ -61,3 +61,21 @@ def test_nearest_at_any_distance(spark):
             c = [(((x - a) ** 2 + (y - b) ** 2) ** 0.5, m) for m, h, a, b in s if (h == g or not by) and b is not None] if x is not None else []
             assert got[k] == ((min(c)[1], pytest.approx(min(c)[0])) if c else (-1, None))
     assert {r["source"] for r in joins.nearest_at_any_distance(targets, sources.limit(0)).collect()} == {-1}
+
+
+def test_points_at_one_place_are_one_point(spark, monkeypatch):
+    met = []
+    plain = tiles.nearest_point
+
+    def counted(targets, sources, *rest):
+        met.append((targets.count(), sources.count()))
+        return plain(targets, sources, *rest)
+
+    monkeypatch.setattr(tiles, "nearest_point", counted)
+    t = spark.createDataFrame([(k, float(k % 3), 0.0) for k in range(90)], "target_id long, x double, y double")
+    s = spark.createDataFrame([(k, float(k % 4) + 0.4, 0.0) for k in range(10, 90)], "source_id long, x double, y double")
+    want = {k: ({0: 12, 1: 13, 2: 10}[k % 3], pytest.approx(0.4)) for k in range(90)}
+    got = joins.nearest_at_any_distance(t, s).collect()
+    assert {r.target_id: (r.source, r.distance) for r in got} == want and len(got) == 90 and met == [(3, 4)]
+    got = joins.nearest(t, s, 1.0, 0.5).collect()
+    assert {r.target_id: (r.source, r.distance) for r in got} == want and len(got) == 90
