@@ -9,21 +9,27 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..util import cut
+from .ordered import in_order
 from .sampling import mixed
 
+#: Draws of a bootstrap that a task makes and counts.
+DRAWS = 500_000
+
 
 def multiplicities(units: DataFrame, unit: str, draws: int, by: list[str] = (), seed: int = 0) -> DataFrame:
     """(by, rep, unit, m): how often each unit is drawn in each replicate, with replacement, n of n.
 
-    Draw d of replicate r takes the unit at place hash(r, d) modulo n of its stratum.
+    Draw d of replicate r takes the unit at place hash(r, d) modulo n of its stratum. Places come from range partitions and the draws
+    are dealt over as many tasks as they need, `DRAWS` a task, so that no task makes those of a whole stratum.
     """
-    w = W.partitionBy(*by)
     placed = units.select(*by, unit).distinct()
-    placed = placed.withColumns({"__i": F.row_number().over(w.orderBy(unit)) - 1, "__n": F.count("*").over(w)})
+    placed = cut(in_order(placed, list(by), [unit], {"__i": F.lit(1)}).select(*by, unit, (F.col("__i") - 1).alias("__i"), F.col("__i_total").alias("__n")))
+    tasks = max(1, -(-placed.count() * draws // DRAWS))
     reps = units.sparkSession.range(draws).select(F.col("id").cast("int").alias("rep"))
-    each = placed.select(*by, F.col("__i").alias("__d"), "__n").crossJoin(reps)  # replicates x units: the draws themselves
-    each = each.withColumn("__i", mixed(F.col("rep").cast("long") * 1_000_003 + F.col("__d"), seed) % F.col("__n"))
-    return each.groupBy(*by, "rep", "__i").agg(F.count("*").alias("m")).join(placed.drop("__n"), [*by, "__i"]).select(*by, "rep", unit, "m")
+    each = placed.select(*by, F.col("__i").alias("__d"), "__n").repartition(tasks).crossJoin(F.broadcast(reps))  # replicates x units: the draws themselves
+    each = each.select(*by, "rep", (mixed(F.col("rep").cast("long") * 1_000_003 + F.col("__d"), seed) % F.col("__n")).alias("__i")).repartition(tasks, *by, "__i")
+    drawn = each.groupBy(*by, "rep", "__i").agg(F.count("*").alias("m")).join(placed.drop("__n"), [*by, "__i"]).select(*by, "rep", unit, "m")
+    return drawn.repartition(tasks, *by, unit)  # as its readers join it
 
 
 def interval(values: DataFrame, by: list[str], value: str, low: float = 0.025, high: float = 0.975) -> DataFrame:

@@ -310,3 +310,13 @@ def test_split_hash_is_of_the_sorted_list(spark):
     rows = [("a", s) for s in (10, 9, 101, 1)] + [("b", 5)]
     got = {r.partition: (r.hash, r.seasons) for r in splits.split_hash(spark.createDataFrame(rows, "partition string, season_id long"), ["partition"]).collect()}
     assert got == {"a": (hashlib.sha256(b"1,10,101,9").hexdigest(), 4), "b": (hashlib.sha256(b"5").hexdigest(), 1)}
+
+
+def test_draws_of_a_bootstrap_are_dealt_over_tasks(spark, monkeypatch):
+    from gridloom.operators import resampling
+
+    monkeypatch.setattr(resampling, "DRAWS", 1000, raising=False)
+    m = resampling.multiplicities(spark.range(70).withColumnRenamed("id", "u"), "u", 100)
+    assert "RepartitionByExpression [u" in (plan := m._jdf.queryExecution().optimizedPlan().toString()) and "], 7" in plan
+    got = m.groupBy("rep").agg(F.sum("m").alias("n"), F.max("u").alias("u")).collect()
+    assert len(got) == 100 and all(r.n == 70 and r.u < 70 for r in got)
