@@ -1,7 +1,7 @@
 """Sharding along a Hilbert curve over several metadata dimensions.
 
 Each dimension is quantised to `bits` bits by bounds of about equal row counts (numbers by approximate quantiles, strings by
-quantiles of their sorted values over a bounded list), the curve index of the cell orders the rows, and the order is cut into runs of equal row counts. Files written by shard then hold a
+the counts of their sorted values), the curve index of the cell orders the rows, and the order is cut into runs of equal row counts. Files written by shard then hold a
 compact box of the metadata space, so that min/max statistics prune them on any of the dimensions.
 
 Ranks need no global window: rows are range-partitioned on (curve index, id), so a hot cell with a third of all rows
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.ordered import in_order
 from .common import cut, text_of
 
 
@@ -69,7 +70,7 @@ def curve_index(dims: list[Column], bits: int) -> Column:
     return F.aggregate(levels, start, step)["h"]
 
 
-#: Strings of a dimension that bounds are chosen among: distinct values up to this number, else those that begin equal shares of a sorted sample.
+#: Distinct strings of a dimension whose counts come to the driver; beyond, running counts over range partitions tell the bounds.
 NAMES = 4096
 
 
@@ -80,10 +81,14 @@ def _count_below(c: Column):
 def name_bounds(df: DataFrame, c: str, cells: int) -> list[str]:
     """At most cells - 1 strings, each the last of a run of sorted values, so that the runs hold about equal row counts.
 
-    Of up to `NAMES` distinct values all are counted; of more, those with the smallest hashes stand for all (they choose the cuts, no row is left out).
+    Every row counts. Of more than `NAMES` distinct values only those at which the running count of rows passes another share are collected.
     """
     counts = df.filter(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("v")).agg(F.count("*").alias("n"))
-    rows = sorted((r["v"], r["n"]) for r in counts.orderBy(F.xxhash64("v"), "v").limit(NAMES).collect())
+    rows = sorted((r["v"], r["n"]) for r in counts.limit(NAMES + 1).collect())
+    if len(rows) > NAMES:
+        share = lambda run: F.floor(run * cells / F.col("run_total"))
+        passed = in_order(counts, [], ["v"], {"run": F.col("n")}).filter((share(F.col("run")) > share(F.col("run") - F.col("n"))) & (F.col("run") < F.col("run_total")))
+        return sorted(r["v"] for r in passed.select("v").collect())  # at most cells - 1
     left, run, out = sum(n for _, n in rows), 0, []
     for v, n in rows[:-1]:
         run += n

@@ -200,3 +200,18 @@ def test_spotsigs_near_duplicates_are_those_of_all_pairs(spark, monkeypatch, chu
                 want.add((a, b))
     got = {(r.a, r.b): r.likeness for r in links.collect()}
     assert set(got) == want and len(want) > 100
+
+
+def test_bounds_of_many_strings_count_every_row(spark, monkeypatch):
+    monkeypatch.setattr(hilbert, "NAMES", 10)
+    # one value holds half of the rows; among a sample of ten others it may be missing
+    rows = [(f"v{k:03d}",) for k in range(100) for _ in range(100 if k == 37 else 1)] + [(None,)]
+    n = {}
+    for (v,) in rows[:-1]:
+        n[v] = n.get(v, 0) + 1
+    run, want, total = 0, [], len(rows) - 1
+    for v in sorted(n):
+        before, run = run, run + n[v]
+        if run * 8 // total > before * 8 // total and run < total:
+            want.append(v)
+    assert hilbert.name_bounds(spark.createDataFrame(rows, "s string"), "s", 8) == want and "v037" in want
