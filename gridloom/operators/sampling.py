@@ -172,13 +172,19 @@ def representative(df: DataFrame, by: list[str], score: str, key: str) -> DataFr
 
 
 def negatives(df: DataFrame, key: str, field: str, bucket: int, n: int, seed: int = 0) -> DataFrame:
-    """(key, negative): up to n rows of other physical fields, from hash buckets of about `bucket` rows, never all pairs."""
+    """(key, negative): up to n rows of other physical fields, from hash buckets of about `bucket` rows, never all pairs.
+
+    A bucket's rows are one array that each of its rows looks through on the spot, so that no pair is shuffled or sorted.
+    """
     total = df.count()
     b = (mixed(F.col(key), seed) % max(1, -(-total // bucket))).alias("__b")
     x = df.select(F.col(key), F.col(field), b)
-    y = x.select(F.col(key).alias("negative"), F.col(field).alias("__f"), "__b")
-    w = W.partitionBy(key).orderBy(mixed(F.col(key) * 31 + F.col("negative"), seed), "negative")
-    return x.join(y, "__b").filter(F.col(field) != F.col("__f")).withColumn("__i", F.row_number().over(w)).filter(F.col("__i") <= n).select(key, "negative")
+    held = x.groupBy("__b").agg(F.collect_list(F.struct(F.col(key).alias("negative"), F.col(field).alias("f"))).alias("__held"))
+    asking = x.groupBy("__b", key).agg(F.collect_list(field).alias("__own"))  # one row a key, however often it is there
+    others = lambda f: F.filter("__held", lambda m: m["f"] != f)
+    ranked = F.transform(F.flatten(F.transform("__own", others)), lambda m: F.struct(mixed(F.col(key) * 31 + m["negative"], seed).alias("h"), m["negative"].alias("negative")))
+    found = F.array_compact(F.array(F.array_min(ranked))) if n == 1 else F.slice(F.array_sort(ranked), 1, n)
+    return asking.join(held, "__b").select(key, F.explode(found).alias("__m")).select(key, "__m.negative")
 
 
 def select_tiles(tiles: DataFrame, held_out: DataFrame, ground: str, by: list[str], key: Column, most: int, statistics: int, tie: list[str], seed: int = 0) -> DataFrame:

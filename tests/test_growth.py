@@ -19,3 +19,21 @@ def test_copies_of_a_box_are_linked_without_their_pairs(spark, monkeypatch):
     got = dict(map(tuple, G.connected_boxes(spark.createDataFrame(rows, "id long, grp string, x0 int, y0 int, w int, h int"), ["grp"]).collect()))
     assert met == [5]
     assert got == {i: {0: 1, 1: 1, 2: 2, 3: 3}.get(i % 6, i) for i in range(1, 121)}
+
+
+def test_negatives_shuffle_no_pairs(spark):
+    def mixed(k, seed):
+        x = (k % 2**31 * T.KNUTH + seed * 40503) % 2**32
+        return ((x ^ (x >> 15)) % 2**31 * T.KNUTH + 12345) % 2**32
+
+    rows = [(k, None if k % 11 == 0 else f"f{k % 4}") for k in range(300)] + [(7, "f1")]
+    df = spark.createDataFrame(rows, "k long, f string")
+    for n in (1, 3):
+        want = []
+        for k in {r[0] for r in rows}:
+            bucket = -(-len(rows) // 50)
+            pairs = [(mixed(k * 31 + b, 5), b) for a, f in rows if a == k for b, g in rows if f and g and f != g and mixed(k, 5) % bucket == mixed(b, 5) % bucket]
+            want += [(k, b) for _, b in sorted(pairs)[:n]]
+        out = T.negatives(df, "k", "f", 50, n, 5)
+        assert sorted(map(tuple, out.collect())) == sorted(want)
+        assert "Window" not in plan(out)
