@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import sampling as T
 from gridloom.operators import splits as G
+from gridloom.operators import tiles
 
 
 def plan(df):
@@ -37,3 +38,23 @@ def test_negatives_shuffle_no_pairs(spark):
         out = T.negatives(df, "k", "f", 50, n, 5)
         assert sorted(map(tuple, out.collect())) == sorted(want)
         assert "Window" not in plan(out)
+
+
+def test_a_tile_is_not_compared_whole(monkeypatch):
+    """Distances and counts equal brute force, ties and clusters included, and a query meets few of a tile's points."""
+    rng = np.random.default_rng(3)
+    for dims in (1, 2, 3):
+        x = np.concatenate([rng.normal(size=(700, dims)), rng.integers(0, 3, (500, dims)) + rng.normal(size=(500, dims)) * 1e-9, np.repeat(rng.normal(size=(3, dims)), 40, 0)])
+        a = np.concatenate([x[::3], rng.normal(size=(200, dims)) * 2])
+        d = lambda p: np.abs(p[:, None] - x[None]).max(2)
+        assert (tiles.Leaves(x).own_nearest(x, 6) == np.sort(d(x), 1)[:, :6]).all()
+        r = np.sort(d(a), 1)[np.arange(len(a)), rng.integers(1, 60, len(a))]
+        near = np.sort(np.where(d(a) < r[:, None], d(a), np.inf), 1)[:, :5]
+        assert (tiles.Leaves(x).nearest(a, 5, r) == near).all()
+        assert (tiles.closer(x, a, r) == (d(a) < r[:, None]).sum(1)).all()
+    few = tiles.Leaves(x[:3])
+    assert np.isfinite(few.own_nearest(x[:3], 6)).sum() == 9
+    met, plain, x = [], tiles.Leaves.distances, rng.normal(size=(20_000, 2))
+    monkeypatch.setattr(tiles.Leaves, "distances", lambda self, q, leaf: met.append(len(q) * self.x.shape[1]) or plain(self, q, leaf))
+    tiles.Leaves(x).own_nearest(x, 4)
+    assert sum(met) < 20_000 * 400
