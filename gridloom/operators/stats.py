@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite
+from . import stencils
 from .ordered import in_order
 
 
@@ -48,20 +49,13 @@ def standardise(df: DataFrame, stats: DataFrame, columns: list[str], fill: float
 
 
 def semivariogram(cells: DataFrame, value: str = "target", season: str = "season_id", row: str = "grid_row", col: str = "grid_col", lags: int = 30) -> DataFrame:
-    """(season, h, gamma_sum, n_pairs) along rows and columns, hole-safe.
+    """(season, h, gamma_sum, n_pairs) along rows and columns, hole-safe: sums of square tiles with halos, added up a season.
 
-    A range frame of exactly h on the grid coordinate finds the cell at that offset, so pairs over holes don't count;
-    all lags share two sorts of the cells.
+    Differences need no centring; but a value that isn't finite has no mean, and leaves its season's sums NaN.
     """
-    centred = cells.withColumn("__v", F.col(value) - F.avg(value).over(W.partitionBy(season))).filter(F.col("__v").isNotNull())
-    parts = []
-    for along, other in ((row, col), (col, row)):
-        w = W.partitionBy(season, other).orderBy(F.col(along).cast("long"))
-        gaps = centred.select(season, *[F.pow(F.first("__v").over(w.rangeBetween(h, h)) - F.col("__v"), 2).alias(f"__{h}") for h in range(1, lags + 1)])
-        pairs = F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"__{h}").alias("d")) for h in range(1, lags + 1)])
-        parts.append(gaps.select(season, F.explode(pairs).alias("x")).select(season, "x.h", "x.d").filter("d is not null"))
-    both = parts[0].unionByName(parts[1])
-    return both.groupBy(season, "h").agg((F.sum("d") / 2).alias("gamma_sum"), F.count("*").alias("n_pairs"))
+    sums = stencils.lag_sums(cells, value, lags, (season, row, col)).groupBy(season, "h").agg(F.sum("d").alias("d"), F.sum("n").alias("n_pairs"), F.max("odd").alias("odd"))
+    odd = F.max("odd").over(W.partitionBy(season))  # a row a lag
+    return sums.withColumn("odd", odd).filter("n_pairs > 0").select(season, "h", F.when(F.col("odd"), F.lit(float("nan"))).otherwise(F.col("d") / 2).alias("gamma_sum"), "n_pairs")
 
 
 def nugget(variogram: DataFrame, variance: DataFrame, by: list[str]) -> DataFrame:

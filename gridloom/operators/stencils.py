@@ -126,6 +126,47 @@ def relation_sums(cells: DataFrame, target: str, pred: str, radius: int = 5, del
     return by_tile(error, radius, ["__e"], f"{key[0]} x, pairs long, weight double, loss double", kernel, key)
 
 
+def lag_sums(cells: DataFrame, value: str, lags: int, key: tuple[str, str, str] = KEY) -> DataFrame:
+    """(season, h, d, n, odd): sums of squared differences and numbers of a tile's pairs that lie h apart along a row or a column, null values left out.
+
+    `odd` marks tiles with a value that isn't finite; these have a row of h = 0 too, as they may have no pair.
+    """
+    known = cells.select(*key, F.col(value).cast("double").alias("__v")).filter("__v is not null")
+
+    def kernel(t: Tile) -> dict[str, pa.Array]:
+        v = t.rows["__v"].combine_chunks().to_numpy(zero_copy_only=False)
+        n, d = np.zeros(lags, np.int64), np.zeros(lags)
+        for h in range(1, lags + 1):
+            for there in (t.at(h, 0), t.at(0, h)):
+                met = there >= 0
+                n[h - 1] += met.sum()
+                d[h - 1] += ((v[there[met]] - v[t.own[met]]) ** 2).sum()
+        odd = not np.isfinite(v[t.own]).all()
+        h = np.flatnonzero(np.append(odd, n))
+        return {key[0]: t.take(key[0], np.zeros(len(h), np.int64)), "h": pa.array(h.astype(np.int32)), "d": pa.array(np.append(0, d)[h]), "n": pa.array(np.append(0, n)[h]), "odd": pa.array(np.full(len(h), odd))}
+
+    return by_tile(known, lags, ["__v"], f"{key[0]} x, h int, d double, n long, odd boolean", kernel, key)
+
+
+def box_means(cells: DataFrame, value: str, radius: int, key: tuple[str, str, str] = KEY) -> DataFrame:
+    """(key, mean): the mean of the other cells' values within the Chebyshev radius, nulls skipped; null where there are none."""
+    known = cells.select(*key, F.col(value).cast("double").alias("__v"))
+
+    def kernel(t: Tile) -> dict[str, pa.Array]:
+        column = t.rows["__v"].combine_chunks()
+        there, v = np.asarray(column.is_valid()), column.fill_null(0.0).to_numpy()
+        n, s = np.zeros(len(t.own), np.int64), np.zeros(len(t.own))
+        for dr, dc in offsets(radius):
+            if dr or dc:
+                at = t.at(dr, dc)
+                use = (at >= 0) & there[at]
+                n += use
+                s += np.where(use, v[at], 0.0)
+        return {**{k: t.take(k, t.own) for k in key}, "mean": pa.array(s / np.maximum(n, 1), mask=n == 0)}
+
+    return by_tile(known, radius, ["__v"], f"{', '.join(f'{k} x' for k in key)}, mean double", kernel, key)
+
+
 def full_squares(cells: DataFrame, cap: int = 50, key: tuple[str, str, str] = KEY) -> DataFrame:
     """(key, edge): the largest d up to `cap` whose square of 2 d + 1 cells a side around the cell has no hole."""
 
