@@ -112,20 +112,11 @@ def neighbours(cells: DataFrame, value: str, radius: int = 2, season: str = "sea
 
 
 def neighbourhood_mean(cells: DataFrame, value: str, radius: int = 2, extra: list[str] = (), season: str = "season_id", row: str = "grid_row", col: str = "grid_col") -> DataFrame:
-    """Mean of the other cells within the box, nulls skipped; null where there are none.
-
-    Row sums over a range of columns are windows; the box is a sum of these over the rows of a column. Holes would lose
-    boxes without a cell in a row, so each cell deals its value to the rows around it first: 2 radius + 1 copies, not 24.
-    """
-    steps = F.sequence(F.lit(-radius), F.lit(radius))
-    v = F.col(value).cast("double")
-    dealt = cells.select(season, *extra, F.explode(steps).alias("__d"), (F.col(row) + F.col("__d")).alias(row), col, v.alias("__v"))
-    cols = dealt.groupBy(season, *extra, row, col).agg(F.sum("__v").alias("__s"), F.count("__v").alias("__n"))
-    w = W.partitionBy(season, *extra, row).orderBy(F.col(col).cast("long")).rangeBetween(-radius, radius)
-    box = cols.select(season, *extra, row, col, F.sum("__s").over(w).alias("__s"), F.sum("__n").over(w).alias("__n"))
-    own = cells.join(box, [season, *extra, row, col])
-    n = F.col("__n") - v.isNotNull().cast("int")
-    return own.select(season, *extra, row, col, F.when(n > 0, (F.col("__s") - F.coalesce(v, F.lit(0.0))) / n).alias("neighbour_mean"))
+    """Mean of the other cells within the box, nulls skipped; null where there are none. Seasons are told by `extra` too."""
+    unit = F.struct(season, *extra) if extra else F.col(season)
+    mean = stencils.box_means(cells.dropna(subset=[season, *extra]).select(unit.alias("__u"), row, col, F.col(value).alias("__x")), "__x", radius, ("__u", row, col))
+    own = [F.col(f"__u.{c}") for c in (season, *extra)] if extra else [F.col("__u").alias(season)]
+    return mean.select(*own, row, col, F.col("mean").alias("neighbour_mean"))
 
 
 def within_radius_pairs(cells: DataFrame, values: list[str], radius: int = 5, season: str = "season_id", row: str = "grid_row", col: str = "grid_col") -> DataFrame:

@@ -1,10 +1,13 @@
 """Steps whose work must not outgrow the input: results against brute force, and the shape of the plan or of the work."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from gridloom.operators import joins as J
 from gridloom.operators import sampling as T
 from gridloom.operators import splits as G
+from gridloom.operators import stats as S
 from gridloom.operators import tiles
 
 
@@ -58,3 +61,37 @@ def test_a_tile_is_not_compared_whole(monkeypatch):
     monkeypatch.setattr(tiles.Leaves, "distances", lambda self, q, leaf: met.append(len(q) * self.x.shape[1]) or plain(self, q, leaf))
     tiles.Leaves(x).own_nearest(x, 4)
     assert sum(met) < 20_000 * 400
+
+
+def _cells(spark):
+    rng = np.random.default_rng(4)
+    rows = {(s, e, int(r), int(c)): None if i % 9 == 0 else float(round(v, 1)) for s in (1, 2) for e in "ab" for i, (r, c, v) in enumerate(zip(rng.integers(-9, 80, 900), rng.integers(60, 70, 900), rng.normal(size=900)))}
+    rows[3, "a", 0, 0] = 5.0
+    return rows, spark.createDataFrame([(*k, v) for k, v in rows.items()], "season_id long, e string, grid_row int, grid_col int, target double")
+
+
+def test_box_means_copy_border_cells_only(spark):
+    rows, df = _cells(spark)
+    out = J.neighbourhood_mean(df, "target", 2, ["e"])
+    got = {tuple(r)[:4]: r.neighbour_mean for r in out.collect()}
+    near = {k: [v for a in range(-2, 3) for b in range(-2, 3) if (a or b) and (v := rows.get((k[0], k[1], k[2] + a, k[3] + b))) is not None] for k in rows}
+    assert got == {k: pytest.approx(np.mean(v)) if v else None for k, v in near.items()}
+    assert "Window" not in plan(out) and "Join" not in plan(out)
+
+
+def test_semivariogram_without_windows_of_cells(spark):
+    rows, df = _cells(spark)
+    rows = {(k[0], *k[2:]): v for k, v in rows.items() if k[1] == "a"}
+    rows[4, 0, 0], rows[4, 0, 2], rows[4, 50, 50] = 1.0, 4.0, float("inf")
+    df = df.filter("e = 'a'").drop("e").unionByName(spark.createDataFrame([(*k, v) for k, v in rows.items() if k[0] == 4], "season_id long, grid_row int, grid_col int, target double"))
+    want = {}
+    for (s, r, c), v in rows.items():
+        for h in (1, 2, 3):
+            for there in ((s, r + h, c), (s, r, c + h)):
+                if v is not None and rows.get(there) is not None:
+                    g, n = want.get((s, h), (0, 0))
+                    want[s, h] = g + (rows[there] - v) ** 2 / 2, n + 1
+    want[4, 2] = float("nan"), 1
+    out = S.semivariogram(df, lags=3)
+    assert {(r.season_id, r.h): (r.gamma_sum, r.n_pairs) for r in out.collect()} == {k: pytest.approx(v, nan_ok=True) for k, v in want.items()}
+    assert plan(out).count("RunningWindowFunction") == 0 and "specifiedwindowframe(RangeFrame" not in plan(out)
