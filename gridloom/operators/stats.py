@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite
+from ..util import cut
 from . import stencils
 from .ordered import in_order
 
@@ -118,11 +119,25 @@ def date_coherence(dates: DataFrame, most_spread: float = 1.0) -> DataFrame:
 def table_audit(df: DataFrame, key: list[str], target: str = "target") -> DataFrame:
     """One row: rows, distinct keys, repeated keys, missing, -1 and non-positive targets, and five percentiles."""
     y = F.col(target)
-    per = df.groupBy(*key).agg(F.count("*").alias("__n"))
-    repeats = per.agg(F.count("*").alias("keys"), F.count_if(F.col("__n") > 1).alias("repeated_keys"))
-    q = F.percentile(finite(y), F.array(*map(F.lit, (0.0, 0.01, 0.5, 0.99, 1.0))))
-    facts = df.agg(F.count("*").alias("rows"), F.count_if(finite(y).isNull()).alias("missing"), F.count_if(y == -1).alias("minus_one"), F.count_if(y <= 0).alias("not_positive"), q.alias("q"))
-    return facts.crossJoin(repeats).select("rows", "keys", "repeated_keys", "missing", "minus_one", "not_positive", *[F.get("q", F.lit(k)).alias(f"p{k}") for k in range(5)])  # one row each
+    values = df.groupBy(finite(y).alias("__y")).agg(F.count("*").alias("__c"), F.count_if(y == -1).alias("__m"), F.count_if(y <= 0).alias("__p"))
+    values = cut(values)
+    repeats = df.groupBy(*key).agg(F.count("*").alias("__n")).agg(F.count("*").alias("keys"), F.count_if(F.col("__n") > 1).alias("repeated_keys"))
+    facts = values.agg(F.sum("__c").alias("rows"), F.sum(F.when(F.col("__y").isNull(), F.col("__c"))).alias("missing"), F.sum("__m").alias("minus_one"), F.sum("__p").alias("not_positive"))
+    facts = facts.select(*[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in facts.columns])
+    found = quantiles_of_counts(values.filter("__y is not null"), "__y", "__c", (0.0, 0.01, 0.5, 0.99, 1.0))
+    return facts.crossJoin(repeats).crossJoin(found).select("rows", "keys", "repeated_keys", "missing", "minus_one", "not_positive", *[f"p{k}" for k in range(5)])  # one row each
+
+
+def quantiles_of_counts(values: DataFrame, value: str, count: str, shares: tuple[float, ...]) -> DataFrame:
+    """One row p0, p1, ..: exact interpolated quantiles of distinct values with their counts, by running counts over range partitions; null without values."""
+    x = in_order(values.select(F.col(value).alias("v"), F.col(count).alias("c")), [], ["v"], {"__to": F.col("c")})
+    inside = lambda at: F.max(F.when((at >= F.col("__to") - F.col("c")) & (at < F.col("__to")), F.col("v")))
+    out = []
+    for k, share in enumerate(shares):
+        at = (F.col("__to_total") - 1) * F.lit(float(share))
+        out += [inside(F.floor(at)).alias(f"a{k}"), inside(F.ceil(at)).alias(f"b{k}"), F.max(at - F.floor(at)).alias(f"w{k}")]
+    mixed = [F.when(F.col(f"w{k}") == 0, F.col(f"a{k}")).otherwise(F.col(f"a{k}") * (1 - F.col(f"w{k}")) + F.col(f"b{k}") * F.col(f"w{k}")).alias(f"p{k}") for k in range(len(shares))]
+    return x.agg(*out).select(*mixed)
 
 
 def interval_audit(obs: DataFrame, unit: list[str], day: str, value: str) -> DataFrame:

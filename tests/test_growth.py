@@ -95,3 +95,18 @@ def test_semivariogram_without_windows_of_cells(spark):
     out = S.semivariogram(df, lags=3)
     assert {(r.season_id, r.h): (r.gamma_sum, r.n_pairs) for r in out.collect()} == {k: pytest.approx(v, nan_ok=True) for k, v in want.items()}
     assert plan(out).count("RunningWindowFunction") == 0 and "specifiedwindowframe(RangeFrame" not in plan(out)
+
+
+def test_audit_takes_percentiles_without_one_list_of_values(spark):
+    rng = np.random.default_rng(5)
+    v = [*(float(round(x, 2)) for x in rng.normal(size=400)), -1.0, -1.0, 0.0, None, float("nan"), float("inf"), float("-inf")]
+    df = spark.createDataFrame([(i // 2, x) for i, x in enumerate(v)], "k long, target double")
+    out = S.table_audit(df, ["k"])
+    (row,) = out.collect()
+    known = np.array([x for x in v if x is not None and np.isfinite(x)])
+    nan_is_large = sum(x is not None and x <= 0 for x in v)
+    assert tuple(row)[:6] == (407, 204, 203, 4, 2, nan_is_large)
+    assert tuple(row)[6:] == pytest.approx(np.quantile(known, [0, 0.01, 0.5, 0.99, 1]).tolist())
+    assert "percentile" not in plan(out)
+    (none,) = S.table_audit(df.limit(0), ["k"]).collect()
+    assert tuple(none) == (0, 0, 0, 0, 0, 0, *[None] * 5)
