@@ -87,10 +87,12 @@ def weighted_quantiles(df: DataFrame, value: str, stratum: list[str], season: st
     end = F.when(F.col("next_lo").isNull(), F.lit(points - 1)).otherwise(F.least(F.lit(points - 1), F.ceil(F.col("next_lo") * (points - 1)).cast("int")))
     q = F.explode(F.transform(F.sequence(F.least(begin, end), end), lambda k: F.struct(k.alias("k"), (k / (points - 1)).alias("q"))))
     hit = d.select("*", q.alias("x")).select("*", "x.k", "x.q")
-    # each q belongs to the value whose span [lo, next lo) holds it, or to the ends
-    inside = (F.col("q") >= F.col("lo")) & (F.col("next_lo").isNull() | (F.col("q") < F.col("next_lo"))) | F.col("first") & (F.col("q") < F.col("lo"))
+    # each q belongs to the value whose span [lo, next lo) holds it, or to the ends; a value's lo and the next lo of the one before are sums in
+    # different orders, so a q on the border may seem to lie in neither or in both: the first value whose next lo lies beyond takes it
+    inside = (F.col("q") >= F.col("lo") - 1e-9) & (F.col("next_lo").isNull() | (F.col("q") < F.col("next_lo"))) | F.col("first") & (F.col("q") < F.col("lo"))
     x = F.when((F.col("q") <= F.col("hi")) | F.col("next_v").isNull(), F.col("v")).otherwise(F.col("v") + (F.col("q") - F.col("hi")) / (F.col("next_lo") - F.col("hi")) * (F.col("next_v") - F.col("v")))
-    return hit.filter(inside).select(*stratum, "k", x.alias("value"))
+    found = hit.filter(inside).groupBy(*stratum, "k").agg(F.min_by(F.struct(x.alias("value")), "v").alias("x"))
+    return found.select(*stratum, "k", "x.value")
 
 
 def mid_rank(df: DataFrame, grids: DataFrame, value: str, stratum: list[str], out: str, inverse: bool = False) -> DataFrame:
