@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import EARLY, LATE, MID, guarded_ratio, in_window, season_fraction
+from ..util import spread
 
 #: Crops of rain-fed summers, highest temperature without stress by crop, organic soil limit, least relief.
 RAINFED_SUMMER = ("corn", "soybean")
@@ -95,7 +96,8 @@ def annotation_errors(annotations: DataFrame, definitions: DataFrame, channels:
     optical concepts; a concept's estimate needs more than dates. Every record has a reason. Errors of a whole sample have a null id.
     """
     d = definitions.select("kind", "id", F.col("channels").alias("__own"), "family", F.lit(True).alias("__known"))
-    a = annotations.join(d, ["kind", "id"], "left")
+    annotations = spread(annotations, "sample", parts=6)  # all groups below are within a sample, so they need no further shuffle; a task holds several at once
+    a = annotations.join(F.broadcast(d), ["kind", "id"], "left")  # a library's definitions
     names = F.array(*map(F.lit, channels)).cast("array<string>")
     sensors = F.transform(F.when(F.col("kind") == "concepts", F.col("__own")).otherwise(names), lambda c: F.concat(F.lit("channels."), c))
     image = F.when(F.lit(vision) & ((F.col("kind") == "rules") | (F.col("family") == "optical")), F.array(F.lit("image"))).otherwise(F.array().cast("array<string>"))
@@ -115,9 +117,11 @@ def annotation_errors(annotations: DataFrame, definitions: DataFrame, channels:
     }
     own = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in bad.items()]), lambda e: e.isNotNull())
     twice = annotations.groupBy("sample", "kind", "id").agg(F.count("*").alias("n")).filter("n > 1").select("sample", "id", F.lit("repeated id").alias("error"))
-    have = annotations.join(d, ["kind", "id"], "left_semi").groupBy("sample").agg(F.count_distinct("kind", "id").alias("n"))
-    lacking = annotations.select("sample").distinct().join(have, "sample", "left").crossJoin(d.agg(F.count_distinct("kind", "id").alias("m"))).filter(F.coalesce("n", F.lit(0)) < F.col("m"))  # one row
-    return a.select("sample", "id", F.explode(own).alias("error")).unionByName(twice).unionByName(lacking.select("sample", F.lit(None).cast("string").alias("id"), F.lit("missing ids").alias("error"))).distinct()
+    had = F.when(F.col("__known"), F.struct("kind", "id"))
+    lacking = a.groupBy("sample").agg(F.count_distinct(had).alias("n")).crossJoin(d.agg(F.count_distinct("kind", "id").alias("m"))).filter(F.col("n") < F.col("m"))  # one row
+    missing = lacking.select("sample", F.lit(None).cast("string").alias("id"), F.lit("missing ids").alias("error"))
+    # the three parts name different errors
+    return a.select("sample", "id", F.explode(own).alias("error")).distinct().unionByName(twice.distinct()).unionByName(missing)
 
 
 def acceptance_errors(annotations: DataFrame, prepared: DataFrame, audited: DataFrame, profile: str) -> DataFrame:
