@@ -153,10 +153,11 @@ def robustness_summary(scores: DataFrame, subset: str = "subset", score: str = "
     return x.groupBy("kept").agg(F.count("*").alias("subsets"), F.avg(score).alias("mean"), F.min(score).alias("best"), F.max(score).alias("worst"), F.min_by(F.concat_ws("+", subset), F.struct(score, F.concat_ws("+", subset))).alias("best_subset"))
 
 
-def auroc(df: DataFrame, score: str, label: str, by: list[str] = (), least: int = 20) -> DataFrame:
-    """Mann-Whitney AUROC with average ranks; null under `least` rows or with one class."""
+def auroc(df: DataFrame, score: str, label: str, by: list[str] = (), least: int = 20, times: str | None = None) -> DataFrame:
+    """Mann-Whitney AUROC with average ranks; null under `least` rows or with one class. A row stands for as many as its column `times` says."""
+    w = F.col(times) if times else F.lit(1)
     d = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
-    ties = d.groupBy(*by, score).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("int")).alias("pos"))
+    ties = d.groupBy(*by, score).agg(F.sum(w).alias("n"), F.sum(F.col(label).cast("int") * w).alias("pos"))
     ranked = in_order(ties, list(by), [score], {"__run": F.col("n")}).withColumn("mean_rank", F.col("__run") - F.col("n") + (F.col("n") + 1) / 2)
     g = ranked.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"), F.sum(F.col("pos") * F.col("mean_rank")).alias("s"))
     neg = F.col("n") - F.col("pos")

@@ -2,7 +2,7 @@
 
 All models (arm, group, fold) take their Newton steps at once: one pass over the rows gives the gradients and curvatures of
 every model as additive sums, so the number of passes is that of the steps and doesn't grow with groups, folds or arms (beyond `TOGETHER`
-groups, in blocks of as many). The driver solves systems of features + 1 unknowns.
+groups, in blocks of as many). Rows that agree in group, fold, features and target are one row with their number, in all passes and scores. The driver solves systems of features + 1 unknowns.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ def _probability(z: np.ndarray) -> np.ndarray:
 
 
 def _newton(rows: DataFrame, models: list[Models], groups: int, folds: int) -> None:
-    """Fit all models; `rows` are (group number or -1, fold, x)."""
+    """Fit all models; `rows` are (group number or -1, fold, x, how many)."""
     size = [len(m.columns) + 1 for m in models]
     shared_penalty = [np.diag([0.0, *[PENALTY] * (s - 1)]) for s in size]
     best = [np.full((groups, folds), np.inf) for _ in models]
@@ -48,6 +48,7 @@ def _newton(rows: DataFrame, models: list[Models], groups: int, folds: int) -> N
             held = [np.zeros((groups, folds, s * s + s + 2)) for s in size]
             for pdf in batches:
                 x, g, f = np.stack(pdf["x"].to_numpy()) if len(pdf) else np.zeros((0, 1)), pdf["g"].to_numpy(), pdf["fold"].to_numpy()
+                w = pdf["w"].to_numpy()[:, None].astype(float)
                 for m, h in zip(known, held):
                     for k in range(folds):
                         use = f != k
@@ -55,13 +56,13 @@ def _newton(rows: DataFrame, models: list[Models], groups: int, folds: int) -> N
                             continue
                         z, y = m.design(x[use], k), (g[use, None] == np.arange(groups)).astype(float)
                         eta = z @ m.b[:, k].T
-                        p = _probability(eta)
+                        p, of = _probability(eta), w[use]
                         s = z.shape[1]
                         for j in range(groups):
-                            h[j, k, : s * s] += ((z * (p[:, j] * (1 - p[:, j]))[:, None]).T @ z).ravel()
-                        h[:, k, s * s : s * s + s] += (y - p).T @ z
-                        h[:, k, -2] += (np.logaddexp(0, eta) - y * eta).sum(0)
-                        h[:, k, -1] += len(z)
+                            h[j, k, : s * s] += ((z * (of[:, 0] * p[:, j] * (1 - p[:, j]))[:, None]).T @ z).ravel()
+                        h[:, k, s * s : s * s + s] += (of * (y - p)).T @ z
+                        h[:, k, -2] += (of * (np.logaddexp(0, eta) - y * eta)).sum(0)
+                        h[:, k, -1] += of.sum()
             for a, h in enumerate(held):
                 yield pd.DataFrame({"arm": a, "g": np.repeat(np.arange(groups), folds), "k": np.tile(np.arange(folds), groups), "v": list(h.reshape(groups * folds, -1))})
 
@@ -97,13 +98,13 @@ def shift_scores(df: DataFrame, group: str, arms: dict[str, list[str]], target:
     names = list(dict.fromkeys(c for cols in arms.values() for c in cols))
     values = F.array(*[F.col(c).cast("double") for c in names])
     hashed = F.xxhash64(*([key] if key is not None else names))
-    rows = cut(df.select(F.col(group).alias("__g"), F.col(target).cast("double").alias("y"), values.alias("x"), F.pmod(hashed, F.lit(folds)).cast("int").alias("fold")).filter(F.col("__g").isNotNull() & ~F.exists("x", lambda v: v.isNull() | F.isnan(v))))
-    found = rows.groupBy("__g", "fold").agg(F.count("*").alias("n"), F.count("y").alias("m"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("ss")).collect()  # groups x folds
-    groups = sorted({r["__g"] for r in found})
+    rows = df.select(F.col(group).alias("__g"), F.col(target).cast("double").alias("y"), values.alias("x"), F.pmod(hashed, F.lit(folds)).cast("int").alias("fold")).filter(F.col("__g").isNotNull() & ~F.exists("x", lambda v: v.isNull() | F.isnan(v)))
+    rows = cut(rows.groupBy("__g", "y", "x", "fold").agg(F.count("*").alias("w")))
+    groups = sorted(r["__g"] for r in rows.select("__g").distinct().collect())
     if not groups:
         kinds = dict(df.dtypes)
         return df.sparkSession.createDataFrame([], f"`{group}` {kinds[group]}, n long, target_shift double, " + ", ".join(f"auroc_{a} double" for a in arms))
-    moments = rows.select("fold", F.posexplode("x").alias("i", "v")).groupBy("fold", "i").agg(F.count("*").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("ss"))
+    moments = rows.select("fold", "w", F.posexplode("x").alias("i", "v")).groupBy("fold", "i").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("v")).alias("s"), F.sum(F.col("w") * F.col("v") * F.col("v")).alias("ss"))
     n, s, ss = (np.zeros((folds, len(names))) for _ in range(3))
     for r in moments.collect():
         n[r["fold"], r["i"]], s[r["fold"], r["i"]], ss[r["fold"], r["i"]] = r["n"], r["s"], r["ss"]
@@ -115,18 +116,18 @@ def shift_scores(df: DataFrame, group: str, arms: dict[str, list[str]], target:
     for at in range(0, len(groups), TOGETHER):
         own = groups[at : at + TOGETHER]
         table = df.sparkSession.createDataFrame([(g, i) for i, g in enumerate(own)], f"__g {dict(df.dtypes)[group]}, g int")
-        some = rows.join(F.broadcast(table), "__g", "left").select(F.coalesce("g", F.lit(-1)).alias("g"), "fold", "x")  # TOGETHER rows
+        some = rows.join(F.broadcast(table), "__g", "left").select(F.coalesce("g", F.lit(-1)).alias("g"), "fold", "x", "w")  # TOGETHER rows
         models = [Models([names.index(c) for c in cols], mean[:, [names.index(c) for c in cols]], sd[:, [names.index(c) for c in cols]], len(own)) for cols in arms.values()]
         _newton(some, models, len(own), folds)
         part = _scores(some, models, len(own), folds).join(F.broadcast(table), "g")
         scored = part if scored is None else scored.unionByName(part)
-    told = auroc(scored, "s", "y", ["__g", "arm"])
+    told = auroc(scored, "s", "y", ["__g", "arm"], times="w")
     wide = told.groupBy("__g", "n").pivot("arm", list(range(len(arms)))).agg(F.first("auroc"))
     return wide.join(_target_shift(rows), "__g").select(F.col("__g").alias(group), "n", "target_shift", *[F.col(str(a)).alias(f"auroc_{name}") for a, name in enumerate(arms)])
 
 
 def _scores(rows: DataFrame, models: list[Models], groups: int, folds: int) -> DataFrame:
-    """(arm, g, y, s): each row's score by each group's model of its fold; a score a row, group and arm is what the AUROC of all groups reads."""
+    """(arm, g, y, s, w): each row's score by each group's model of its fold; a score a row, group and arm is what the AUROC of all groups reads."""
     shared = rows.sparkSession.sparkContext.broadcast(models)
 
     def run(batches):
@@ -137,16 +138,17 @@ def _scores(rows: DataFrame, models: list[Models], groups: int, folds: int) -> D
                     x, g = np.stack(part["x"].to_numpy()), part["g"].to_numpy()
                     for a, m in enumerate(shared.value):
                         s = _probability(m.design(x, k) @ m.b[:, k].T)
-                        yield pd.DataFrame({"arm": a, "g": np.tile(np.arange(groups), len(part)), "y": (g[:, None] == np.arange(groups)).astype(np.int32).ravel(), "s": s.ravel()})
+                        yield pd.DataFrame({"arm": a, "g": np.tile(np.arange(groups), len(part)), "y": (g[:, None] == np.arange(groups)).astype(np.int32).ravel(), "s": s.ravel(), "w": np.repeat(part["w"].to_numpy(), groups)})
 
-    return rows.mapInPandas(run, "arm int, g int, y int, s double")
+    return rows.mapInPandas(run, "arm int, g int, y int, s double, w long")
 
 
 def _target_shift(rows: DataFrame) -> DataFrame:
     """(group, target_shift) from sums of the groups, about the mean of all."""
-    middle = rows.agg(F.avg("y").alias("__m"))
+    known = F.sum(F.when(F.col("y").isNotNull(), F.col("w")))
+    middle = rows.agg(F.try_divide(F.sum(F.col("w") * F.col("y")), known).alias("__m"))
     e = F.col("y") - F.col("__m")
-    g = rows.crossJoin(middle).groupBy("__g").agg(F.count("y").alias("n"), F.sum(e).alias("s"), F.sum(e * e).alias("ss"))  # the mean is one row
+    g = rows.crossJoin(middle).groupBy("__g").agg(F.coalesce(known, F.lit(0)).alias("n"), F.sum(F.col("w") * e).alias("s"), F.sum(F.col("w") * e * e).alias("ss"))  # the mean is one row
     total = g.agg(F.sum("n").alias("tn"), F.sum("s").alias("ts"), F.sum("ss").alias("tss"))
     x = g.crossJoin(total)
     n, s, ss = F.col("tn") - F.col("n"), F.col("ts") - F.col("s"), F.col("tss") - F.col("ss")
