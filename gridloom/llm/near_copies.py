@@ -4,13 +4,13 @@ Words are those of `bloom_lm` (maximal runs of bytes other than blank and tab to
 is `k` consecutive words, or all words where there are fewer. Two texts link where the sets of their shingles' 64-bit
 hashes have a Jaccard similarity of `least` or more; texts without words link with one another.
 
-Candidates are texts that share one of `BANDS` keys of `ROWS` minimum hashes each: at similarity 0.8 a pair is met with
-probability 1 - (1 - 0.8^6)^30 = 0.9999. Every candidate is verified by its exact similarity; links are never taken from
-the keys alone. First each text of a key is compared with the key's smallest text (its hub); the texts of a hub are dealt into chunks of
-about `CHUNK`, each with a copy of the hub's text, so that a hot key is spread over all tasks and moves each text once. Only keys whose texts are then still in different components are looked at further: of up to
-`PAIRS` texts all pairs of different components; of more, the texts in the order of their components are cut into chunks, and each pair of
-chunks that isn't of one component alone is a group, where a text that has joined a component isn't compared with the rest of it. So
-no group holds more than two chunks.
+Candidates come from operator 7: the long fingerprints of the sets go through its vantage-point tree (`simhash_vp.set_links`), whose links
+join texts to groups. Every candidate is verified by its exact similarity; links are never taken from the fingerprints alone. First each
+text of a group is compared with the group's smallest text (its hub); the texts of a hub are dealt into chunks of about `CHUNK`, each with
+a copy of the hub's text, so that a hot group is spread over all tasks and moves each text once. Only groups whose texts are then still in
+different components are looked at further: of up to `PAIRS` texts all pairs of different components; of more, the texts in the order of
+their components are cut into chunks, and each pair of chunks that isn't of one component alone is verified together, where a text that has
+joined a component isn't compared with the rest of it. So nothing holds more than two chunks.
 
 A text is named by 64 bits. Names that different texts share (told by 64 further bits) are replaced; n rows have about n * n / 2 ** 65 of
 them, and beyond `SHARED` all names are of SHA-256.
@@ -27,16 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordered import in_order
+from . import simhash_vp
 from .bloom_lm import mix, token_hashes
 from .common import cut, discard, fresh, stored, text_of
 from .graph import components
 
-BANDS, ROWS, PAIRS, CHUNK, SHARED = 30, 6, 16, 64, 1000
+PAIRS, CHUNK, SHARED = 16, 64, 1000
 #: Bits of a bitmap of names: for each name, and at most (32 MB).
 BITS, MOST = 8, 1 << 28
-_RNG = np.random.default_rng(5)
-_TURN, _MULT = (_RNG.integers(1, 1 << 63, BANDS * ROWS, np.uint64) for _ in range(2))
-_MULT = _MULT | np.uint64(1)
 
 
 def shingles(text: str | None, k: int = 5) -> np.ndarray:
@@ -51,16 +49,6 @@ def shingles(text: str | None, k: int = 5) -> np.ndarray:
     return np.unique(h)
 
 
-def keys_of(s: np.ndarray) -> np.ndarray:
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(s), 1024):
-        low = np.minimum(low, ((s[at : at + 1024, None] ^ _TURN) * _MULT).min(0))
-    rows, key = low.reshape(BANDS, ROWS), np.arange(BANDS, dtype=np.uint64)
-    for j in range(ROWS):
-        key = mix(key * np.uint64(31) + rows[:, j])
-    return key
-
-
 def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     if not len(a) or not len(b):
         return len(a) == len(b)
@@ -89,15 +77,16 @@ def links(docs: DataFrame, least: float, k: int) -> DataFrame:
 
     def sign(batches):
         for b in batches:
-            keys = [keys_of(shingles(t.as_py(), k)) for t in b.column(1)]
-            flat = pa.array(np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * BANDS), flat)], ["node", "keys"])
+            sets = [shingles(t.as_py(), k) for t in b.column(1)]
+            words = np.array([simhash_vp.set_fingerprint(s) for s in sets], np.uint64).view(np.int64).reshape(-1, simhash_vp.WORDS)
+            columns = [b.column(0), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(words[:, j]) for j in range(simhash_vp.WORDS))]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "n", *(f"w{j}" for j in range(simhash_vp.WORDS))])
 
-    signed = stored(docs.mapInArrow(sign, "node long, keys array<long>").select("node", F.explode("keys").alias("key")))
-    hubs = stored(signed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub <> top").select("key", "hub"))
-    shared = stored(signed.join(hubs, "key").distinct())
-    discard(signed, hubs)
-    star = stored(shared.filter("node <> hub").select("hub", "node").distinct())
+    signed = docs.mapInArrow(sign, "node long, n long, " + ", ".join(f"w{j} long" for j in range(simhash_vp.WORDS)))
+    signed = stored(signed.dropDuplicates(["node"]))
+    shared = stored(components(simhash_vp.set_links(signed, least)).select(F.col("root").alias("key"), "node"))
+    discard(signed)
+    star = stored(shared.filter("node <> key").select(F.col("key").alias("hub"), "node"))
 
     def verify(batches):
         at, nodes, sets, out = None, [], [], []
@@ -124,7 +113,7 @@ def links(docs: DataFrame, least: float, k: int) -> DataFrame:
                     out.append((hub, node))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    nodes = stored(shared.select("node").distinct())
+    nodes = stored(shared.select("node"))
     texts = stored(marked(docs, nodes, "node", "hit").filter("hit").dropDuplicates(["node"]).join(nodes, "node", "left_semi").select("node", "text"))
 
     def verified(groups: DataFrame, how=verify) -> DataFrame:

@@ -12,6 +12,12 @@ The tree only partitions; its shape can't change the result. Leaves are compared
 count; a leaf expected to be large is dealt into pairs of chunks, so no task holds all of it. A task
 returns a spanning forest of its links, not the pairs, and connected components join the forests.
 
+Links by the Jaccard similarity of shingles (`set_links`, the pipeline's stage) take the same way with longer fingerprints: at
+similarity 0.8 a bit differs with probability 0.15 (0.19 for the smallest sets), so fingerprints of `WORDS` * 64 bits link at `WIDE`
+differing bits or fewer, `FIRST` at most of them in the first word; a pair at 0.8 is missed with a probability of 0.0002 or less. At such
+a radius no fingerprint prunes as a vantage point, but the empty set does: its rings are those of the set's size, and linked
+sets differ in their size's logarithm by log(1 / least) at most. Leaves are compared in the order of sizes, each block with the sizes it can link to.
+
 Edge cases: null and empty texts have fingerprint zero and link like any other; repeated rows and equal texts share a
 fingerprint; a null id never names a component while another is there; an empty table gives an empty result.
 """
@@ -24,12 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import near_copies
+from .bloom_lm import mix
 from .common import cut, text_of
 from .graph import components
 
 SAMPLE, LEAF, RINGS, DEPTH = 8192, 1 << 17, 4, 12
 #: In a task: rings go on until so few are left or so deep.
 FEW, DEEP = 2048, 5
+#: Fingerprints of sets: words of 64 bits, differing bits of a link in the first word and in all, rings around the empty set, rows of a block of comparisons.
+WORDS, FIRST, WIDE, SIZE_RINGS, BLOCK = 4, 24, 72, 32, 256
+_TURN = np.random.default_rng(11).integers(1, 1 << 63, WORDS, np.uint64)
 
 
 def fingerprint_of(text: str | None, k: int = 4) -> int:
@@ -63,6 +73,26 @@ def fingerprints(docs: DataFrame, k: int = 4, doc: str = "doc_id", text: str = "
     return docs.select(doc, F.col(text).cast("string")).mapInArrow(run, f"doc {kind}, fp long").withColumnRenamed("doc", doc)
 
 
+def set_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """`WORDS` words of a set of 64-bit hashes; a bit is set where over half of its members have it."""
+    set_bits = np.zeros(64 * WORDS, np.int64)
+    for at in range(0, len(hashes), 255):  # so many fit the sums of a byte
+        words = mix(hashes[at : at + 255, None] ^ _TURN)
+        set_bits += np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    return np.packbits(set_bits * 2 > len(hashes), bitorder="little").view(np.uint64)
+
+
+def distance(fps: np.ndarray, point: np.ndarray) -> np.ndarray:
+    """Differing bits, of fingerprints of one word or a row of words each."""
+    d = np.bitwise_count(fps ^ point).astype(np.int64)
+    return d if d.ndim == 1 else d.sum(1)
+
+
+def log_size(n: np.ndarray) -> np.ndarray:
+    """The distance of a set to the empty set; sets without members link with one another only."""
+    return np.log(np.maximum(n, 0.5))
+
+
 def rings(d: np.ndarray, bounds: np.ndarray, radius: int):
     """(who goes into it, which of these as visitors) for each ring; ring r begins at bounds[r - 1] and ends before bounds[r].
 
@@ -90,7 +120,7 @@ class Tree:
     def _grow(self, members: np.ndarray, depth: int, rng):
         if len(members) * self.scale > LEAF and depth < DEPTH and len(members) > 64:
             point = members[rng.integers(len(members))]
-            d = np.bitwise_count(members ^ point).astype(np.int64)
+            d = distance(members, point)
             bounds = ring_bounds(d)
             parts = [members[m] for m, _ in rings(d, bounds, self.radius)]
             if max(map(len, parts)) < 0.9 * len(members):
@@ -107,11 +137,38 @@ class Tree:
                 yield node, fps, visits
             return
         point, bounds, children = node
-        for (inside, visitor), child in zip(rings(np.bitwise_count(fps ^ point).astype(np.int64), bounds, self.radius), children):
+        for (inside, visitor), child in zip(rings(distance(fps, point), bounds, self.radius), children):
             if len(inside):
                 yield from self.leaves(fps[inside], visits[inside] | (visitor.astype(np.int64) << level), child, level + 1)
 
 
+class SetTree(Tree):
+    """A tree whose first vantage point is the empty set; points are the rows of (node, size, words...)."""
+
+    def __init__(self, sample: np.ndarray, total: int, least: float):
+        self.reach = np.log(1 / least) + 1e-9
+        d = log_size(sample[:, 1])
+        self.bounds = np.unique(np.quantile(d, np.arange(1, SIZE_RINGS) / SIZE_RINGS)) if len(d) else d
+        self.radius, self.scale, self.chunks = WIDE, total / max(1, len(sample)), []
+        rng = np.random.default_rng(7)
+        self.children = [self._grow(sample[m, 2:], 1, rng) for m, _ in rings(d, self.bounds, self.reach)]
+
+    def leaves(self, points: np.ndarray):
+        """(leaf, indices of members, whether each only visits the ring of sizes)."""
+        for (inside, visitor), child in zip(rings(log_size(points[:, 1]), self.bounds, self.reach), self.children):
+            for leaf, of in self._below(points[:, 2:], inside, child):
+                yield leaf, of, visitor[np.searchsorted(inside, of)]
+
+    def _below(self, words: np.ndarray, of: np.ndarray, node):
+        if isinstance(node, int):
+            if len(of):
+                yield node, of
+            return
+        point, bounds, children = node
+        for (inside, _), child in zip(rings(distance(words[of], point), bounds, self.radius), children):
+            yield from self._below(words, of[inside], child)
+
+
 class Forest:
     """Union by smallest index over the fingerprints of a task."""
 
@@ -167,6 +224,66 @@ class Forest:
         return self.nodes[moved], self.nodes[self.root[moved]]
 
 
+class SetForest(Forest):
+    """Links of sets that are in the order of their sizes."""
+
+    def __init__(self, nodes: np.ndarray, sizes: np.ndarray, words: np.ndarray, least: float):
+        super().__init__(nodes, WIDE)
+        self.sizes, self.words, self.least = sizes, words, least
+
+    def compare(self, left: np.ndarray, right: np.ndarray) -> None:
+        """Each of the sorted indices `left` with those of `right` that come before it and are large enough."""
+        head, size = self.words[right, 0].copy(), self.sizes[right]
+        for at in range(0, len(left), BLOCK):
+            mine = left[at : at + BLOCK]
+            low, high = np.searchsorted(size, self.least * self.sizes[mine[0]] - 1e-6), np.searchsorted(right, mine[-1])
+            for x in range(low, high, 4096):
+                i, j = np.nonzero(np.bitwise_count(self.words[mine, 0][:, None] ^ head[x : min(high, x + 4096)]) <= FIRST)
+                i, j = mine[i], right[j + x]
+                near = distance(self.words[i], self.words[j]) <= self.radius
+                self.unite(i[near], j[near])
+
+
+def set_links(prints: DataFrame, least: float) -> DataFrame:
+    """(a, b): a spanning forest of the links between the fingerprints of sets, rows (node, n, w0, w1, ...) of longs, each node once."""
+    columns = ["node", "n", *(f"w{j}" for j in range(WORDS))]
+    picked = prints.orderBy(F.xxhash64("node")).limit(SAMPLE).select(columns).collect()
+    tree = SetTree(np.array([tuple(r) for r in picked], np.int64).reshape(-1, len(columns)).view(np.uint64), prints.count(), least)
+    fields = ["leaf", "cell", "chunk", "visitor", *columns]
+
+    def deal(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            points = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], 1).view(np.uint64)
+            for leaf, of, visitor in tree.leaves(points):
+                c = tree.chunks[leaf]
+                chunk = ((points[of, 0] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % c
+                rows = [pa.array(points[of, j].view(np.int64)) for j in range(len(columns))]
+                for other in range(c):
+                    cell = np.minimum(chunk, other) * c + np.maximum(chunk, other)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(of), leaf, np.int64)), pa.array(cell), pa.array(chunk), pa.array(visitor), *rows], fields)
+
+    def compare(table: pa.Table) -> pa.Table:
+        sizes, chunk, visitor = (table.column(c).to_numpy() for c in ("n", "chunk", "visitor"))
+        order = np.lexsort((~visitor, sizes))  # of one size, visitors come before those at home
+        chunk, home = chunk[order], ~visitor[order]
+        forest = SetForest(table.column("node").to_numpy()[order], sizes[order], np.stack([table.column(c).to_numpy()[order] for c in columns[2:]], 1).view(np.uint64), least)
+        cell, c = table.column("cell")[0].as_py(), tree.chunks[table.column("leaf")[0].as_py()]
+        of = np.arange(len(order))
+        if cell // c == cell % c:
+            forest.compare(of[home], of)
+        else:
+            one = chunk == cell % c
+            forest.compare(of[home & one], of[~one])
+            forest.compare(of[home & ~one], of[one])
+        a, b = forest.links()
+        return pa.table({"a": a, "b": b})
+
+    dealt = prints.select(columns).mapInArrow(deal, "leaf long, cell long, chunk long, visitor boolean, " + ", ".join(f"{c} long" for c in columns))
+    return dealt.groupBy("leaf", "cell").applyInArrow(compare, "a long, b long")
+
+
 def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
     """(a, b): a spanning forest of the links between distinct fingerprints `fp`."""
     n = distinct.count()
@@ -219,8 +336,7 @@ def digest(found: DataFrame, doc: str = "doc_id") -> DataFrame:
 def deduplicated(docs: DataFrame, radius: int = 4, k: int = 4, least: float | None = None, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component: that of its smallest id, and among different texts of this id that of the smallest hash.
 
-    With `least` texts link by the Jaccard similarity of their shingles instead of by the bits of their fingerprints: at 0.8 two
-    fingerprints differ in 10 of 64 bits, a radius at which a tree prunes nothing, so `near_copies` proposes the pairs.
+    With `least` texts link by the Jaccard similarity of their shingles: the tree over long fingerprints (`set_links`) proposes, `near_copies` verifies.
     """
     if least is not None:
         return near_copies.deduplicated(docs, least, k, doc, text)

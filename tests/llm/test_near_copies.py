@@ -114,3 +114,43 @@ def test_chunk_pairs_meet_all_texts_of_different_roots(spark, monkeypatch):
         own = [n for j, n, _ in rows if j == k]
         assert all((a, b) in met for a in own for b in own if root[k, a] != root[k, b])
     assert max(map(len, groups.values())) <= 6
+
+
+def test_candidates_come_from_the_tree(spark, monkeypatch):
+    """Without its links no edited copy is found."""
+    import corpus_pipeline
+    from gridloom.llm import simhash_vp
+
+    d = read(spark, "/root/testdata/sf0.01", "documents").dropDuplicates(["text"])
+    n = d.count()
+    assert corpus_pipeline.near_duplicates(spark, d, "").count() < n
+    own = simhash_vp.set_links
+    monkeypatch.setattr(simhash_vp, "set_links", lambda *a: own(*a).limit(0))
+    assert corpus_pipeline.near_duplicates(spark, d, "").count() == n
+
+
+def test_the_tree_of_sets_finds_all_links(spark, monkeypatch):
+    """Every pair within the bits and sizes of a link ends in one component, also from leaves that are dealt in chunks."""
+    import numpy as np
+
+    from gridloom.llm import simhash_vp as sv
+
+    rng = np.random.default_rng(4)
+    sets = [rng.integers(0, 1 << 63, n, np.uint64) for n in rng.integers(1, 400, 300)]
+    for i in range(0, 200, 2):  # parts of sets, some of them too small to link
+        sets[i] = sets[i + 1][: max(1, int(len(sets[i + 1]) * rng.uniform(0.7, 1)))]
+    prints = np.array([sv.set_fingerprint(s) for s in sets])
+    rows = [(k, len(s), *p.view(np.int64).tolist()) for k, (s, p) in enumerate(zip(sets, prints))]
+    df = spark.createDataFrame(rows, "node long, n long, " + ", ".join(f"w{j} long" for j in range(sv.WORDS)))
+    bits = np.bitwise_count(prints[:, None] ^ prints[None])
+    size = np.array([len(s) for s in sets])
+    near = (bits.sum(2) <= sv.WIDE) & (bits[:, :, 0] <= sv.FIRST) & (np.minimum.outer(size, size) >= 0.8 * np.maximum.outer(size, size))
+    assert all(near[i, i + 1] for i in range(0, 200, 2) if len(sets[i]) >= 0.8 * len(sets[i + 1])) and near.sum() > 400
+    for leaf in (sv.LEAF, 7):
+        monkeypatch.setattr(sv, "LEAF", leaf)
+        root = list(range(len(sets)))
+        find = lambda i: i if root[i] == i else find(root[i])
+        for r in sv.set_links(df, 0.8).collect():
+            root[find(r.a)] = find(r.b)
+        assert all(find(int(i)) == find(int(j)) for i, j in zip(*np.nonzero(near)))
+        assert len({find(i) for i in range(len(sets))}) > 150
