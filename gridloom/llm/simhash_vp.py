@@ -37,8 +37,8 @@ from .graph import components
 SAMPLE, LEAF, RINGS, DEPTH = 8192, 1 << 17, 4, 12
 #: In a task: rings go on until so few are left or so deep.
 FEW, DEEP = 2048, 5
-#: Fingerprints of sets: words of 64 bits, differing bits of a link in the first word and in all, rings around the empty set, rows of a block of comparisons.
-WORDS, FIRST, WIDE, SIZE_RINGS, BLOCK = 4, 24, 72, 32, 256
+#: Fingerprints of sets: words of 64 bits, differing bits of a link in the first word and in all, rings around the empty set, rows of a block of comparisons, tasks at most.
+WORDS, FIRST, WIDE, SIZE_RINGS, BLOCK, TASKS = 4, 24, 72, 32, 256, 20_000
 _TURN = np.random.default_rng(11).integers(1, 1 << 63, WORDS, np.uint64)
 
 
@@ -281,6 +281,8 @@ def set_links(prints: DataFrame, least: float) -> DataFrame:
         return pa.table({"a": a, "b": b})
 
     dealt = prints.select(columns).mapInArrow(deal, "leaf long, cell long, chunk long, visitor boolean, " + ", ".join(f"{c} long" for c in columns))
+    # cells are few bytes and much work, so their number, not their size, makes the tasks
+    dealt = dealt.repartition(min(TASKS, max(1, sum(c * (c + 1) // 2 for c in tree.chunks))), "leaf", "cell")
     return dealt.groupBy("leaf", "cell").applyInArrow(compare, "a long, b long")
 
 
