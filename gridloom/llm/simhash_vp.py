@@ -8,8 +8,8 @@ Only distinct fingerprints are compared. A vantage-point tree is built on the dr
 of them (`SAMPLE`, the smallest by hash): every node has a vantage point and rings of distances to it. By the triangle
 inequality two linked fingerprints lie in rings whose distances differ by `radius` at most, so each fingerprint goes into
 the ring of its own distance d and into every further ring that begins by d + radius: any linked pair meets in a leaf.
-The tree only partitions; its shape can't change the result. Leaves are compared exactly, in blocks, by XOR and bit
-count; a leaf expected to be large is dealt into pairs of chunks, so no task holds all of it. A task
+The tree only partitions; its shape can't change the result. Leaves are compared exactly by XOR and bit count: small ones in blocks, of large
+ones the pairs that agree in one of `radius` + 1 bands of bits, as every linked pair does; a leaf expected to be large is dealt into pairs of chunks, so no task holds all of it. A task
 returns a spanning forest of its links, not the pairs, and connected components join the forests.
 
 Links by the Jaccard similarity of shingles (`set_links`, the pipeline's stage) take the same way with longer fingerprints: at
@@ -35,8 +35,10 @@ from .common import cut, text_of
 from .graph import components
 
 SAMPLE, LEAF, RINGS, DEPTH = 8192, 1 << 17, 4, 12
-#: In a task: rings go on until so few are left or so deep.
-FEW, DEEP = 2048, 5
+#: Leaves of single fingerprints may be so many times as large: a ring is visited by most of its neighbours, so each level of the tree doubles the rows.
+MORE = 8
+#: In a task: so few are compared in blocks, more by their bands.
+FEW = 2048
 #: Fingerprints of sets: words of 64 bits, differing bits of a link in the first word and in all, rings around the empty set, rows of a block of comparisons, tasks at most.
 WORDS, FIRST, WIDE, SIZE_RINGS, BLOCK, TASKS = 4, 24, 72, 32, 256, 20_000
 _TURN = np.random.default_rng(11).integers(1, 1 << 63, WORDS, np.uint64)
@@ -113,33 +115,32 @@ class Tree:
     """Nodes as (vantage point, ring bounds, children); a leaf has a number and how many chunks it is dealt into."""
 
     def __init__(self, sample: np.ndarray, total: int, radius: int):
-        self.radius, self.scale = radius, total / max(1, len(sample))
+        self.radius, self.scale, self.most = radius, total / max(1, len(sample)), min(MORE * LEAF, max(LEAF, total // 6))
         self.chunks: list[int] = []
         self.root = self._grow(sample, 0, np.random.default_rng(7))
 
     def _grow(self, members: np.ndarray, depth: int, rng):
-        if len(members) * self.scale > LEAF and depth < DEPTH and len(members) > 64:
+        if len(members) * self.scale > self.most and depth < DEPTH and len(members) > 64:
             point = members[rng.integers(len(members))]
             d = distance(members, point)
             bounds = ring_bounds(d)
             parts = [members[m] for m, _ in rings(d, bounds, self.radius)]
             if max(map(len, parts)) < 0.9 * len(members):
                 return point, bounds, [self._grow(p, depth + 1, rng) for p in parts]
-        self.chunks.append(max(1, int(np.ceil(len(members) * self.scale / LEAF))))
+        self.chunks.append(max(1, int(np.ceil(len(members) * self.scale / self.most))))
         return len(self.chunks) - 1
 
-    def leaves(self, fps: np.ndarray, visits: np.ndarray | None = None, node=None, level: int = 0):
-        """(leaf, members, levels that each only visits as bits) for every leaf that any of the fingerprints goes to."""
+    def leaves(self, fps: np.ndarray, node=None):
+        """(leaf, members) for every leaf that any of the fingerprints goes to."""
         node = self.root if node is None else node
-        visits = np.zeros(len(fps), np.int64) if visits is None else visits
         if isinstance(node, int):
             if len(fps):
-                yield node, fps, visits
+                yield node, fps
             return
         point, bounds, children = node
-        for (inside, visitor), child in zip(rings(distance(fps, point), bounds, self.radius), children):
+        for (inside, _), child in zip(rings(distance(fps, point), bounds, self.radius), children):
             if len(inside):
-                yield from self.leaves(fps[inside], visits[inside] | (visitor.astype(np.int64) << level), child, level + 1)
+                yield from self.leaves(fps[inside], child)
 
 
 class SetTree(Tree):
@@ -149,7 +150,7 @@ class SetTree(Tree):
         self.reach = np.log(1 / least) + 1e-9
         d = log_size(sample[:, 1])
         self.bounds = np.unique(np.quantile(d, np.arange(1, SIZE_RINGS) / SIZE_RINGS)) if len(d) else d
-        self.radius, self.scale, self.chunks = WIDE, total / max(1, len(sample)), []
+        self.radius, self.scale, self.most, self.chunks = WIDE, total / max(1, len(sample)), LEAF, []
         rng = np.random.default_rng(7)
         self.children = [self._grow(sample[m, 2:], 1, rng) for m, _ in rings(d, self.bounds, self.reach)]
 
@@ -197,27 +198,27 @@ class Forest:
             near = np.bitwise_count(self.nodes[i] ^ self.nodes[j]) <= self.radius
             self.unite(i[near], j[near])
 
-    def within(self, of: np.ndarray, visits: np.ndarray, level: int, rng) -> None:
-        """All pairs of the indices that have no level where both only visit: by further rings, then in blocks."""
-        if len(of) > FEW and level < DEPTH + DEEP:
-            point = self.nodes[of[rng.integers(len(of))]]
-            d = np.bitwise_count(self.nodes[of] ^ point).astype(np.int64)
-            parts = list(rings(d, ring_bounds(d), self.radius))
-            if max(len(m) for m, _ in parts) < 0.9 * len(of):
-                for inside, visitor in parts:
-                    self.within(of[inside], visits[inside] | (visitor.astype(np.int64) << level), level + 1, rng)
-                return
-        kinds = np.unique(visits)
-        if len(kinds) > 64 or len(of) < 256:
+    def within(self, of: np.ndarray, chunk: np.ndarray | None = None) -> None:
+        """All pairs of the indices, or those of different chunks: in blocks, or where they are many those that agree in a band.
+
+        The bits are cut into one band more than may differ, so every linked pair agrees in one of them; pairs of a band are met by shifting its order.
+        """
+        if len(of) <= FEW:
             self.compare(of, None)
             return
-        groups = [of[visits == k] for k in kinds]
-        for a, k in enumerate(kinds):
-            if k == 0:
-                self.compare(groups[a], None)
-            rest = [groups[b] for b in range(a + 1, len(kinds)) if not kinds[b] & k]
-            if rest:
-                self.compare(groups[a], np.concatenate(rest))
+        cuts = np.linspace(0, 64, self.radius + 2).astype(np.uint64)
+        for low, high in zip(cuts[:-1], cuts[1:]):
+            key = (self.nodes[of] >> low) & ((np.uint64(1) << (high - low)) - np.uint64(1))
+            order = np.argsort(key, kind="stable")
+            key, mine = key[order], of[order]
+            fps, other = self.nodes[mine], None if chunk is None else chunk[mine]
+            at, away = np.arange(len(mine) - 1), 1
+            while len(at := at[at < len(mine) - away]):
+                at = at[key[at] == key[at + away]]
+                near = at if other is None else at[other[at] != other[at + away]]
+                near = near[np.bitwise_count(fps[near] ^ fps[near + away]) <= self.radius]
+                self.unite(mine[near], mine[near + away])
+                away += 1
 
     def links(self) -> tuple[np.ndarray, np.ndarray]:
         moved = np.flatnonzero(self.root != np.arange(len(self.nodes)))
@@ -295,27 +296,25 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
     def deal(batches):
         for b in batches:
             fps = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for leaf, members, visits in tree.leaves(fps):
+            for leaf, members in tree.leaves(fps):
                 c = tree.chunks[leaf]
                 chunk = ((members * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % c
                 for other in range(c):
                     cell = np.minimum(chunk, other) * c + np.maximum(chunk, other)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(members), leaf, np.int64)), pa.array(cell), pa.array(chunk), pa.array(visits), pa.array(members.view(np.int64))], ["leaf", "cell", "chunk", "visits", "fp"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(members), leaf, np.int64)), pa.array(cell), pa.array(chunk), pa.array(members.view(np.int64))], ["leaf", "cell", "chunk", "fp"])
 
     def compare(table: pa.Table) -> pa.Table:
-        fps, visits, chunk = (table.column(c).to_numpy() for c in ("fp", "visits", "chunk"))
+        fps, chunk = (table.column(c).to_numpy() for c in ("fp", "chunk"))
         order = np.argsort(fps.view(np.uint64))
-        visits, chunk, of = visits[order], chunk[order], np.arange(len(order))
-        forest = Forest(fps.view(np.uint64)[order], radius)
+        forest, chunk = Forest(fps.view(np.uint64)[order], radius), chunk[order]
         cell, c = table.column("cell")[0].as_py(), tree.chunks[table.column("leaf")[0].as_py()]
-        if cell // c == cell % c:
-            forest.within(of, visits, DEPTH, np.random.default_rng(3))
-        elif (other := chunk != chunk.min()).any():
-            forest.compare(of[~other], of[other])
+        forest.within(np.arange(len(order)), None if cell // c == cell % c else chunk)
         a, b = forest.links()
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    dealt = distinct.select("fp").mapInArrow(deal, "leaf long, cell long, chunk long, visits long, fp long")
+    dealt = distinct.select("fp").mapInArrow(deal, "leaf long, cell long, chunk long, fp long")
+    # cells are few bytes and much work, so their number, not their size, makes the tasks
+    dealt = dealt.repartition(min(TASKS, max(1, sum(c * (c + 1) // 2 for c in tree.chunks))), "leaf", "cell")
     return dealt.groupBy("leaf", "cell").applyInArrow(compare, "a long, b long")
 
 
